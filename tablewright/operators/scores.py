@@ -19,14 +19,22 @@ _AUC_BUCKETS = 256
 
 
 def modelling_rows(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, numeric_label: bool = False
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    label: str,
+    numeric_label: bool = False,
+    ids: Sequence[str] = (),
 ) -> DataFrame:
-    """Only features and label, numbers as doubles, complete rows only."""
-    columns = [cast_to(col(c), "double").alias(c) for c in numeric]
-    columns += [col(c) for c in categorical]
-    columns.append(cast_to(col(label), "double").alias(label) if numeric_label else col(label))
-    chosen = df.select(*columns)
-    return complete_rows(chosen, chosen.columns)
+    """Only features and label, numbers as doubles, complete rows only.
+
+    Id columns that are no features come along as they are.
+    """
+    columns = {c: cast_to(col(c), "double") for c in numeric} | {c: col(c) for c in categorical}
+    columns[label] = cast_to(col(label), "double") if numeric_label else col(label)
+    carried = [c for c in ids if c not in columns]
+    chosen = df.select(*[e.alias(c) for c, e in columns.items()], *map(col, carried))
+    return complete_rows(chosen, list(columns))
 
 
 def with_split(df: DataFrame, seed: int, ids: Sequence[str] | None = None) -> DataFrame:

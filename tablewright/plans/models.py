@@ -12,7 +12,6 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import scores
 from ..operators.features import FEATURES, LABEL_INDEX, feature_stages, label_indexer, text_column_sizes
@@ -54,13 +53,23 @@ def summarize_folds(folds: Sequence[Metrics], names: Iterable[str]) -> Metrics:
 
 
 class _Comparison:
-    """What both comparisons share: complete rows, split, fit, score, repeat."""
+    """What both comparisons share: complete rows, split, fit, score, repeat.
+
+    Rows go to training or test by a hash of ``id_columns``, or of the whole row
+    where none are given.
+    """
 
     metric_names: tuple[str, ...] = ()
     stability_names: tuple[str, ...] = ()
     numeric_label = False
 
-    def __init__(self, seed: int = 42, train_fraction: float = 0.8, validation_folds: int = 1):
+    def __init__(
+        self,
+        seed: int = 42,
+        train_fraction: float = 0.8,
+        validation_folds: int = 1,
+        id_columns: Sequence[str] = (),
+    ):
         if not 0 < train_fraction < 1:
             raise ValueError("train_fraction must be between 0 and 1.")
         if validation_folds < 1:
@@ -68,6 +77,7 @@ class _Comparison:
         self.seed = seed
         self.train_fraction = train_fraction
         self.validation_folds = validation_folds
+        self.id_columns = list(id_columns)
 
     def compare(
         self, raw_df: DataFrame, cleaned_df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str]
@@ -80,7 +90,9 @@ class _Comparison:
         self, df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str]
     ) -> Metrics:
         """Scores of one table, with fold stability when folds are asked for."""
-        rows = scores.modelling_rows(df, numeric, categorical, label, self.numeric_label)
+        rows = scores.modelling_rows(
+            df, numeric, categorical, label, self.numeric_label, self.id_columns
+        )
         sizes = text_column_sizes(rows, categorical)
         metrics = self._fit_and_score(rows, label, numeric, categorical, sizes, self.seed)
         folds = []
@@ -92,14 +104,14 @@ class _Comparison:
         return metrics
 
     def _fit_and_score(self, rows, label, numeric, categorical, sizes, seed) -> Metrics:
-        counts = scores.split_counts(rows, self.train_fraction, seed).first().asDict()
+        counts = scores.split_counts(rows, self.train_fraction, seed, self.id_columns).first().asDict()
         if counts["ml_row_count"] == 0:
             raise ValueError("No complete rows available for ML evaluation.")
         if counts["train_row_count"] == 0 or counts["test_row_count"] == 0:
             raise ValueError(
                 "Train/test split produced an empty split. Use more rows or adjust train_fraction."
             )
-        train, test = scores.split(rows, self.train_fraction, seed)
+        train, test = scores.split(rows, self.train_fraction, seed, self.id_columns)
         stages = self._stages(label, feature_stages(numeric, categorical, sizes))
         predictions = Pipeline(stages=stages).fit(train).transform(test)
         return counts | self._score(predictions, label)

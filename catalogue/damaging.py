@@ -131,7 +131,7 @@ _COPIES = "(SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM
 )
 def detection_accuracy(spark, folder):
     df, issues = _dirty_events(spark, folder)
-    found = compute_detection_accuracy(issues, DataProfiler(exact_quantiles=True).profile(df))
+    found = compute_detection_accuracy(issues, DataProfiler().profile(df))
     entries = found["missingness"]["by_column"] | {k: found[k] for k in ("outliers", "duplicates")}
     rows = [(k, e["injected"], e["detected"], e["accuracy"]) for k, e in entries.items()]
     return spark.createDataFrame(rows, "issue string, injected double, detected double, accuracy double")

@@ -35,8 +35,8 @@ def query(oracle: str | None = None):
     return register
 
 
-POLICY = RepairPolicy(exact_quantiles=True)
-EXACT = DataProfiler(exact_quantiles=True)
+POLICY = RepairPolicy()
+EXACT = DataProfiler()
 
 
 def _cleaned(spark, folder):
@@ -111,7 +111,7 @@ _OUTLIER_PAIRS = " UNION ALL ".join(
 )
 def eval_outlier_change(spark, folder):
     raw, cleaned, _ = _cleaned(spark, folder)
-    return changes.outlier_change(outliers.outliers(raw, exact=True), outliers.outliers(cleaned, exact=True))
+    return changes.outlier_change(outliers.outliers(raw), outliers.outliers(cleaned))
 
 
 KEYS = ["o_custkey", "o_orderpriority"]
@@ -345,7 +345,7 @@ def grouped_report(spark, folder):
 
 # --- logged runs ------------------------------------------------------------
 
-_BY_HAND = RepairPolicy(exact_quantiles=True, numeric_imputation="mode", outlier_strategy="none")
+_BY_HAND = RepairPolicy(numeric_imputation="mode", outlier_strategy="none")
 _HAND = f""", hand AS (SELECT DISTINCT o_orderkey, o_custkey,
       coalesce(o_totalprice, {mode_of('o_totalprice', 'slim')}) AS o_totalprice,
       o_orderdate, coalesce(o_orderpriority, 'unknown') AS o_orderpriority FROM slim), """ + fence("th", "hand", "o_totalprice")

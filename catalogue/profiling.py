@@ -156,14 +156,14 @@ def _outlier_table(columns: dict[str, str], before: str = "") -> str:
 
 @query(_outlier_table({"value": "events", "n_chars": "documents"}))
 def outlier_profile_iqr(spark, folder):
-    events = outliers.outliers(table(spark, folder, "events"), ["value"], exact=True)
-    documents = outliers.outliers(table(spark, folder, "documents"), ["n_chars"], exact=True)
+    events = outliers.outliers(table(spark, folder, "events"), ["value"])
+    documents = outliers.outliers(table(spark, folder, "documents"), ["n_chars"])
     return events.unionByName(documents)
 
 
 @query(_outlier_table({"quality": "labels", "toxic": "labels"}))
 def outlier_profile_zero_iqr(spark, folder):
-    return outliers.outliers(table(spark, folder, "labels"), ["quality", "toxic"], exact=True)
+    return outliers.outliers(table(spark, folder, "labels"), ["quality", "toxic"])
 
 
 LINE_NUMBERS = (
@@ -174,13 +174,13 @@ LINE_NUMBERS = (
 
 @query(_outlier_table({c: "lineitem" for c in LINE_NUMBERS}))
 def outlier_profile_wide(spark, folder):
-    return outliers.outliers(table(spark, folder, "lineitem"), exact=True)
+    return outliers.outliers(table(spark, folder, "lineitem"))
 
 
 @query(_outlier_table({c: "dirty" for c in ORDER_NUMBERS}, DIRTY))
 def outlier_profile_restored_type(spark, folder):
     reference = snapshot(table(spark, folder, "orders").schema)
-    return outliers.outliers(drifted_orders(spark, folder), exact=True, reference=reference)
+    return outliers.outliers(drifted_orders(spark, folder), reference=reference)
 
 
 ORDER_TYPES = {
@@ -240,7 +240,7 @@ PROFILE_KEYS = ["o_custkey", "o_orderpriority"]
 def _profile(spark, folder):
     df = dirty_orders(spark, folder)
     reference = snapshot(table(spark, folder, "orders").schema)
-    return DataProfiler(exact_quantiles=True).profile(df, PROFILE_KEYS, reference)
+    return DataProfiler().profile(df, PROFILE_KEYS, reference)
 
 
 _FENCES = [fence(f"f_{c}", "dirty", c) for c in ORDER_NUMBERS]

@@ -36,7 +36,7 @@ def mode_of(column: str, source: str = "dirty") -> str:
 @query(with_dirty(f"SELECT o_orderkey, coalesce(o_totalprice, {MEDIAN}) AS o_totalprice FROM dirty"))
 def impute_median(spark, folder):
     df = dirty_orders(spark, folder).select("o_orderkey", "o_totalprice")
-    return fills.fill(df, fills.medians(df, ["o_totalprice"], exact=True))
+    return fills.fill(df, fills.medians(df, ["o_totalprice"]))
 
 
 @query(
@@ -84,7 +84,7 @@ def impute_numeric_mode(spark, folder):
 
 
 def _bounds(df, column):
-    found = outliers.find_fences(df, outliers.numeric_values(df.select(column)), exact=True)
+    found = outliers.find_fences(df, outliers.numeric_values(df.select(column)))
     return {c: (f.lower, f.upper) for c, f in found.items() if f.repairable}
 
 
@@ -132,7 +132,7 @@ def cap_with_ceiling(spark, folder):
 def cap_column_override(spark, folder):
     df = table(spark, folder, "events").select("event_id", "value")
     policy = RepairPolicy(outlier_column_strategies={"value": "none"})
-    done = RepairEngine(policy).repair(df, DataProfiler(exact_quantiles=True).profile(df))
+    done = RepairEngine(policy).repair(df, DataProfiler().profile(df))
     action = next(a for a in done.actions if a["issue"] == "outliers")
     return done.cleaned_df.agg(
         F.lit(action["column"]).alias("column"),
@@ -201,7 +201,7 @@ def domain_row_filter(spark, folder):
     return bounds.keep_within(df, {"l_quantity": (5.0, 40.0), "l_discount": (0.02, None)})
 
 
-_AUTO = RepairPolicy(exact_quantiles=True)
+_AUTO = RepairPolicy()
 _AUTO_REPAIRED = f"""SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus,
     {capped(f'coalesce(o_totalprice, {MEDIAN})', 'f')} AS o_totalprice, o_orderdate,
     coalesce(o_orderpriority, 'unknown') AS o_orderpriority FROM dirty"""
@@ -209,7 +209,7 @@ _AUTO_REPAIRED = f"""SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus,
 
 def _auto_repair(spark, folder):
     df = dirty_orders(spark, folder)
-    profile = DataProfiler(exact_quantiles=True).profile(df, ["o_orderkey"])
+    profile = DataProfiler().profile(df, ["o_orderkey"])
     return RepairEngine(_AUTO).repair(df, profile, label_col="o_orderstatus")
 
 
@@ -248,7 +248,6 @@ def repair_actions(spark, folder):
 
 
 _RULES = RepairPolicy(
-    exact_quantiles=True,
     numeric_imputation="mode",
     categorical_imputation="mode",
     row_filters={"o_custkey": (2.0, None)},
@@ -270,7 +269,7 @@ _RULES = RepairPolicy(
 )
 def repair_with_domain_rules(spark, folder):
     df = dirty_orders(spark, folder).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
-    profile = DataProfiler(exact_quantiles=True).profile(df)
+    profile = DataProfiler().profile(df)
     return RepairEngine(_RULES).repair(df, profile).cleaned_df
 
 
@@ -286,8 +285,8 @@ def repair_drifted(spark, folder):
     keep = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
     df = drifted_orders(spark, folder).select(*keep, "source_system")
     reference = table(spark, folder, "orders").select(*keep).schema
-    policy = RepairPolicy(exact_quantiles=True, drop_added_columns=True, drop_duplicates=False)
-    profile = DataProfiler(exact_quantiles=True).profile(df, reference_schema=reference)
+    policy = RepairPolicy(drop_added_columns=True, drop_duplicates=False)
+    profile = DataProfiler().profile(df, reference_schema=reference)
     repaired = RepairEngine(policy).repair(df, profile, reference, label_col="o_orderstatus")
     return repaired.cleaned_df
 

@@ -69,6 +69,13 @@ def present(value: Column, data_type: T.DataType) -> Column:
     return value
 
 
+def is_present(value: Column, data_type: T.DataType) -> Column:
+    """Whether there is a value, in a form whose null test a scan can take over."""
+    if has_nan(data_type):
+        return value.isNotNull() & ~F.isnan(value)
+    return value.isNotNull()
+
+
 def comparable(value: Column, data_type: T.DataType) -> Column:
     """A form of the value that can be grouped on.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, present
+from ..functions.columns import col, is_present, present
 
 _INTEGER_BITS = {"byte": 8, "short": 16, "integer": 32, "long": 64}
 
@@ -63,14 +63,18 @@ def cap(df: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]])
 
 
 def within(name: str, data_type: T.DataType, low: float | None, high: float | None) -> Column:
-    """True where the column has a value inside the range."""
-    value = present(col(name), data_type)
-    kept = value.isNotNull()
+    """Whether the column has a value inside the range.
+
+    Plain comparisons joined by AND, so that a Parquet scan can skip row groups
+    by them. Null where there is no value, which a filter takes for false.
+    """
+    value = col(name)
+    kept = is_present(value, data_type)
     if low is not None:
         kept = kept & (value >= low)
     if high is not None:
         kept = kept & (value <= high)
-    return F.coalesce(kept, F.lit(False))
+    return kept
 
 
 def keep_within(df: DataFrame, ranges: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:

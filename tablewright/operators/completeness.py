@@ -9,14 +9,14 @@ from ..functions import grades
 from ..functions.columns import col, has_nan, ratio, rows_from_structs
 
 
-def missing_counts(df: DataFrame) -> list[Column]:
-    """Aggregates ``null_i`` and, for float columns, ``nan_i``: one pair per column."""
-    counts = []
+def missing_tests(df: DataFrame) -> dict[str, Column]:
+    """Conditions ``null_i`` and, for float columns, ``nan_i``, by column number."""
+    tests = {}
     for i, f in enumerate(df.schema.fields):
-        counts.append(F.count_if(col(f.name).isNull()).alias(f"null_{i}"))
+        tests[f"null_{i}"] = col(f.name).isNull()
         if has_nan(f.dataType):
-            counts.append(F.count_if(F.isnan(col(f.name))).alias(f"nan_{i}"))
-    return counts
+            tests[f"nan_{i}"] = F.isnan(col(f.name))
+    return tests
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def missingness(df: DataFrame) -> DataFrame:
     All columns are counted in one scan without a shuffle of rows. An empty
     table has no missingness rows.
     """
-    counted = df.agg(F.count(F.lit(1)).alias("rows"), *missing_counts(df))
+    counts = [F.count_if(test).alias(name) for name, test in missing_tests(df).items()]
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), *counts)
     entries = []
     for i, f in enumerate(df.schema.fields):
         nans = F.col(f"nan_{i}") if has_nan(f.dataType) else F.lit(0).cast("bigint")

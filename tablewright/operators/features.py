@@ -10,7 +10,7 @@ from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, Vect
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, present
+from ..functions.columns import col, is_present
 
 MAX_CATEGORIES = 10_000
 HASH_BUCKETS = 4_096
@@ -21,7 +21,7 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows that have a value (not null, not NaN) in every given column."""
     types = {f.name: f.dataType for f in df.schema.fields}
     for c in columns:
-        df = df.filter(present(col(c), types[c]).isNotNull())
+        df = df.filter(is_present(col(c), types[c]))
     return df
 
 

@@ -13,20 +13,12 @@ from ..functions import quantiles
 from ..functions.columns import col, present
 
 
-def medians(df: DataFrame, columns: Sequence[str], exact: bool = False) -> dict[str, float]:
+def medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, float]:
     """Medians of many columns; columns without values are left out."""
     types = {f.name: f.dataType for f in df.schema.fields}
     values = {c: present(col(c), types[c]).cast("double") for c in columns}
-    if not values:
-        return {}
-    if exact:
-        found = {c: q[0] for c, q in quantiles.exact(df, values, [0.5]).items()}
-    else:
-        row = df.agg(
-            *[quantiles.approximate(v, [0.5]).alias(f"m{i}") for i, v in enumerate(values.values())]
-        ).first()
-        found = {c: row[f"m{i}"][0] if row[f"m{i}"] else None for i, c in enumerate(values)}
-    return {c: v for c, v in found.items() if v is not None}
+    found = (quantiles.exact if exact else quantiles.approximate)(df, values, [0.5])
+    return {c: q[0] for c, q in found.items() if q[0] is not None}
 
 
 def means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | Decimal]:

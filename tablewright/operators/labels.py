@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import Snapshot, col, is_numeric, is_text, present, ratio
+from ..functions.columns import Snapshot, col, is_numeric, is_present, is_text, ratio
 from .features import (
     FEATURES,
     LABEL_INDEX,
@@ -196,7 +196,7 @@ def _complete(df: DataFrame, columns: Sequence[str]):
     types = {f.name: f.dataType for f in df.schema.fields}
     complete = F.lit(True)
     for c in columns:
-        complete = complete & present(col(c), types[c]).isNotNull()
+        complete = complete & is_present(col(c), types[c])
     return complete
 
 

@@ -75,30 +75,16 @@ def drifted_from_number(name, data_type, reference: Snapshot | None) -> bool:
 
 
 def find_fences(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    multiplier: float = 1.5,
-    exact: bool = False,
-    error: float = quantiles.DEFAULT_ERROR,
+    df: DataFrame, values: Mapping[str, Column], multiplier: float = 1.5, exact: bool = True
 ) -> dict[str, Fence]:
     """Quartile fences of many columns; columns without values have none."""
-    if not values:
-        return {}
-    probabilities = [0.25, 0.75]
-    if exact:
-        found = quantiles.exact(df, values, probabilities)
-    else:
-        row = df.agg(
-            *[
-                quantiles.approximate(v, probabilities, error).alias(f"q{i}")
-                for i, v in enumerate(values.values())
-            ]
-        ).first()
-        found = {name: row[f"q{i}"] for i, name in enumerate(values)}
+    quartiles = (quantiles.exact if exact else quantiles.approximate)(df, values, [0.25, 0.75])
+    return as_fences(quartiles, multiplier)
+
+
+def as_fences(quartiles: Mapping[str, Sequence[float | None]], multiplier: float) -> dict[str, Fence]:
     return {
-        name: Fence(q[0], q[1], multiplier)
-        for name, q in found.items()
-        if q is not None and q[0] is not None
+        name: Fence(q1, q3, multiplier) for name, (q1, q3) in quartiles.items() if q1 is not None
     }
 
 
@@ -106,7 +92,7 @@ def outliers(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     multiplier: float = 1.5,
-    exact: bool = False,
+    exact: bool = True,
     reference: Snapshot | None = None,
 ) -> DataFrame:
     """One row per numeric column with its fences and the rows beyond them.

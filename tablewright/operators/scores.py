@@ -122,7 +122,7 @@ def area_under_roc(predictions: DataFrame, positive: str, score: str) -> DataFra
         F.count_if(label).alias("p"), F.count_if(~label).alias("n")
     )
     steps = [i / _AUC_BUCKETS for i in range(1, _AUC_BUCKETS)]
-    cuts = by_score.agg(quantiles.approximate(F.col("s"), steps).alias("q")).first()["q"] or []
+    cuts = [c for c in quantiles.approximate(by_score, {"s": F.col("s")}, steps)["s"] if c is not None]
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
     bucketed = Bucketizer(splits=edges, inputCol="s", outputCol="b", handleInvalid="keep").transform(by_score)
     below = _running_negatives("b", "s")

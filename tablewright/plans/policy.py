@@ -41,7 +41,7 @@ class RepairPolicy:
     skew_target_partitions: int | None = None
     skip_imputation: bool = False
     cap_label: bool = False
-    exact_quantiles: bool = False
+    exact_quantiles: bool = True
     row_filters: dict[str, tuple[float | None, float | None]] = field(default_factory=dict)
     cap_limits: dict[str, tuple[float | None, float | None]] = field(default_factory=dict)
 

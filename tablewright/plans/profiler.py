@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import grades, quantiles
 from ..functions.columns import Snapshot, as_snapshot, has_nan, is_text, snapshot
+from ..functions.summaries import Measure, count_where, sketch, summarise
 from ..operators import duplicates as dup
 from ..operators import labels
-from ..operators.completeness import missing_counts
-from ..operators.outliers import ZERO_IQR_MESSAGE, Fence, numeric_values
+from ..operators.completeness import missing_tests
+from ..operators.outliers import ZERO_IQR_MESSAGE, Fence, as_fences, numeric_values
 from ..operators.schemas import find_drift
 
 Report = dict[str, Any]
@@ -23,6 +24,7 @@ _KEY_NOTE = (
     "Rows that share a key value need not be duplicates; nothing is removed for "
     "it unless key-based deduplication is switched on."
 )
+_QUARTILES = (0.25, 0.75)
 _WHOLE_ROW, _LABEL, _COMPOSITE = "\0row", "\0label", "\0composite"
 
 
@@ -30,13 +32,14 @@ class DataProfiler:
     """Measures six quality dimensions of a DataFrame without changing it.
 
     Whatever the width of the table, a profile takes: one scan for row count,
-    missing values and quartiles of all columns; one scan for outliers of all
+    missing values and quantile sketches of all columns, and a few scans that
+    narrow the sketches down to exact quartiles; one scan for outliers of all
     columns; and one scan with a single shuffle for exact duplicates, all keys,
     the composite key and the label together. A string label adds a forest fit.
 
     ``restore_drifted_types`` reads numbers that drifted to text as numbers when
-    looking for outliers. ``exact_quantiles`` replaces the quantile sketch by
-    the exact search, for a few scans more.
+    looking for outliers. Without ``exact_quantiles`` the sketched quartiles are
+    taken as they are: fewer scans, but values that may vary between runs.
     """
 
     def __init__(
@@ -44,8 +47,7 @@ class DataProfiler:
         outlier_iqr_multiplier: float = 1.5,
         label_noise_min_rows: int = 30,
         label_noise_confidence_threshold: float = 0.65,
-        exact_quantiles: bool = False,
-        quantile_error: float = quantiles.DEFAULT_ERROR,
+        exact_quantiles: bool = True,
         restore_drifted_types: bool = True,
         strict: bool = False,
     ):
@@ -53,7 +55,6 @@ class DataProfiler:
         self.label_noise_min_rows = label_noise_min_rows
         self.label_noise_confidence_threshold = label_noise_confidence_threshold
         self.exact_quantiles = exact_quantiles
-        self.quantile_error = quantile_error
         self.restore_drifted_types = restore_drifted_types
         self.strict = strict
 
@@ -85,14 +86,17 @@ class DataProfiler:
             "label_noise": self._labels(df, label_col, basics, census, reference),
         }
 
-    def _scan_basics(self, df: DataFrame, values) -> dict[str, Any]:
-        quartiles = []
-        if not self.exact_quantiles:
-            quartiles = [
-                quantiles.approximate(v, [0.25, 0.75], self.quantile_error).alias(f"q_{i}")
-                for i, v in enumerate(values.values())
-            ]
-        return df.agg(F.count(F.lit(1)).alias("rows"), *missing_counts(df), *quartiles).first().asDict()
+    def _scan_basics(self, df: DataFrame, values: Mapping[str, Column]) -> dict[str, Any]:
+        """Row count, missing counts and quantile sketches from one scan."""
+        measures = {"rows": Measure(F.count(F.lit(1)))}
+        measures |= {name: count_where(test) for name, test in missing_tests(df).items()}
+        counts = [F.col(name) for name in measures]
+        for i, value in enumerate(values.values()):
+            measures[f"s{i}"] = sketch(value)
+            counts.append(F.kll_sketch_get_n_double(f"s{i}").alias(f"n{i}"))
+            shares = quantiles.around(_QUARTILES) if self.exact_quantiles else _QUARTILES
+            counts.append(quantiles.from_sketch(f"s{i}", shares).alias(f"q{i}"))
+        return summarise(df, measures).select(*counts).first().asDict()
 
     def _missingness(self, df: DataFrame, basics: Mapping[str, Any]) -> Report:
         rows, report = basics["rows"], {}
@@ -106,16 +110,15 @@ class DataProfiler:
             } | ({"nan_count": nans} if has_nan(f.dataType) else {})
         return report
 
-    def _fences(self, df: DataFrame, values, basics) -> dict[str, Fence]:
+    def _fences(self, df: DataFrame, values: Mapping[str, Column], basics: Mapping[str, Any]) -> dict[str, Fence]:
         if self.exact_quantiles:
-            found = quantiles.exact(df, values, [0.25, 0.75])
+            names = {name: f"v{i}" for i, name in enumerate(values)}
+            sketched = {a: (basics[f"n{i}"], basics[f"q{i}"]) for i, a in enumerate(names.values())}
+            data = df.select(*[values[name].alias(a) for name, a in names.items()])
+            found = quantiles.search(data, names, sketched, _QUARTILES)
         else:
-            found = {name: basics[f"q_{i}"] for i, name in enumerate(values)}
-        return {
-            name: Fence(q[0], q[1], self.outlier_iqr_multiplier)
-            for name, q in found.items()
-            if q is not None and q[0] is not None
-        }
+            found = {name: basics[f"q{i}"] or (None, None) for i, name in enumerate(values)}
+        return as_fences(found, self.outlier_iqr_multiplier)
 
     def _outliers(self, df: DataFrame, rows: int, values, fences: Mapping[str, Fence]) -> Report:
         if not fences:

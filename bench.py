@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from catalogue.tables import dirty_orders, table  # noqa: E402
+from catalogue.tables import stored_orders, table  # noqa: E402
 from tablewright import (  # noqa: E402
     CleaningCycle, DataProfiler, RepairEngine, RepairPolicy, SparkMLRegressionEvaluator, SyntheticDataGenerator,
     SyntheticIssueConfig,
@@ -80,7 +80,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     lines = table(spark, FOLDER, "lineitem")
     orders = table(spark, FOLDER, "orders")
-    dirty = dirty_orders(spark, FOLDER)
+    dirty = stored_orders(spark, FOLDER)
     label = "o_orderstatus"
     profiler = DataProfiler()
     profile = profiler.profile(dirty, ["o_custkey"])

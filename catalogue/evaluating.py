@@ -18,8 +18,8 @@ from tablewright.sources.storage import materialise, shared_folder
 
 from .repairing import MEDIAN, mode_of
 from .tables import (
-    DIRTY, ORDER_COLUMNS, ORDER_NUMBERS, beyond, capped, dirty_orders, div, drifted_orders, fence,
-    grade, n, table, with_dirty,
+    ORDER_COLUMNS, ORDER_NUMBERS, beyond, capped, dirty_orders, div, drifted_orders, fence,
+    grade, n, stored_orders, table, with_dirty,
 )
 
 QUERIES, ORACLES = {}, {}
@@ -40,7 +40,7 @@ EXACT = DataProfiler()
 
 
 def _cleaned(spark, folder):
-    df = dirty_orders(spark, folder)
+    df = stored_orders(spark, folder)
     repaired = RepairEngine(POLICY).repair(df, EXACT.profile(df), label_col="o_orderstatus")
     return df, materialise(repaired.cleaned_df, "cleaned").df, repaired.actions
 
@@ -230,7 +230,7 @@ def residuals(spark, folder):
 
 
 def _order_without_label(spark, folder):
-    return dirty_orders(spark, folder).drop("o_orderstatus")
+    return stored_orders(spark, folder).drop("o_orderstatus")
 
 
 # Two turns of the loop in SQL: the second caps what is still outside the fences

@@ -11,7 +11,7 @@ from tablewright.operators import inject, scores
 from tablewright.plans.models import compare_conditions
 from tablewright.sources.storage import materialise
 
-from .tables import dirty_orders, n, table, u, with_dirty
+from .tables import dirty_orders, n, stored_orders, table, u, with_dirty
 
 QUERIES, ORACLES = {}, {}
 
@@ -210,7 +210,7 @@ _FEATURES = (["o_custkey", "o_totalprice"], ["o_orderpriority"])
 
 
 def _repaired(spark, folder):
-    df = materialise(dirty_orders(spark, folder), "dirty").df
+    df = stored_orders(spark, folder)
     profile = DataProfiler().profile(df)
     cleaned = RepairEngine(RepairPolicy()).repair(df, profile, label_col="o_orderstatus").cleaned_df
     return df, materialise(cleaned, "cleaned").df

@@ -12,7 +12,7 @@ from tablewright.plans.verify import verify_profiler_accuracy
 
 from .tables import (
     DIRTY, ORDER_COLUMNS, ORDER_NUMBERS, beyond, dirty_orders, div, drifted_orders, events_with_nan,
-    fence, grade, n, table, u, with_dirty,
+    fence, grade, n, stored_orders, table, u, with_dirty,
 )
 
 QUERIES, ORACLES = {}, {}
@@ -238,7 +238,7 @@ PROFILE_KEYS = ["o_custkey", "o_orderpriority"]
 
 
 def _profile(spark, folder):
-    df = dirty_orders(spark, folder)
+    df = stored_orders(spark, folder)
     reference = snapshot(table(spark, folder, "orders").schema)
     return DataProfiler().profile(df, PROFILE_KEYS, reference)
 
@@ -352,7 +352,7 @@ def severity_flags(spark, folder):
     )
 )
 def profiler_ground_truth(spark, folder):
-    df = dirty_orders(spark, folder)
+    df = stored_orders(spark, folder)
     found = verify_profiler_accuracy(df, DataProfiler().profile(df))
     rows = [
         (d, found[d][f"ground_truth_{c}"], found[d][f"profiler_{c}"], found[d]["exact_match"], found[d]["detection_accuracy_pct"])

@@ -12,7 +12,7 @@ from tablewright.sources import readers
 from tablewright.sources.sampling import sample_rows
 from tablewright.sources.storage import materialise, shared_folder
 
-from .tables import ORDER_COLUMNS, ORDER_ID, dirty_orders, n, table, u, with_dirty
+from .tables import ORDER_COLUMNS, ORDER_ID, dirty_orders, table, with_dirty
 
 QUERIES, ORACLES = {}, {}
 

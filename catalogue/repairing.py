@@ -8,7 +8,7 @@ from tablewright import DataProfiler, RepairEngine, RepairPolicy
 from tablewright.functions.columns import snapshot
 from tablewright.operators import bounds, duplicates, fills, labels, layout, outliers, schemas
 
-from .tables import DIRTY, beyond, capped, dirty_orders, drifted_orders, div, fence, n, table, with_dirty
+from .tables import beyond, capped, dirty_orders, drifted_orders, div, fence, n, stored_orders, table, with_dirty
 
 QUERIES, ORACLES = {}, {}
 
@@ -208,7 +208,7 @@ _AUTO_REPAIRED = f"""SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus,
 
 
 def _auto_repair(spark, folder):
-    df = dirty_orders(spark, folder)
+    df = stored_orders(spark, folder)
     profile = DataProfiler().profile(df, ["o_orderkey"])
     return RepairEngine(_AUTO).repair(df, profile, label_col="o_orderstatus")
 

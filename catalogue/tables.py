@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators import inject
+from tablewright.sources.storage import materialise
 
 ORDER_ID = ["o_orderkey"]
 
@@ -26,6 +27,11 @@ def dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
     return inject.duplicate_rows(df, 0.02, 60, ORDER_ID)
 
 
+def stored_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The dirty orders as a table on disk, for queries that scan them often."""
+    return materialise(dirty_orders(spark, folder), "dirty").df
+
+
 def drifted_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Dirty orders whose price became text and which lost and gained a column."""
     df = inject.drifted_schema(

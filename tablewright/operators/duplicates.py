@@ -66,15 +66,16 @@ def exact_duplicate_count(df: DataFrame, suspect_groups: int) -> int:
         return 0
     if suspect_groups > _BROADCAST_GROUPS:
         return exact_duplicates(df).first()["duplicate_count"]
-    hashed = df.select(*fingerprint(df), *group_columns(df))
+    # The hashes come last: Spark tracks equalities between an expression and the
+    # aliases after it, and a hash of all columns has very many.
+    hashed = df.select("*", *fingerprint(df))
     repeated = (
         hashed.groupBy(*FINGERPRINT).agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 1)
         .select(*FINGERPRINT)
     )
     suspects = hashed.join(F.broadcast(repeated), list(FINGERPRINT), "left_semi")
-    groups = suspects.groupBy(*[f"g{i}" for i in range(len(df.columns))])
-    extra = groups.agg((F.count(F.lit(1)) - 1).alias("extra"))
+    extra = suspects.groupBy(*map(col, df.columns)).agg((F.count(F.lit(1)) - 1).alias("extra"))
     return extra.agg(F.coalesce(F.sum("extra"), F.lit(0))).first()[0]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import Snapshot, col, is_numeric, is_present, is_text, ratio
+from ..sources.storage import store_for_training
 from .features import (
     FEATURES,
     LABEL_INDEX,
@@ -124,13 +125,18 @@ def estimate_label_noise(
     if counted["n"] < min_rows:
         return NoiseEstimate(counted["n"], features=features)
     sizes = {c: counted[f"card_{i}"] for i, c in enumerate(features.text)}
-    scored = with_confidence(fit_forest(training, label, features, sizes, NOISE_DEPTH).transform(training))
-    wrong = F.col(LABEL_INDEX) != F.col(_PREDICTION)
-    row = scored.agg(
-        F.count_if(wrong & (F.col(_CONFIDENCE) >= threshold)).alias("suspected"),
-        F.avg(_CONFIDENCE).alias("average"),
-        F.count_if(F.col(_CONFIDENCE) < threshold).alias("low"),
-    ).first()
+    stored = store_for_training(training)
+    try:
+        model = fit_forest(stored.df, label, features, sizes, NOISE_DEPTH)
+        scored = with_confidence(model.transform(stored.df))
+        wrong = F.col(LABEL_INDEX) != F.col(_PREDICTION)
+        row = scored.agg(
+            F.count_if(wrong & (F.col(_CONFIDENCE) >= threshold)).alias("suspected"),
+            F.avg(_CONFIDENCE).alias("average"),
+            F.count_if(F.col(_CONFIDENCE) < threshold).alias("low"),
+        ).first()
+    finally:
+        stored.drop()
     return NoiseEstimate(counted["n"], row["suspected"], row["average"], row["low"], features)
 
 
@@ -174,7 +180,11 @@ def impute_labels(
     if candidates == 0:
         return LabelFill(df, NO_CANDIDATES, training_rows)
     training = df.filter(has_label & complete).select(*map(col, [*features.all, label]))
-    model = fit_forest(training, label, features, text_column_sizes(training, features.text), None)
+    stored = store_for_training(training)
+    try:
+        model = fit_forest(stored.df, label, features, text_column_sizes(stored.df, features.text), None)
+    finally:
+        stored.drop()
     classes = label_classes(model)
     if not classes:
         return LabelFill(df, NO_CLASSES, training_rows, candidates)

@@ -14,6 +14,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import scores
+from ..sources.storage import store_for_training
 from ..operators.features import FEATURES, LABEL_INDEX, feature_stages, label_indexer, text_column_sizes
 
 Metrics = dict[str, Any]
@@ -93,6 +94,13 @@ class _Comparison:
         rows = scores.modelling_rows(
             df, numeric, categorical, label, self.numeric_label, self.id_columns
         )
+        stored = store_for_training(rows)
+        try:
+            return self._scores_and_stability(stored.df, label, numeric, categorical)
+        finally:
+            stored.drop()
+
+    def _scores_and_stability(self, rows, label, numeric, categorical) -> Metrics:
         sizes = text_column_sizes(rows, categorical)
         metrics = self._fit_and_score(rows, label, numeric, categorical, sizes, self.seed)
         folds = []

@@ -50,6 +50,14 @@ def materialise(df: DataFrame, name: str = "table") -> StoredTable:
     return StoredTable(path, df.sparkSession.read.schema(df.schema).parquet(path))
 
 
+def store_for_training(df: DataFrame) -> StoredTable:
+    """Materialise rows that a model will read many times, in even partitions."""
+    spark = df.sparkSession
+    parallelism = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(parallelism, spark.sparkContext.defaultParallelism)
+    return materialise(df.repartition(partitions), "training")
+
+
 def write_and_read(df: DataFrame, path: str) -> DataFrame:
     """Overwrite a Parquet table at a path of the caller's choice and read it back."""
     df.write.mode("overwrite").parquet(path)

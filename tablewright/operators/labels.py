@@ -125,7 +125,7 @@ def estimate_label_noise(
     if counted["n"] < min_rows:
         return NoiseEstimate(counted["n"], features=features)
     sizes = {c: counted[f"card_{i}"] for i, c in enumerate(features.text)}
-    stored = store_for_training(training)
+    stored = store_for_training(training, counted["n"])
     try:
         model = fit_forest(stored.df, label, features, sizes, NOISE_DEPTH)
         scored = with_confidence(model.transform(stored.df))
@@ -180,7 +180,7 @@ def impute_labels(
     if candidates == 0:
         return LabelFill(df, NO_CANDIDATES, training_rows)
     training = df.filter(has_label & complete).select(*map(col, [*features.all, label]))
-    stored = store_for_training(training)
+    stored = store_for_training(training, training_rows)
     try:
         model = fit_forest(stored.df, label, features, text_column_sizes(stored.df, features.text), None)
     finally:

@@ -12,10 +12,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import scores
 from ..sources.storage import store_for_training
-from ..operators.features import FEATURES, LABEL_INDEX, feature_stages, label_indexer, text_column_sizes
+from ..operators.features import FEATURES, LABEL_INDEX, cardinalities, feature_stages, label_indexer
 
 Metrics = dict[str, Any]
 _PREDICTION = "prediction"
@@ -94,14 +95,17 @@ class _Comparison:
         rows = scores.modelling_rows(
             df, numeric, categorical, label, self.numeric_label, self.id_columns
         )
-        stored = store_for_training(rows)
+        found = rows.agg(F.count(F.lit(1)).alias("n"), *cardinalities(categorical)).first()
+        if found["n"] == 0:
+            raise ValueError("No complete rows available for ML evaluation.")
+        sizes = {c: found[f"card_{i}"] for i, c in enumerate(categorical)}
+        stored = store_for_training(rows, found["n"])
         try:
-            return self._scores_and_stability(stored.df, label, numeric, categorical)
+            return self._scores_and_stability(stored.df, label, numeric, categorical, sizes)
         finally:
             stored.drop()
 
-    def _scores_and_stability(self, rows, label, numeric, categorical) -> Metrics:
-        sizes = text_column_sizes(rows, categorical)
+    def _scores_and_stability(self, rows, label, numeric, categorical, sizes) -> Metrics:
         metrics = self._fit_and_score(rows, label, numeric, categorical, sizes, self.seed)
         folds = []
         if self.validation_folds > 1:
@@ -113,8 +117,6 @@ class _Comparison:
 
     def _fit_and_score(self, rows, label, numeric, categorical, sizes, seed) -> Metrics:
         counts = scores.split_counts(rows, self.train_fraction, seed, self.id_columns).first().asDict()
-        if counts["ml_row_count"] == 0:
-            raise ValueError("No complete rows available for ML evaluation.")
         if counts["train_row_count"] == 0 or counts["test_row_count"] == 0:
             raise ValueError(
                 "Train/test split produced an empty split. Use more rows or adjust train_fraction."

@@ -9,6 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_TRAINING_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,12 +51,15 @@ def materialise(df: DataFrame, name: str = "table") -> StoredTable:
     return StoredTable(path, df.sparkSession.read.schema(df.schema).parquet(path))
 
 
-def store_for_training(df: DataFrame) -> StoredTable:
-    """Materialise rows that a model will read many times, in even partitions."""
+def store_for_training(df: DataFrame, rows: int) -> StoredTable:
+    """Materialise rows that a model will read many times, in even partitions.
+
+    Few rows go to few partitions, for every pass over them starts a task per
+    partition; many rows go to as many as the session uses for shuffles.
+    """
     spark = df.sparkSession
-    parallelism = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(parallelism, spark.sparkContext.defaultParallelism)
-    return materialise(df.repartition(partitions), "training")
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return materialise(df.repartition(min(most, 1 + rows // _TRAINING_ROWS)), "training")
 
 
 def write_and_read(df: DataFrame, path: str) -> DataFrame:

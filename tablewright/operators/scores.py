@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import quantiles
 from ..functions.columns import col, ratio
 from ..functions.draws import row_identity, uniform
 from .features import complete_rows
 from .schemas import cast_to
 
 SPLIT_DRAW = "__draw"
-_AUC_BUCKETS = 256
 
 
 def modelling_rows(
@@ -112,31 +109,28 @@ def classification_scores(predictions: DataFrame, label: str, prediction: str, b
 def area_under_roc(predictions: DataFrame, positive: str, score: str) -> DataFrame:
     """Exact AUC: the share of (positive, negative) pairs ranked right, ties half.
 
-    Rows collapse to counts per score. Scores fall into quantile buckets, each
-    bucket is ranked on its own, and the buckets are then chained by their
-    totals. No task sees more than one bucket, and a score shared by many rows
-    is one row by then. Counts stay whole numbers until the division.
+    Rows collapse to counts per score, so a score shared by many rows is one row.
+    The scores are range-partitioned, each range is ranked on its own, and the
+    ranges are then chained by their totals. There are as many ranges as shuffle
+    partitions, so no task holds more than its share of the scores and the last
+    one only one row per range. Counts stay whole numbers until the division.
     """
     label = F.coalesce(col(positive).cast("boolean"), F.lit(False))
     by_score = predictions.groupBy(col(score).cast("double").alias("s")).agg(
         F.count_if(label).alias("p"), F.count_if(~label).alias("n")
     )
-    steps = [i / _AUC_BUCKETS for i in range(1, _AUC_BUCKETS)]
-    cuts = [c for c in quantiles.approximate(by_score, {"s": F.col("s")}, steps)["s"] if c is not None]
-    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    bucketed = Bucketizer(splits=edges, inputCol="s", outputCol="b", handleInvalid="keep").transform(by_score)
-    below = _running_negatives("b", "s")
-    ranked = bucketed.withColumn("below", below)
+    ranges = by_score.repartitionByRange("s").withColumn("b", F.spark_partition_id())
+    ranked = ranges.withColumn("below", _negatives_before(Window.partitionBy("b").orderBy("s")))
     pairs = F.col("p").cast("decimal(38,0)") * (2 * F.col("below") + F.col("n"))
-    buckets = ranked.groupBy("b").agg(
-        F.sum(pairs).alias("inner"), F.sum("p").alias("p"), F.sum("n").alias("n")
+    totals = ranked.groupBy("b").agg(
+        F.min("s").alias("start"), F.sum(pairs).alias("inner"), F.sum("p").alias("p"), F.sum("n").alias("n")
     )
-    chained = buckets.withColumn("below", _running_negatives(None, "b"))
-    total = F.sum(F.col("inner") + 2 * F.col("p").cast("decimal(38,0)") * F.col("below"))
+    chained = totals.withColumn("below", _negatives_before(Window.partitionBy(F.lit(0)).orderBy("start")))
+    right = F.sum(F.col("inner") + 2 * F.col("p").cast("decimal(38,0)") * F.col("below"))
     return chained.agg(
         F.coalesce(F.sum("p"), F.lit(0)).alias("positives"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("negatives"),
-        F.coalesce(total, F.lit(0)).cast("decimal(38,0)").alias("twice_pairs_right"),
+        F.coalesce(right, F.lit(0)).cast("decimal(38,0)").alias("twice_pairs_right"),
     ).select(
         "positives",
         "negatives",
@@ -147,11 +141,9 @@ def area_under_roc(predictions: DataFrame, positive: str, score: str) -> DataFra
     )
 
 
-def _running_negatives(partition: str | None, order: str):
-    # Without a partition this runs over at most _AUC_BUCKETS + 1 rows.
-    window = Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))
-    window = window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("n").over(window), F.lit(0))
+def _negatives_before(window):
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("n").over(earlier), F.lit(0))
 
 
 def regression_scores(predictions: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from tablewright import (
 )
 from tablewright.functions.columns import snapshot
 from tablewright.operators import changes, completeness, duplicates, outliers, runs, schemas
-from tablewright.plans.loop import compute_residuals
+from tablewright.plans.loop import compute_residuals, failed_issues
 from tablewright.plans.repair import actions_frame
 from tablewright.sources.storage import materialise, shared_folder
 
@@ -229,6 +229,33 @@ def residuals(spark, folder):
     )
 
 
+_LIMITS = {"missingness": 0.01, "outliers": 0.01, "duplicates": 0.0, "skew": 10.0}
+
+
+@query(
+    with_dirty(
+        "SELECT * FROM ("
+        + " UNION ALL ".join(
+            f"""SELECT '{issue}' AS issue, {issue} AS residual, {limit}::DOUBLE AS threshold,
+                {'true' if issue in ('outliers', 'skew') else 'false'} AS retried FROM left_over"""
+            for issue, limit in _LIMITS.items()
+        )
+        + ") WHERE residual > threshold",
+        *_RAW_FENCES,
+        f"left_over AS (SELECT {_residual_facts('dirty', 'r')})",
+    )
+)
+def failed_thresholds(spark, folder):
+    """Which issue types are over their limit, and which of them a next cycle tries again."""
+    config = PDSAConfig(max_skew_ratio=_LIMITS["skew"])
+    left = compute_residuals(EXACT.profile(stored_orders(spark, folder), KEYS))
+    rows = [
+        (issue, left[issue], config.limits()[issue], issue in config.iterative_issue_types)
+        for issue in failed_issues(left, config)
+    ]
+    return spark.createDataFrame(rows, "issue string, residual double, threshold double, retried boolean")
+
+
 def _order_without_label(spark, folder):
     return stored_orders(spark, folder).drop("o_orderstatus")
 

@@ -291,6 +291,19 @@ def repair_drifted(spark, folder):
     return repaired.cleaned_df
 
 
+@query(
+    with_dirty(
+        f"""SELECT o_orderkey, {capped('o_totalprice', 'f')} AS o_totalprice, o_orderpriority FROM dirty""",
+        fence("f", "dirty", "o_totalprice"),
+    )
+)
+def repair_without_imputation(spark, folder):
+    """Imputation and deduplication switched off: only bounds apply, nulls stay."""
+    df = dirty_orders(spark, folder).select("o_orderkey", "o_totalprice", "o_orderpriority")
+    policy = RepairPolicy(skip_imputation=True, drop_duplicates=False)
+    return RepairEngine(policy).repair(df, DataProfiler().profile(df)).cleaned_df
+
+
 @query(with_dirty("SELECT o_orderkey, o_custkey, o_totalprice FROM dirty"))
 def skew_repartition(spark, folder):
     df = dirty_orders(spark, folder).select("o_orderkey", "o_custkey", "o_totalprice")

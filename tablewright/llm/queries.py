@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import packing, pii, quality, simhash
@@ -26,9 +26,13 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span.kind == kind
+
+
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(table(spark, folder, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     base = F.sha2(pii.written(F.col("base")), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, pii.written(F.col("spans")).alias("spans"))
 

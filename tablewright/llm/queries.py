@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import packing, pii, quality, simhash
+from tablewright.llm import bpe, packing, pii, quality, secrets, simhash
 from tablewright.llm.shared import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -42,11 +46,20 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"))
+    counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    base = F.sha2(secrets.written(F.filter("spans", lambda s: s.kind.isin(*secrets.BASE))), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op4_packing": op4_packing,
     "op6_pii": op6_pii,
     "op8_quality": op8_quality,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {}

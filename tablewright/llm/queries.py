@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, packing, pii, quality, secrets, simhash
+from tablewright.llm import bpe, kneser_ney, packing, pii, quality, secrets, simhash
 from tablewright.llm.shared import table
 
 
@@ -41,6 +41,15 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, base, pii.written(F.col("spans")).alias("spans"))
 
 
+def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = kneser_ney.train(docs.filter(~kneser_ney.held_out()))
+    scored = kneser_ney.score(docs, model, flag=kneser_ney.held_out())
+    return scored.select(
+        "doc_id", F.col("flag").alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -58,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_packing": op4_packing,
     "op6_pii": op6_pii,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_quality": op8_quality,
     "op10_secrets": op10_secrets,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, kneser_ney, packing, pii, quality, secrets, simhash
+from tablewright.llm import bpe, kneser_ney, packing, pii, quality, secrets, simhash, top_k
 from tablewright.llm.shared import table
 
 
@@ -34,6 +34,10 @@ def _is(kind: str) -> Callable[[Column], Column]:
     return lambda span: span.kind == kind
 
 
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.top_k(table(spark, folder, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(table(spark, folder, "documents"))
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
@@ -66,10 +70,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op4_packing": op4_packing,
+    "op5_top_k": op5_top_k,
     "op6_pii": op6_pii,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_quality": op8_quality,
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_top_k": """
+        WITH v AS (
+          SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+          FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(
+            list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        ), s AS (
+          SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+          FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0
+        ), k AS (
+          SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
+}

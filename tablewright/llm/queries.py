@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, kneser_ney, packing, pii, quality, secrets, simhash, top_k
+from tablewright.llm import bpe, html_text, kneser_ney, packing, pii, quality, secrets, simhash, top_k, url_lists
 from tablewright.llm.shared import table
 
 
@@ -26,6 +26,41 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+_START = 1_704_067_200  # 2024-01-01 in seconds
+_DAY = 86_400
+
+
+def _draw(text: str) -> str:
+    return f"cast(conv(substr(md5({text}), 1, 6), 16, 10) as bigint)"
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries on hosts, domains and prefixes of the pages, drawn by hash: added, removed, added again."""
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    labels = "split(host, '[.]')"
+    kinds = (
+        ("spam", "host", "host", 2, 4),
+        ("adult", "domain", f"array_join(slice({labels}, greatest(size({labels}) - 1, 1), 2), '.')", 5, 1),
+        ("adult", "domain", f"array_join(slice({labels}, 2, size({labels})), '.')", 4, 2),
+        ("malware", "prefix", "concat(host, '/en')", 3, 3),
+    )
+    structs = ", ".join(
+        f"named_struct('list', '{name}', 'kind', '{kind}', 'pattern', {pattern}, 'n', {_draw('host')}, 'every', {every}, 'times', {times})"
+        for name, kind, pattern, every, times in kinds
+    )
+    parts = hosts.selectExpr(f"inline(array({structs}))")
+    drawn = parts.filter("n % every = 0 AND pattern <> ''").selectExpr("*", "explode(sequence(0, times - 1)) as k")
+    return drawn.selectExpr(
+        "list", "kind", "pattern", "if(k % 2 = 0, 'add', 'remove') as action",
+        f"{_START} + (n % 150 + 60 * k) * {_DAY} as at")
+
+
+def op3_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    fetched = F.expr(f"{_START} + (page_id * 104729 % 360) * {_DAY} + page_id % {_DAY}")
+    return url_lists.evaluate(pages.withColumn("fetched_at", fetched), list_entries(pages))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -59,6 +94,10 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(table(spark, folder, "documents"))
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in secrets.BASE]
@@ -69,15 +108,52 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
+    "op3_url_lists": op3_url_lists,
     "op4_packing": op4_packing,
     "op5_top_k": op5_top_k,
     "op6_pii": op6_pii,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_quality": op8_quality,
+    "op9_html": op9_html,
     "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_url_lists": """
+        WITH c AS (
+          SELECT page_id, url, 1704067200 + (page_id * 104729 % 360) * 86400 + page_id % 86400 AS fetched_at,
+            rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+            regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1) AS path
+          FROM pages
+        ), h AS (
+          SELECT host, string_split(host, '.') AS labels, CAST(CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS BIGINT) AS n
+          FROM (SELECT DISTINCT host FROM c WHERE host <> '')
+        ), d AS (
+          SELECT 'spam' AS list, 'host' AS kind, host AS pattern, n, 2 AS every, 4 AS times FROM h
+          UNION ALL SELECT 'adult', 'domain', array_to_string(labels[-2:], '.'), n, 5, 1 FROM h
+          UNION ALL SELECT 'adult', 'domain', array_to_string(labels[2:], '.'), n, 4, 2 FROM h
+          UNION ALL SELECT 'malware', 'prefix', host || '/en', n, 3, 3 FROM h
+        ), e AS (
+          SELECT list, kind, pattern, 1704067200 + (n % 150 + 60 * k) * 86400 AS "at",
+            max(CASE WHEN k % 2 = 0 THEN 'add' ELSE 'remove' END) AS action
+          FROM d, range(4) AS r(k) WHERE n % every = 0 AND pattern <> '' AND k < times GROUP BY ALL
+        ), i AS (
+          SELECT list, kind, pattern, action, "at" AS valid_from,
+            lead("at") OVER (PARTITION BY list, kind, pattern ORDER BY "at") AS valid_to FROM e
+        ), m AS (
+          SELECT u.url, u.fetched_at, i.list, i.valid_from
+          FROM (SELECT DISTINCT url, fetched_at, host, path FROM c) u JOIN i ON i.action = 'add'
+            AND i.valid_from <= u.fetched_at AND (i.valid_to IS NULL OR u.fetched_at < i.valid_to)
+            AND CASE i.kind WHEN 'host' THEN u.host = i.pattern
+              WHEN 'domain' THEN u.host = i.pattern OR ends_with(u.host, '.' || i.pattern)
+              ELSE u.host || u.path = i.pattern OR starts_with(u.host || u.path, i.pattern || '/') END
+        ), g AS (
+          SELECT url, fetched_at, count(*) AS n_active, min(valid_from) AS listed_since,
+            array_to_string(list_sort(list(DISTINCT list)), ',') AS lists FROM m GROUP BY ALL
+        )
+        SELECT c.page_id, c.url, c.fetched_at, g.n_active IS NOT NULL AS blocked, coalesce(g.n_active, 0) AS n_active,
+          coalesce(g.lists, '') AS lists, g.listed_since
+        FROM c LEFT JOIN g ON c.url = g.url AND c.fetched_at = g.fetched_at""",
     "op5_top_k": """
         WITH v AS (
           SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.shared import stored, texts
 
 KINDS = ("email", "ip", "card", "phone")
+ALONE = len(KINDS)
 MASKS = {kind: f"[{kind.upper()}]" for kind in KINDS}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -89,10 +90,12 @@ def _number(*parts: str) -> int:
 
 
 def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int, list[int]]]:
-    """(start, end, kind number or -1, instance, patterns) of base spans and candidates.
+    """(start, end, kind number, instance, patterns) of base spans and candidates.
 
     A candidate is a word outside the base spans that keeps four or more digits,
-    or an @ with text on both sides, once marks at its ends are off.
+    or an @ with text on both sides, once marks at its ends are off. Its kind is -1;
+    if it fits a base pattern on its own, as each of two card numbers side by side
+    does, the pattern's number and ``ALONE``.
     """
     ordered = sorted((a, b, KINDS.index(k)) for k, a, b in spans)
     found = list(ordered)
@@ -108,7 +111,8 @@ def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
         b = a + len(word)
         i = bisect_right(starts, b - 1) - 1
         if i < 0 or furthest[i] <= a:
-            found.append((a, b, -1))
+            whole = [k for k, *place in base_spans(word) if place == [0, len(word)]]
+            found.append((a, b, ALONE + KINDS.index(whole[0]) if whole else -1))
     result = []
     for a, b, kind in found:
         before, after = _context(text, a, b)
@@ -153,53 +157,46 @@ def scan(docs: DataFrame, id_column: str, text_column: str, carried: Column | No
 
 
 def bootstrap(seen: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
-    """instance, kind number, belief of the candidates believed after the last round.
+    """instance, kind number, belief of seeds and of the candidates believed after the last round.
 
-    ``seen`` has pattern, instance, kind. A pattern counts once ``support``
+    ``seen`` has instance, kind, patterns. A pattern counts once ``support``
     different instances of one kind in it are believed; its confidence is the
     share of believed instances among its instances and one more. Each round
     reads the graph once; both sides are grouped before they are joined, and of a
     hot pattern the graph holds each instance once.
     """
-    graph = stored(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-graph")
-    kinds = [F.sum(F.when(F.col("of") == k, F.col("belief")).otherwise(0.0)).alias(f"k{k}") for k in range(len(KINDS))]
-    believed = None
+    seeds = seen.filter("kind >= 0").groupBy("instance").agg(F.max(F.col("kind") % ALONE).alias("kind"))
+    seeds = stored(seeds.withColumn("belief", F.lit(1.0)), "pii-seeds")
+    graph = stored(seen.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "pii-graph")
+    per_kind = [F.sum(F.when(F.col("kind") == k, F.col("belief")).otherwise(0.0)).alias(f"k{k}") for k in range(ALONE)]
+    best = F.greatest(*(f"k{k}" for k in range(ALONE)))
+    of = F.coalesce(*(F.when(F.col(f"k{k}") == best, F.lit(k)) for k in range(ALONE)))
+    believed = seeds
     for _ in range(rounds):
-        if believed is None:
-            scored = graph.withColumns({"of": F.col("kind"), "belief": (F.col("kind") >= 0).cast("double")})
-        else:
-            scored = graph.join(believed.withColumnRenamed("kind", "own"), "instance", "left").withColumns({
-                "of": F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.col("own")),
-                "belief": F.when(F.col("kind") >= 0, 1.0).otherwise(F.coalesce("belief", F.lit(0.0))),
-            })
-        patterns = scored.groupBy("pattern").agg(F.count("*").alias("n"), *kinds)
-        best = F.greatest(*(f"k{k}" for k in range(len(KINDS))))
-        of = F.coalesce(*(F.when(F.col(f"k{k}") == best, F.lit(k)) for k in range(len(KINDS))))
-        good = patterns.filter(best >= support).select("pattern", of.alias("of"), (best / (F.col("n") + 1)).alias("sure"))
-        offers = graph.filter("kind < 0").join(good.filter(F.col("sure") >= 0.5), "pattern")
-        doubt = F.sum(F.log1p(-F.col("sure")))
-        each = offers.groupBy("instance", "of").agg(doubt.alias("doubt"))
-        top = each.groupBy("instance").agg(F.min_by("of", F.struct("doubt", "of")).alias("kind"), F.min("doubt").alias("doubt"))
-        believed = stored(
-            top.select("instance", "kind", (1 - F.exp("doubt")).alias("belief")).filter(F.col("belief") >= confidence),
-            "pii-believed",
-        )
+        patterns = graph.join(believed, "instance", "left").groupBy("pattern").agg(F.count("*").alias("n"), *per_kind)
+        good = patterns.filter(best >= support).select("pattern", of.alias("kind"), (best / (F.col("n") + 1)).alias("sure"))
+        offers = graph.join(good.filter(F.col("sure") >= 0.5), "pattern").join(seeds.select("instance"), "instance", "left_anti")
+        each = offers.groupBy("instance", "kind").agg(F.sum(F.log1p(-F.col("sure"))).alias("doubt"))
+        top = each.groupBy("instance").agg(F.min(F.struct("doubt", "kind")).alias("top"))
+        found = top.select("instance", "top.kind", (1 - F.exp("top.doubt")).alias("belief"))
+        believed = stored(seeds.unionByName(found.filter(F.col("belief") >= confidence)), "pii-believed")
     return believed
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carried: Column | None = None) -> DataFrame:
     """doc_id, carried, base and spans (arrays of kind, start, stop) of every row.
 
-    ``spans`` holds the base spans and, with the kind of their contexts, the
-    occurrences of candidates the bootstrap believes. Both are ordered by kind,
+    ``spans`` holds the base spans and the candidates that fit a base pattern on
+    their own, are found as base spans elsewhere, or are believed after the
+    bootstrap, which gives them the kind of their contexts. Both are ordered by kind,
     then start. A null text has none; repeated rows and null ids are kept; an
     empty table gives no rows. Other columns are not read.
     """
     found = stored(scan(docs, id_column, text_column, carried).withColumn("row", F.monotonically_increasing_id()), "pii")
     each = found.select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    believed = bootstrap(each.select(F.explode("patterns").alias("pattern"), "instance", "kind"))
-    new = each.filter("kind < 0").drop("kind").join(believed, "instance").groupBy("row").agg(
-        F.collect_set(F.struct("kind", "start", "stop")).alias("new"))
+    believed = bootstrap(each).select("instance", F.col("kind").alias("of"))
+    new = each.filter(f"kind < 0 OR kind >= {ALONE}").join(believed, "instance").groupBy("row").agg(
+        F.collect_set(F.struct(F.col("of").alias("kind"), "start", "stop")).alias("new"))
     numbered = F.transform("base", lambda s: F.struct(
         F.array_position(F.array(*map(F.lit, KINDS)), s.kind).cast("int").alias("kind"), s.start, s.stop))
     more = F.transform(F.coalesce("new", F.expr("array()")), lambda s: F.struct(

@@ -141,8 +141,8 @@ def pack(
     cut = stored(pieces(docs, tokenizer_file, capacity, id_column, text_column), "pieces")
     counts = cut.groupBy("length", "shard").count()
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))), "piece-counts")
-    totals = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    offsets = counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    totals = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     segments = _segments(plan(totals, capacity))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,9 +165,10 @@ def bootstrap(seen: DataFrame, rounds: int = 3, support: int = 3, confidence: fl
     reads the graph once; both sides are grouped before they are joined, and of a
     hot pattern the graph holds each instance once.
     """
+    rows = seen.count()
     seeds = seen.filter("kind >= 0").groupBy("instance").agg(F.max(F.col("kind") % ALONE).alias("kind"))
-    seeds = stored(seeds.withColumn("belief", F.lit(1.0)), "pii-seeds")
-    graph = stored(seen.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "pii-graph")
+    seeds = stored(seeds.withColumn("belief", F.lit(1.0)), "pii-seeds", rows)
+    graph = stored(seen.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "pii-graph", 2 * rows)
     per_kind = [F.sum(F.when(F.col("kind") == k, F.col("belief")).otherwise(0.0)).alias(f"k{k}") for k in range(ALONE)]
     best = F.greatest(*(f"k{k}" for k in range(ALONE)))
     of = F.coalesce(*(F.when(F.col(f"k{k}") == best, F.lit(k)) for k in range(ALONE)))
@@ -179,7 +180,7 @@ def bootstrap(seen: DataFrame, rounds: int = 3, support: int = 3, confidence: fl
         each = offers.groupBy("instance", "kind").agg(F.sum(F.log1p(-F.col("sure"))).alias("doubt"))
         top = each.groupBy("instance").agg(F.min(F.struct("doubt", "kind")).alias("top"))
         found = top.select("instance", "top.kind", (1 - F.exp("top.doubt")).alias("belief"))
-        believed = stored(seeds.unionByName(found.filter(F.col("belief") >= confidence)), "pii-believed")
+        believed = stored(seeds.unionByName(found.filter(F.col("belief") >= confidence)), "pii-believed", rows)
     return believed
 
 
@@ -230,7 +231,7 @@ def masked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     key = F.xxhash64(F.col(text_column))
     hits = find(docs, id_column, text_column, key).filter(F.size("spans") > 0)
-    hits = hits.groupBy("carried").agg(F.first("spans").alias("_spans")).withColumnRenamed("carried", "_hash")
+    hits = hits.groupBy("carried").agg(F.first("spans").alias("_spans")).withColumnRenamed("carried", "_hash").hint("shuffle_hash")
     covered = F.pandas_udf(cover, "string")(F.col(text_column), F.col("_spans"))
     joined = docs.join(hits, key == F.col("_hash"), "left")
     return joined.select(*(covered.alias(c) if c == text_column else F.col(c) for c in docs.columns))

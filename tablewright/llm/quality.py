@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import stored, texts
+from tablewright.llm.shared import row_keys, stored, texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -166,8 +166,8 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 def drop_rejected(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept; columns stay as they are."""
-    key = F.xxhash64(F.col(text_column))
-    kept = judged(docs, id_column, text_column, key).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("carried").alias("_kept_hash")).distinct()
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_hash"))
-    return docs.join(kept, same, "left_semi")
+    keys = row_keys(id_column, text_column)
+    kept = judged(docs, id_column, text_column, keys["_text"]).filter("kept").select(
+        F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), F.col("doc_id").isNull().alias("_no_id"),
+        F.col("carried").alias("_text")).distinct()
+    return docs.withColumns(keys).join(kept.hint("shuffle_hash"), list(keys), "left_semi").select(*docs.columns)

@@ -13,9 +13,11 @@ from typing import Any
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_ROWS_A_FILE = 250_000
 
 
 @cache
@@ -43,9 +45,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read back: lineage ends there."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The table written to the shared folder and read back: lineage ends there.
+
+    Where about how many narrow ``rows`` it has is known, it is written in tasks of
+    a few hundred thousand rows, so that small tables are no crowd of tiny files.
+    """
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // _ROWS_A_FILE)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -60,9 +68,17 @@ def lower_words(text: str) -> list[bytes]:
 
 
 def texts(batch: pa.RecordBatch, column: int) -> Iterator[str]:
-    """The texts of a column one at a time, null as empty."""
+    """The texts of a column one at a time, null as empty; unused Arrow memory goes back after each batch."""
     for value in batch.column(column):
         yield value.as_py() or ""
+    pa.default_memory_pool().release_unused()
+
+
+def row_keys(id_column: str, text_column: str) -> dict[str, Column]:
+    """Columns by whose equality rows have the same id (null or not) and text, up to a 64-bit hash."""
+    number = F.col(id_column).cast("long")
+    text = F.xxhash64(F.col(text_column).isNull(), F.col(text_column))
+    return {"_id": F.coalesce(number, F.lit(0).cast("long")), "_no_id": number.isNull(), "_text": text}
 
 
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import lower_words, stored, texts
+from tablewright.llm.shared import lower_words, row_keys, stored, texts
 
 DISTANCE = 4
 SEED = 42
@@ -63,15 +63,11 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             )
 
     chosen = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), text_hash(text_column).alias("text_hash"), F.col(text_column)
+        F.col(id_column).cast("long").alias("doc_id"), row_keys(id_column, text_column)["_text"].alias("text_hash"), F.col(text_column)
     )
     return chosen.mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
 
 
-def text_hash(text_column: str) -> Column:
-    return F.xxhash64(F.col(text_column).isNull(), F.col(text_column))
-
-
 def _blocks(bits: list[int], n: int) -> list[int]:
     """n masks that cut the given bit positions into nearly equal runs."""
     edges = np.linspace(0, len(bits), n + 1).astype(int)
@@ -207,20 +203,21 @@ def components(edges: DataFrame) -> DataFrame:
     grouped minimum and a join with it, and ends in a stored table.
     """
     larger, smaller = F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")
-    current = stored(edges.select(larger, smaller).filter("v != u").distinct(), "components")
+    rows = edges.count()
+    current = stored(edges.select(larger, smaller).filter("v != u").distinct(), "components", rows)
     before = None
     while True:
         both = current.unionByName(current.select(F.col("u").alias("v"), F.col("v").alias("u")))
         lowest = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         moved = both.join(lowest, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        moved = stored(moved.distinct(), "components")
+        moved = stored(moved.distinct(), "components", rows)
         lowest = moved.groupBy("v").agg(F.min("u").alias("m"))
         joined = moved.join(lowest, "v").filter("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        current = stored(joined.unionByName(lowest.withColumnRenamed("m", "u")).distinct(), "components")
+        current = stored(joined.unionByName(lowest.withColumnRenamed("m", "u")).distinct(), "components", rows)
         state = current.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
             return current.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        before = state
+        before, rows = state, state[0]
 
 
 def near_duplicates(
@@ -254,9 +251,10 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     Of rows with equal id and text any one stays. Columns are those of ``docs``.
     """
     found = near_duplicates(docs, id_column, text_column)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     kept = found.groupBy("root").agg(first).select(
-        F.col("first.doc_id").alias("_kept_id"), F.col("first.text_hash").alias("_kept_hash"))
-    keyed = docs.withColumns({"_own_id": F.col(id_column).cast("long"), "_own_hash": text_hash(text_column)})
-    same = F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_hash") == F.col("_kept_hash"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_own_id", "_own_hash"]).select(*docs.columns)
+        F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("_id"), F.col("first.no_id").alias("_no_id"),
+        F.col("first.text_hash").alias("_text"))
+    keys = row_keys(id_column, text_column)
+    staying = docs.withColumns(keys).join(kept.hint("shuffle_hash"), list(keys), "left_semi")
+    return staying.dropDuplicates(list(keys)).select(*docs.columns)

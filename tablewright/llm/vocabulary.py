@@ -9,7 +9,7 @@ from array import array
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 #: White space besides blank and line feed, in any definition of it.
 _OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎" + "".join(map(chr, range(0x2000, 0x200C))) + "    ⁠　﻿"
-_MOST_CHUNKS = 400_000
+_MOST_CHUNKS = 250_000
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.columns import col, is_present
 
-MAX_CATEGORIES = 10_000
+ENCODINGS = ("index", "hash")
 HASH_BUCKETS = 4_096
 FEATURES, LABEL_INDEX = "__features", "__label_index"
 
@@ -25,34 +24,26 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def cardinalities(columns: Sequence[str]) -> list:
-    """Aggregates telling how many values each text column has, about."""
-    return [F.approx_count_distinct(col(c)).alias(f"card_{i}") for i, c in enumerate(columns)]
-
-
 def feature_stages(
-    numeric: Sequence[str], categorical: Sequence[str], sizes: Mapping[str, int] | None = None
+    numeric: Sequence[str], categorical: Sequence[str], encoding: str = "index", buckets: int = HASH_BUCKETS
 ) -> list[Estimator | Transformer]:
-    """Index and one-hot encode text columns, then assemble all features.
+    """Encode text columns, then assemble all features.
 
-    An index is a list of all values held by the driver. A text column with more
-    than ``MAX_CATEGORIES`` values is therefore hashed into a fixed number of
-    buckets instead; it still takes part, and no row is left out.
+    ``encoding`` says how, whatever the data: "index" numbers the values of each
+    column by frequency and makes them one-hot, with all values on the driver;
+    "hash" spreads the values of all columns over ``buckets`` and holds nothing.
     """
-    sizes = sizes or {}
-    small = [c for c in categorical if sizes.get(c, 0) <= MAX_CATEGORIES]
-    large = [c for c in categorical if c not in small]
-    stages, inputs = [], list(numeric)
-    if small:
-        indexed = [f"__idx_{i}" for i in range(len(small))]
-        encoded = [f"__vec_{i}" for i in range(len(small))]
-        stages.append(StringIndexer(inputCols=small, outputCols=indexed, handleInvalid="keep"))
+    if encoding not in ENCODINGS:
+        raise ValueError(f"encoding is one of {', '.join(ENCODINGS)}; {encoding!r} was given.")
+    stages, inputs, text = [], list(numeric), list(categorical)
+    if text and encoding == "index":
+        indexed = [f"__idx_{i}" for i in range(len(text))]
+        encoded = [f"__vec_{i}" for i in range(len(text))]
+        stages.append(StringIndexer(inputCols=text, outputCols=indexed, handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=indexed, outputCols=encoded, handleInvalid="keep"))
         inputs += encoded
-    if large:
-        stages.append(
-            FeatureHasher(inputCols=large, outputCol="__hashed", numFeatures=HASH_BUCKETS)
-        )
+    elif text:
+        stages.append(FeatureHasher(inputCols=text, outputCol="__hashed", numFeatures=buckets))
         inputs.append("__hashed")
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
     return stages
@@ -62,11 +53,9 @@ def label_indexer(label: str) -> StringIndexer:
     return StringIndexer(inputCol=label, outputCol=LABEL_INDEX, handleInvalid="skip")
 
 
-def text_column_sizes(df: DataFrame, categorical: Sequence[str]) -> dict[str, int]:
-    if not categorical:
-        return {}
-    row = df.agg(*cardinalities(categorical)).first()
-    return {c: row[f"card_{i}"] for i, c in enumerate(categorical)}
+def has_more_classes(df: DataFrame, label: str, most: int) -> bool:
+    """Whether a label has more values than ``most``; an index of them would lie on the driver."""
+    return df.select(col(label)).distinct().limit(most + 1).count() > most
 
 
 def label_classes(model: PipelineModel) -> list[str]:

@@ -12,17 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import Snapshot, col, is_numeric, is_present, is_text, ratio
-from ..sources.storage import store_for_training
-from .features import (
-    FEATURES,
-    LABEL_INDEX,
-    cardinalities,
-    complete_rows,
-    feature_stages,
-    label_classes,
-    label_indexer,
-    text_column_sizes,
-)
+from ..functions.draws import row_hash
+from ..sources.storage import materialise, store_for_training
+from .features import FEATURES, LABEL_INDEX, complete_rows, feature_stages, has_more_classes, label_classes, label_indexer
 from .outliers import drifted_from_number
 from .schemas import cast_to
 
@@ -32,6 +24,10 @@ _CONFIDENCE = "__confidence"
 # Fixed values of the forests: the same trees, depth and seed in every run.
 TREES, SEED, NOISE_DEPTH = 50, 42, 5
 
+#: Labels with more values are not fitted: each is a class of every tree and an entry on the driver.
+MAX_LABEL_CLASSES = 100
+_FOLD = "__fold"
+
 
 def label_stats(df: DataFrame, label: str) -> DataFrame:
     """One row: rows, null labels, and distinct labels with null counted as one.
@@ -74,7 +70,7 @@ def restore_types(df: DataFrame, features: FeatureColumns, reference: Snapshot |
 
 
 def fit_forest(
-    training: DataFrame, label: str, features: FeatureColumns, sizes: dict[str, int], depth: int | None
+    training: DataFrame, label: str, features: FeatureColumns, depth: int | None, encoding: str = "index"
 ) -> PipelineModel:
     forest = RandomForestClassifier(
         featuresCol=FEATURES,
@@ -87,7 +83,7 @@ def fit_forest(
     )
     if depth is not None:
         forest.setMaxDepth(depth)
-    stages = [label_indexer(label), *feature_stages(features.numeric, features.text, sizes), forest]
+    stages = [label_indexer(label), *feature_stages(features.numeric, features.text, encoding), forest]
     return Pipeline(stages=stages).fit(training)
 
 
@@ -102,6 +98,7 @@ class NoiseEstimate:
     average_confidence: float | None = None
     low_confidence: int = 0
     features: FeatureColumns = FeatureColumns((), ())
+    too_many_classes: bool = False
 
 
 def estimate_label_noise(
@@ -110,34 +107,65 @@ def estimate_label_noise(
     threshold: float = 0.65,
     min_rows: int = 30,
     reference: Snapshot | None = None,
+    encoding: str = "index",
+    max_classes: int = MAX_LABEL_CLASSES,
+    folds: int = 1,
 ) -> NoiseEstimate | None:
     """Fit a forest on the complete labelled rows and count confident disagreements.
 
-    The forest scores the rows it was trained on. Returns None without features,
-    and an estimate with only ``rows_used`` when there are too few rows.
+    With one fold the forest scores the rows it was trained on. With more, rows
+    fall into folds by their hash, and each fold is scored by a forest that has
+    seen the others only; copies of a row share a fold. Returns None without
+    features, and an estimate without scores when there are fewer rows than
+    ``min_rows`` or more classes than ``max_classes``.
     """
     features = feature_columns(df, label, reference)
     if not features.all:
         return None
     labelled = df.filter(col(label).isNotNull()).select(*map(col, [*features.all, label]))
     training = complete_rows(restore_types(labelled, features, reference), features.all)
-    counted = training.agg(F.count(F.lit(1)).alias("n"), *cardinalities(features.text)).first()
-    if counted["n"] < min_rows:
-        return NoiseEstimate(counted["n"], features=features)
-    sizes = {c: counted[f"card_{i}"] for i, c in enumerate(features.text)}
-    stored = store_for_training(training, counted["n"])
+    rows = training.count()
+    if rows < min_rows:
+        return NoiseEstimate(rows, features=features)
+    if has_more_classes(training, label, max_classes):
+        return NoiseEstimate(rows, features=features, too_many_classes=True)
+    stored = store_for_training(training)
     try:
-        model = fit_forest(stored.df, label, features, sizes, NOISE_DEPTH)
-        scored = with_confidence(model.transform(stored.df))
-        wrong = F.col(LABEL_INDEX) != F.col(_PREDICTION)
-        row = scored.agg(
+        counts = _disagreements(_scored(stored.df, label, features, encoding, folds), threshold)
+    finally:
+        stored.drop()
+    return NoiseEstimate(rows, counts["suspected"], counts["average"], counts["low"], features)
+
+
+def _scored(rows: DataFrame, label: str, features: FeatureColumns, encoding: str, folds: int) -> list[DataFrame]:
+    if folds == 1:
+        return [with_confidence(fit_forest(rows, label, features, NOISE_DEPTH, encoding).transform(rows))]
+    dealt = rows.withColumn(_FOLD, F.pmod(row_hash(rows, SEED), F.lit(folds)))
+    scored = []
+    for fold in range(folds):
+        model = fit_forest(dealt.filter(F.col(_FOLD) != fold), label, features, NOISE_DEPTH, encoding)
+        scored.append(with_confidence(model.transform(dealt.filter(F.col(_FOLD) == fold))))
+    return scored
+
+
+def _disagreements(scored: Sequence[DataFrame], threshold: float) -> dict:
+    """Counts over all folds. A label no other fold has seen has no index and is left out."""
+    wrong = F.col(LABEL_INDEX) != F.col(_PREDICTION)
+    parts = [
+        part.agg(
             F.count_if(wrong & (F.col(_CONFIDENCE) >= threshold)).alias("suspected"),
-            F.avg(_CONFIDENCE).alias("average"),
+            F.sum(_CONFIDENCE).alias("sure"),
+            F.count(_CONFIDENCE).alias("n"),
             F.count_if(F.col(_CONFIDENCE) < threshold).alias("low"),
         ).first()
-    finally:
-        stored.drop()
-    return NoiseEstimate(counted["n"], row["suspected"], row["average"], row["low"], features)
+        for part in scored
+    ]
+    n = sum(p["n"] for p in parts)
+    return {
+        "suspected": sum(p["suspected"] for p in parts),
+        "average": sum(p["sure"] or 0.0 for p in parts) / n if n else None,
+        "low": sum(p["low"] for p in parts),
+    }
 
 
 @dataclass(frozen=True)
@@ -151,19 +179,26 @@ class LabelFill:
     imputed: int = 0
 
 
-NO_FEATURES = "No numeric or string feature columns available."
-FEW_ROWS = "Not enough labeled training rows."
-NO_CANDIDATES = "No missing-label rows had complete usable features."
-NO_CLASSES = "No label classes were learned."
+NO_FEATURES = "The table has no number or text column to learn from."
+FEW_ROWS = "Too few complete rows carry a label."
+NO_CANDIDATES = "No row without a label has all its features."
+NO_CLASSES = "The training rows gave no classes."
+MANY_CLASSES = "The label has more values than max_label_classes allows."
 
 
 def impute_labels(
-    df: DataFrame, label: str, confidence: float = 0.0, min_training_rows: int = 20
+    df: DataFrame,
+    label: str,
+    confidence: float = 0.0,
+    min_training_rows: int = 20,
+    encoding: str = "index",
+    max_classes: int = MAX_LABEL_CLASSES,
 ) -> LabelFill:
     """Predict missing labels of complete rows and write back the confident ones.
 
     Rows are split by whether they are candidates and put together again, so no
     row id and no join are needed: every row passes through exactly one branch.
+    The predicted rows are stored, so that counting them does not predict twice.
     """
     features = feature_columns(df, label)
     if not features.all:
@@ -180,9 +215,11 @@ def impute_labels(
     if candidates == 0:
         return LabelFill(df, NO_CANDIDATES, training_rows)
     training = df.filter(has_label & complete).select(*map(col, [*features.all, label]))
-    stored = store_for_training(training, training_rows)
+    if has_more_classes(training, label, max_classes):
+        return LabelFill(df, MANY_CLASSES, training_rows, candidates)
+    stored = store_for_training(training)
     try:
-        model = fit_forest(stored.df, label, features, text_column_sizes(stored.df, features.text), None)
+        model = fit_forest(stored.df, label, features, None, encoding)
     finally:
         stored.drop()
     classes = label_classes(model)
@@ -197,8 +234,9 @@ def impute_labels(
     # The indexer skips rows without a label, so candidates carry a stand-in.
     stand_in = df.filter(open_rows).withColumn(label, F.lit(classes[0]))
     predicted = with_confidence(model.transform(stand_in)).withColumn(label, chosen)
+    predicted = materialise(predicted.select(*map(col, df.columns)), "imputed").df
     imputed = predicted.agg(F.count(col(label))).first()[0]
-    repaired = df.filter(~open_rows).unionByName(predicted.select(*map(col, df.columns)))
+    repaired = df.filter(~open_rows).unionByName(predicted)
     return LabelFill(repaired, None, training_rows, candidates, imputed)
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scores
-from ..sources.storage import store_for_training
-from ..operators.features import FEATURES, LABEL_INDEX, cardinalities, feature_stages, label_indexer
+from ..sources.storage import materialise, store_for_training
+from ..operators.features import FEATURES, HASH_BUCKETS, LABEL_INDEX, feature_stages, has_more_classes, label_indexer
+from ..operators.labels import MAX_LABEL_CLASSES
 
 Metrics = dict[str, Any]
 _PREDICTION = "prediction"
@@ -58,7 +59,8 @@ class _Comparison:
     """What both comparisons share: complete rows, split, fit, score, repeat.
 
     Rows go to training or test by a hash of ``id_columns``, or of the whole row
-    where none are given.
+    where none are given. ``encoding`` ("index" or "hash") says how text becomes
+    features, the same for every table that is compared.
     """
 
     metric_names: tuple[str, ...] = ()
@@ -71,11 +73,17 @@ class _Comparison:
         train_fraction: float = 0.8,
         validation_folds: int = 1,
         id_columns: Sequence[str] = (),
+        encoding: str = "index",
+        hash_buckets: int = HASH_BUCKETS,
+        max_label_classes: int = MAX_LABEL_CLASSES,
     ):
         if not 0 < train_fraction < 1:
-            raise ValueError("train_fraction must be between 0 and 1.")
+            raise ValueError("A train_fraction lies strictly between 0 and 1.")
         if validation_folds < 1:
-            raise ValueError("validation_folds must be at least 1.")
+            raise ValueError("At least one of validation_folds is needed.")
+        self.encoding = encoding
+        self.hash_buckets = hash_buckets
+        self.max_label_classes = max_label_classes
         self.seed = seed
         self.train_fraction = train_fraction
         self.validation_folds = validation_folds
@@ -95,36 +103,37 @@ class _Comparison:
         rows = scores.modelling_rows(
             df, numeric, categorical, label, self.numeric_label, self.id_columns
         )
-        found = rows.agg(F.count(F.lit(1)).alias("n"), *cardinalities(categorical)).first()
-        if found["n"] == 0:
-            raise ValueError("No complete rows available for ML evaluation.")
-        sizes = {c: found[f"card_{i}"] for i, c in enumerate(categorical)}
-        stored = store_for_training(rows, found["n"])
+        if rows.isEmpty():
+            raise ValueError("The table has no complete row to train on.")
+        if not self.numeric_label and has_more_classes(rows, label, self.max_label_classes):
+            raise ValueError(f"Label {label!r} has more than {self.max_label_classes} values (max_label_classes).")
+        stored = store_for_training(rows)
         try:
-            return self._scores_and_stability(stored.df, label, numeric, categorical, sizes)
+            return self._scores_and_stability(stored.df, label, numeric, categorical)
         finally:
             stored.drop()
 
-    def _scores_and_stability(self, rows, label, numeric, categorical, sizes) -> Metrics:
-        metrics = self._fit_and_score(rows, label, numeric, categorical, sizes, self.seed)
+    def _scores_and_stability(self, rows, label, numeric, categorical) -> Metrics:
+        metrics = self._fit_and_score(rows, label, numeric, categorical, self.seed)
         folds = []
         if self.validation_folds > 1:
             for fold in range(1, self.validation_folds + 1):
-                again = self._fit_and_score(rows, label, numeric, categorical, sizes, self.seed + fold)
+                again = self._fit_and_score(rows, label, numeric, categorical, self.seed + fold)
                 folds.append({"fold": fold} | {n: again[n] for n in self.stability_names})
         metrics["fold_stability"] = summarize_folds(folds, self.stability_names) if folds else None
         return metrics
 
-    def _fit_and_score(self, rows, label, numeric, categorical, sizes, seed) -> Metrics:
+    def _fit_and_score(self, rows, label, numeric, categorical, seed) -> Metrics:
         counts = scores.split_counts(rows, self.train_fraction, seed, self.id_columns).first().asDict()
         if counts["train_row_count"] == 0 or counts["test_row_count"] == 0:
-            raise ValueError(
-                "Train/test split produced an empty split. Use more rows or adjust train_fraction."
-            )
+            raise ValueError("The split leaves training or test without rows; more rows or another train_fraction help.")
         train, test = scores.split(rows, self.train_fraction, seed, self.id_columns)
-        stages = self._stages(label, feature_stages(numeric, categorical, sizes))
-        predictions = Pipeline(stages=stages).fit(train).transform(test)
-        return counts | self._score(predictions, label)
+        stages = self._stages(label, feature_stages(numeric, categorical, self.encoding, self.hash_buckets))
+        predictions = materialise(Pipeline(stages=stages).fit(train).transform(test), "predictions")
+        try:
+            return counts | {"encoding": self.encoding} | self._score(predictions.df, label)
+        finally:
+            predictions.drop()
 
     def _stages(self, label: str, features: list) -> list:
         raise NotImplementedError

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields
 
+from ..operators.features import ENCODINGS
+from ..operators.labels import MAX_LABEL_CLASSES
+
 # The strategies a policy may name.
 NUMERIC_FILLS = ("median", "mean", "mode")
 CATEGORICAL_FILLS = ("constant", "mode")
@@ -36,6 +39,8 @@ class RepairPolicy:
     label_imputation: str = "none"
     label_confidence_threshold: float = 0.0
     label_min_training_rows: int = 20
+    label_encoding: str = "index"
+    max_label_classes: int = MAX_LABEL_CLASSES
     skew_strategy: str = "none"
     repair_skew_severities: tuple[str, ...] = ("high",)
     skew_target_partitions: int | None = None
@@ -52,12 +57,13 @@ class RepairPolicy:
             "outlier_strategy": OUTLIER_STRATEGIES,
             "label_imputation": LABEL_STRATEGIES,
             "skew_strategy": SKEW_STRATEGIES,
+            "label_encoding": ENCODINGS,
         }
         if self.drop_duplicates:
             choices["duplicate_strategy"] = DUPLICATE_STRATEGIES
         for name, allowed in choices.items():
             if getattr(self, name) not in allowed:
-                raise ValueError(f"Unsupported {name}. Expected one of: {', '.join(map(repr, allowed))}.")
+                raise ValueError(f"{name} is one of {', '.join(map(repr, allowed))}.")
         odd = {c: s for c, s in self.outlier_column_strategies.items() if s not in OUTLIER_STRATEGIES}
         if odd:
             raise ValueError(

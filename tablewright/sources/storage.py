@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from dataclasses import dataclass
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.draws import row_hash
+
 _SETTING = "spark.checkpoint.dir"
-_TRAINING_ROWS = 10_000
+TRAINING_PARTITIONS = 16
+
+
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tablewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder from ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder. A cluster gets
-    an error, for a folder of one machine would not be seen by the others.
+    Where it is unset, a local session gets a temporary folder, removed at exit. A
+    cluster gets an error, for a folder of one machine would not be seen by the
+    others. The session's settings stay as they are.
     """
     folder = spark.conf.get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"Set {_SETTING} to a folder all executors can reach.")
-    folder = tempfile.mkdtemp(prefix="tablewright-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    return _own_folder()
 
 
 @dataclass(frozen=True)
@@ -51,15 +62,20 @@ def materialise(df: DataFrame, name: str = "table") -> StoredTable:
     return StoredTable(path, df.sparkSession.read.schema(df.schema).parquet(path))
 
 
-def store_for_training(df: DataFrame, rows: int) -> StoredTable:
-    """Materialise rows that a model will read many times, in even partitions.
+def store_for_training(df: DataFrame, partitions: int = TRAINING_PARTITIONS) -> StoredTable:
+    """Materialise rows that a model will read many times, in a layout that only the rows decide.
 
-    Few rows go to few partitions, for every pass over them starts a task per
-    partition; many rows go to as many as the session uses for shuffles.
+    A forest depends on which rows share a partition and in what order. Rows go to
+    a fixed number of partitions by their hash and are sorted by it there, so equal
+    tables give equal models whatever the session's settings and the input's
+    layout. Files are read back in no fixed order, so this is done on reading; the
+    learners keep what they read. Give more ``partitions`` for more rows than so
+    many tasks can hold.
     """
-    spark = df.sparkSession
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return materialise(df.repartition(min(most, 1 + rows // _TRAINING_ROWS)), "training")
+    mark = "__row_hash"
+    stored = materialise(df.withColumn(mark, row_hash(df)), "training")
+    placed = stored.df.repartition(partitions, mark).sortWithinPartitions(mark).drop(mark)
+    return StoredTable(stored.path, placed)
 
 
 def write_and_read(df: DataFrame, path: str) -> DataFrame:

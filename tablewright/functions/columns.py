@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 Snapshot = dict[str, dict[str, object]]
 
+#: Column sets counted in one job. GROUPING SETS copy each row once a set, and end at 64 columns.
+SETS_AT_ONCE = 16
+
 
 def col(name: str) -> Column:
     """A column by its literal name, dots and backticks included."""
@@ -28,6 +31,11 @@ def has_nan(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.FloatType, T.DoubleType))
 
 
+def is_binary_text(data_type: T.DataType) -> bool:
+    """Whether equal texts of the type are equal byte by byte; collations may fold case or accents."""
+    return not is_text(data_type) or data_type.collation == "UTF8_BINARY"
+
+
 def is_nested(data_type: T.DataType) -> bool:
     return isinstance(
         data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)

@@ -13,7 +13,10 @@ from .summaries import sketch, summarise, values
 
 # Twice the rank error of the sketch, so that a bracket all but never misses.
 _REACH = 0.0025
-_FINISH_ROWS = 200_000
+#: Values that one scan may bring together in the end, over all searches.
+_FINISH_VALUES = 200_000
+#: Columns that share a scan. A sketch takes tens of kilobytes in every task.
+_COLUMNS = 100
 
 
 def from_sketch(name: str, shares: Sequence[float]) -> Column:
@@ -29,6 +32,8 @@ def approximate(
 
     The sketch is randomised: values near a quantile may differ between runs.
     """
+    if len(columns) > _COLUMNS:
+        return {n: q for part in in_parts(columns) for n, q in approximate(df, part, shares).items()}
     names = {name: f"s{i}" for i, name in enumerate(columns)}
     if not names:
         return {}
@@ -37,6 +42,12 @@ def approximate(
     return {n: list(row[a]) if row[a] else [None] * len(shares) for n, a in names.items()}
 
 
+def in_parts(columns: Mapping[str, Column], size: int = _COLUMNS) -> list[dict[str, Column]]:
+    """The columns in groups that share a scan, so that no row or buffer grows with the width of the table."""
+    entries = list(columns.items())
+    return [dict(entries[i : i + size]) for i in range(0, len(entries), size)]
+
+
 def around(shares: Sequence[float]) -> list[float]:
     """For each share one a little below it and one a little above."""
     return [s for p in shares for s in (max(0.0, p - _REACH), min(1.0, p + _REACH))]
@@ -93,15 +104,17 @@ def exact(
     df: DataFrame,
     columns: Mapping[str, Column],
     shares: Sequence[float],
-    finish_rows: int = _FINISH_ROWS,
+    finish_values: int = _FINISH_VALUES,
 ) -> dict[str, list[float | None]]:
-    """The discrete quantiles of many columns at once.
+    """The discrete quantiles of many columns, a hundred at once.
 
     The quantile p of n non-null values is the smallest value whose rank reaches
     ceil(p * n), as with SQL's ``percentile_disc``. That aggregate keeps every
     distinct value of the column in one buffer. Here a sketch brackets each
     answer, a scan counts the rows up to both ends of the bracket, and so on with
-    the rows inside, until at most ``finish_rows`` values are left to pick from.
+    the rows inside, until few values are left to pick from: ``finish_values`` over
+    all searches of a scan together, so the row they meet in does not grow with
+    the number of columns either.
 
     A bracket holds about a two-hundredth of the rows: three scans do for some
     10^7 rows, five for 10^9, seven for 10^12, whatever the number of columns. A
@@ -109,6 +122,8 @@ def exact(
     nothing, for the ends of a bracket are counted apart. The answer does not
     depend on the sketch, the partitioning or the order of the rows.
     """
+    if len(columns) > _COLUMNS:
+        return {n: q for part in in_parts(columns) for n, q in exact(df, part, shares, finish_values).items()}
     names = {name: f"v{i}" for i, name in enumerate(columns)}
     if not names:
         return {}
@@ -118,7 +133,7 @@ def exact(
         *[F.kll_sketch_get_n_double(a).alias(f"n_{a}") for a in names.values()],
         *[from_sketch(a, around(shares)).alias(a) for a in names.values()],
     ).first()
-    return search(data, names, {a: (row[f"n_{a}"], row[a]) for a in names.values()}, shares, finish_rows)
+    return search(data, names, {a: (row[f"n_{a}"], row[a]) for a in names.values()}, shares, finish_values)
 
 
 def search(
@@ -126,7 +141,7 @@ def search(
     names: Mapping[str, str],
     sketched: Mapping[str, tuple[int, Sequence[float]]],
     shares: Sequence[float],
-    finish_rows: int = _FINISH_ROWS,
+    finish_values: int = _FINISH_VALUES,
 ) -> dict[str, list[float | None]]:
     """Finish the search from sizes and brackets already known."""
     found = {
@@ -140,7 +155,7 @@ def search(
     }
     pending = [s for group in found.values() for s in group if s is not None]
     while pending:
-        pending = _round(data, pending, finish_rows)
+        pending = _round(data, pending, max(1, finish_values // len(pending)))
     return {name: [s and s.answer for s in group] for name, group in found.items()}
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grades
-from ..functions.columns import col, comparable, is_nested, needs_canonical_form, ratio
+from ..functions.columns import SETS_AT_ONCE, col, comparable, is_binary_text, is_nested, needs_canonical_form, ratio
 from ..functions.draws import row_hash
 
 FINGERPRINT = ("__fp_a", "__fp_b")
@@ -45,8 +46,12 @@ def exact_duplicates(df: DataFrame) -> DataFrame:
 
 
 def can_fingerprint(df: DataFrame) -> bool:
-    """Whether rows hash without loss of distinctions: flat schemas only."""
-    return not any(is_nested(f.dataType) for f in df.schema.fields)
+    """Whether equal rows have equal hashes and others all but surely not.
+
+    So it is for flat schemas whose texts compare byte by byte. Collated texts
+    that are equal may differ in bytes and so in their hashes.
+    """
+    return all(is_binary_text(f.dataType) and not is_nested(f.dataType) for f in df.schema.fields)
 
 
 def fingerprint(df: DataFrame) -> list[Column]:
@@ -80,30 +85,40 @@ def exact_duplicate_count(df: DataFrame, suspect_groups: int) -> int:
 
 
 def group_census(df: DataFrame, key_sets: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Count the groups of many column sets in one scan and one shuffle.
+    """Count the groups of many column sets, sixteen in one scan and one shuffle.
 
     One row per set: number of groups, rows, groups and rows with more than one
-    member, largest and median group. The sets become GROUPING SETS, so the
-    table is read once, and partial counts shrink a hot key to one row per task
-    before the shuffle.
+    member, largest and median group. The sets become GROUPING SETS, and partial
+    counts shrink a hot key to one row per task before the shuffle. A set of many
+    columns is grouped on its own.
 
     The median of the group sizes is exact. Its buffer holds distinct sizes, and
     n rows cannot have more than sqrt(2n) of those.
     """
     sets = {name: tuple(dict.fromkeys(columns)) for name, columns in key_sets.items()}
-    columns = list(dict.fromkeys(c for chosen in sets.values() for c in chosen))
+    wanted: dict[frozenset[str], list[str]] = {}
+    for name, columns in sets.items():
+        wanted.setdefault(frozenset(columns), []).append(name)
+    wide = [[chosen] for chosen in wanted if len(chosen) > SETS_AT_ONCE]
+    rest = sorted((chosen for chosen in wanted if len(chosen) <= SETS_AT_ONCE), key=lambda c: (len(c), sorted(c)))
+    parts, columns = [], set()
+    for chosen in rest:
+        if not parts or len(parts[-1]) == SETS_AT_ONCE or len(columns | chosen) > 2 * SETS_AT_ONCE:
+            parts.append([])
+            columns = set()
+        parts[-1].append(chosen)
+        columns |= chosen
+    tables = [_count_sets(df, {c: wanted[c] for c in part}) for part in [*wide, *parts]]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _count_sets(df: DataFrame, wanted: Mapping[frozenset[str], Sequence[str]]) -> DataFrame:
+    columns = sorted({c for chosen in wanted for c in chosen})
     types = {f.name: f.dataType for f in df.schema.fields}
-    keyed = df.select(
-        *[comparable(col(c), types[c]).alias(f"k{i}") for i, c in enumerate(columns)]
-    )
     alias = {c: f"k{i}" for i, c in enumerate(columns)}
-    wanted = list(dict.fromkeys(frozenset(chosen) for chosen in sets.values()))
-    mark = {
-        chosen: sum(
-            1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in chosen
-        )
-        for chosen in wanted
-    }
+    keyed = df.select(*[comparable(col(c), types[c]).alias(a) for c, a in alias.items()])
+    left_out = {c: 1 << len(columns) - 1 - i for i, c in enumerate(columns)}
+    mark = {chosen: sum(bit for c, bit in left_out.items() if c not in chosen) for chosen in wanted}
     if len(wanted) == 1:
         grouped, which = keyed.groupBy(*alias.values()), F.lit(0).cast("bigint")
     else:
@@ -122,16 +137,8 @@ def group_census(df: DataFrame, key_sets: Mapping[str, Sequence[str]]) -> DataFr
         F.max("members").alias("max_count"),
         F.expr("percentile_disc(0.5) within group (order by members)").alias("median_count"),
     )
-    names = F.create_map(
-        *[
-            x
-            for chosen in wanted
-            for x in (
-                F.lit(mark[chosen]).cast("bigint"),
-                F.array(*[F.lit(n) for n, s in sets.items() if frozenset(s) == chosen]),
-            )
-        ]
-    )
+    pairs = ((F.lit(mark[chosen]).cast("bigint"), F.array(*map(F.lit, names))) for chosen, names in wanted.items())
+    names = F.create_map(*(x for pair in pairs for x in pair))
     return sizes.select(
         F.explode(F.try_element_at(names, F.col("mark").cast("bigint"))).alias("key_set"),
         *[c for c in sizes.columns if c != "mark"],
@@ -194,7 +201,7 @@ def key_skew(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def missing_column_message(name: str) -> str:
-    return f"Column '{name}' not found in DataFrame."
+    return f"The table has no column '{name}'."
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:

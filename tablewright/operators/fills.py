@@ -3,43 +3,89 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import quantiles
-from ..functions.columns import col, present
+from ..functions.columns import SETS_AT_ONCE, col, present
 
 
-def medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, float]:
-    """Medians of many columns; columns without values are left out."""
+def medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, float | int | Decimal]:
+    """Medians of many columns; columns without values are left out.
+
+    The median is a value of its column, also where doubles cannot tell its
+    neighbours apart: integers beyond 2^53 and long decimals.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     values = {c: present(col(c), types[c]).cast("double") for c in columns}
     found = (quantiles.exact if exact else quantiles.approximate)(df, values, [0.5])
-    return {c: q[0] for c, q in found.items() if q[0] is not None}
+    middle = {c: q[0] for c, q in found.items() if q[0] is not None}
+    if exact:
+        middle |= {c: _own_median(df, c, types[c], m) for c, m in middle.items() if _is_finer(types[c], m)}
+    return middle
+
+
+def _is_finer(data_type: T.DataType, near: float) -> bool:
+    """Whether the type may hold several values that are one double near a number."""
+    if isinstance(data_type, T.DecimalType):
+        return data_type.precision > 15
+    return isinstance(data_type, T.LongType) and abs(near) >= 2**53
+
+
+def _own_median(df: DataFrame, column: str, data_type: T.DataType, near: float) -> int | Decimal:
+    """The median in the column's own type, among the values whose double is ``near``.
+
+    Its rank among them is known by counting the values below. Their distances
+    from an anchor are small, and so are doubles again; what is still one double
+    after that is told apart in the same way.
+    """
+    scale = data_type.scale if isinstance(data_type, T.DecimalType) else 0
+    wide = T.DecimalType(38, scale)
+    value = col(column).cast(wide)
+    with localcontext(prec=60):
+        counts = df.agg(F.count(col(column)).alias("n"), F.count_if(col(column).cast("double") < near).alias("below")).first()
+        rank = (counts["n"] + 1) // 2 - counts["below"]
+        ties = df.filter(col(column).cast("double") == near).select(value.alias("v"))
+        step = Decimal(1).scaleb(-scale)
+        anchor = Decimal(near).quantize(step)
+        while True:
+            limit = Decimal(10**38 - 1).scaleb(-scale)
+            rest = (F.col("v") - F.lit(max(-limit, min(limit, anchor))).cast(wide)).cast(wide)
+            size = ties.count()
+            [gap] = quantiles.exact(ties, {"gap": rest.cast("double")}, [(rank - 0.5) / size])["gap"]
+            same = ties.filter(rest.cast("double") == gap)
+            span = same.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
+            if span["low"] == span["high"]:
+                return int(span["low"]) if scale == 0 and not isinstance(data_type, T.DecimalType) else span["low"]
+            rank -= ties.filter(rest.cast("double") < gap).count()
+            ties, anchor = same, anchor + Decimal(gap).quantize(step)
 
 
 def means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | Decimal]:
     types = {f.name: f.dataType for f in df.schema.fields}
-    if not columns:
-        return {}
-    row = df.agg(
-        *[F.avg(present(col(c), types[c])).alias(f"m{i}") for i, c in enumerate(columns)]
-    ).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(columns) if row[f"m{i}"] is not None}
+    found = {}
+    for part in quantiles.in_parts({c: F.avg(present(col(c), types[c])) for c in columns}):
+        row = df.agg(*[mean.alias(f"m{i}") for i, mean in enumerate(part.values())]).first()
+        found |= {c: row[f"m{i}"] for i, c in enumerate(part) if row[f"m{i}"] is not None}
+    return found
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     """The most frequent value of each column, the smallest one among equals.
 
-    All columns are counted in one shuffle by GROUPING SETS. Nothing holds all
-    distinct values of a column in one place, unlike the ``mode`` aggregate.
+    Sixteen columns at a time are counted in one shuffle by GROUPING SETS, which
+    copy each row once a column. Nothing holds all distinct values of a column in
+    one place, unlike the ``mode`` aggregate.
     """
     columns = list(dict.fromkeys(columns))
-    if not columns:
-        return {}
+    parts = [columns[i : i + SETS_AT_ONCE] for i in range(0, len(columns), SETS_AT_ONCE)]
+    return {c: mode for part in parts for c, mode in _modes(df, part).items()}
+
+
+def _modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     types = {f.name: f.dataType for f in df.schema.fields}
     named = df.select(*[present(col(c), types[c]).alias(f"k{i}") for i, c in enumerate(columns)])
     keys = [F.col(f"k{i}") for i in range(len(columns))]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,17 +26,23 @@ _KEY_NOTE = (
     "it unless key-based deduplication is switched on."
 )
 _QUARTILES = (0.25, 0.75)
+#: Aggregates that share a scan; wider tables are scanned in parts.
+_MEASURES = 300
 _WHOLE_ROW, _LABEL, _COMPOSITE = "\0row", "\0label", "\0composite"
 
 
 class DataProfiler:
     """Measures six quality dimensions of a DataFrame without changing it.
 
-    Whatever the width of the table, a profile takes: one scan for row count,
-    missing values and quantile sketches of all columns, and a few scans that
-    narrow the sketches down to exact quartiles; one scan for outliers of all
-    columns; and one scan with a single shuffle for exact duplicates, all keys,
-    the composite key and the label together. A string label adds a forest fit.
+    A profile takes one scan for row count, missing values and quantile sketches,
+    and a few that narrow the sketches down to exact quartiles; one scan for
+    outliers; and one scan with a single shuffle for exact duplicates, keys, the
+    composite key and the label together. Beyond a hundred columns or sixteen keys
+    each of these is done in parts. A text label adds a forest fit.
+
+    ``label_encoding`` ("index" or "hash") says how text becomes features of that
+    forest, ``max_label_classes`` bounds its classes, and ``label_noise_folds``
+    above one has rows scored by forests that have not seen them.
 
     ``restore_drifted_types`` reads numbers that drifted to text as numbers when
     looking for outliers. Without ``exact_quantiles`` the sketched quartiles are
@@ -50,6 +57,9 @@ class DataProfiler:
         exact_quantiles: bool = True,
         restore_drifted_types: bool = True,
         strict: bool = False,
+        label_encoding: str = "index",
+        max_label_classes: int = labels.MAX_LABEL_CLASSES,
+        label_noise_folds: int = 1,
     ):
         self.outlier_iqr_multiplier = outlier_iqr_multiplier
         self.label_noise_min_rows = label_noise_min_rows
@@ -57,6 +67,9 @@ class DataProfiler:
         self.exact_quantiles = exact_quantiles
         self.restore_drifted_types = restore_drifted_types
         self.strict = strict
+        self.label_encoding = label_encoding
+        self.max_label_classes = max_label_classes
+        self.label_noise_folds = label_noise_folds
 
     def profile(
         self,
@@ -88,15 +101,22 @@ class DataProfiler:
 
     def _scan_basics(self, df: DataFrame, values: Mapping[str, Column]) -> dict[str, Any]:
         """Row count, missing counts and quantile sketches from one scan."""
+        shares = quantiles.around(_QUARTILES) if self.exact_quantiles else _QUARTILES
         measures = {"rows": Measure(F.count(F.lit(1)))}
         measures |= {name: count_where(test) for name, test in missing_tests(df).items()}
-        counts = [F.col(name) for name in measures]
+        counts = {name: [F.col(name)] for name in measures}
         for i, value in enumerate(values.values()):
             measures[f"s{i}"] = sketch(value)
-            counts.append(F.kll_sketch_get_n_double(f"s{i}").alias(f"n{i}"))
-            shares = quantiles.around(_QUARTILES) if self.exact_quantiles else _QUARTILES
-            counts.append(quantiles.from_sketch(f"s{i}", shares).alias(f"q{i}"))
-        return summarise(df, measures).select(*counts).first().asDict()
+            counts[f"s{i}"] = [
+                F.kll_sketch_get_n_double(f"s{i}").alias(f"n{i}"),
+                quantiles.from_sketch(f"s{i}", shares).alias(f"q{i}"),
+            ]
+        names, basics = list(measures), {}
+        for k in range(0, len(names), _MEASURES):
+            part = names[k : k + _MEASURES]
+            chosen = [c for name in part for c in counts[name]]
+            basics |= summarise(df, {name: measures[name] for name in part}).select(*chosen).first().asDict()
+        return basics
 
     def _missingness(self, df: DataFrame, basics: Mapping[str, Any]) -> Report:
         rows, report = basics["rows"], {}
@@ -112,10 +132,12 @@ class DataProfiler:
 
     def _fences(self, df: DataFrame, values: Mapping[str, Column], basics: Mapping[str, Any]) -> dict[str, Fence]:
         if self.exact_quantiles:
-            names = {name: f"v{i}" for i, name in enumerate(values)}
-            sketched = {a: (basics[f"n{i}"], basics[f"q{i}"]) for i, a in enumerate(names.values())}
-            data = df.select(*[values[name].alias(a) for name, a in names.items()])
-            found = quantiles.search(data, names, sketched, _QUARTILES)
+            found, number = {}, {name: i for i, name in enumerate(values)}
+            for part in quantiles.in_parts(values):
+                names = {name: f"v{number[name]}" for name in part}
+                sketched = {a: (basics[f"n{number[n]}"], basics[f"q{number[n]}"]) for n, a in names.items()}
+                data = df.select(*[part[name].alias(a) for name, a in names.items()])
+                found |= quantiles.search(data, names, sketched, _QUARTILES)
         else:
             found = {name: basics[f"q{i}"] or (None, None) for i, name in enumerate(values)}
         return as_fences(found, self.outlier_iqr_multiplier)
@@ -123,12 +145,14 @@ class DataProfiler:
     def _outliers(self, df: DataFrame, rows: int, values, fences: Mapping[str, Fence]) -> Report:
         if not fences:
             return {}
-        counts = df.agg(
-            *[F.count_if(f.breaks(values[n])).alias(f"o_{i}") for i, (n, f) in enumerate(fences.items())]
-        ).first()
+        beyond = {n: F.count_if(f.breaks(values[n])) for n, f in fences.items()}
+        counts: dict[str, int] = {}
+        for part in quantiles.in_parts(beyond):
+            row = df.agg(*[c.alias(f"o_{i}") for i, c in enumerate(part.values())]).first()
+            counts |= dict(zip(part, row))
         report = {}
-        for i, (name, fence) in enumerate(fences.items()):
-            count = counts[f"o_{i}"]
+        for name, fence in fences.items():
+            count = counts[name]
             report[name] = {
                 "q1": fence.q1,
                 "q3": fence.q3,
@@ -182,7 +206,7 @@ class DataProfiler:
         }
         if len(known) < 2:
             composite["message"] = (
-                "Composite-key duplicate profiling requires at least two valid key columns."
+                "A composite key takes two or more columns that the table has."
             )
         else:
             counts = census[_COMPOSITE] if len(set(known)) > 1 else census[known[0]]
@@ -211,9 +235,9 @@ class DataProfiler:
     def _labels(self, df: DataFrame, label: str | None, basics, census, reference: Snapshot | None) -> Report:
         rows = basics["rows"]
         if label is None:
-            return {"evaluated": False, "message": "No label column provided."}
+            return {"evaluated": False, "message": "No label was named."}
         if label not in df.columns:
-            return {"evaluated": False, "message": f"Label column '{label}' not found."}
+            return {"evaluated": False, "message": f"The table has no label column '{label}'."}
         nulls, classes = 0, 0
         if rows:
             nulls = basics[f"null_{df.columns.index(label)}"]
@@ -226,7 +250,7 @@ class DataProfiler:
             "distinct_label_count": classes,
             "confidence_noise": self._noise(df, label, rows - nulls, classes, reference)
             if rows
-            else {"evaluated": False, "message": "Empty DataFrame."},
+            else {"evaluated": False, "message": "The table is empty."},
         }
 
     def _noise(self, df: DataFrame, label: str, labelled: int, classes: int, reference) -> Report:
@@ -234,21 +258,19 @@ class DataProfiler:
         if not is_text(df.schema[label].dataType) or classes < 2 or labelled < least:
             return {
                 "evaluated": False,
-                "message": (
-                    "Skipped: confidence scoring requires a categorical label, "
-                    f"at least 2 classes, and {least} labeled rows."
-                ),
+                "message": f"Left out: a forest needs a text label of two classes or more on {least} rows.",
             }
         threshold = self.label_noise_confidence_threshold
         try:
-            found = labels.estimate_label_noise(df, label, threshold, least, reference)
-        except Exception as failure:
+            found = labels.estimate_label_noise(
+                df, label, threshold, least, reference, self.label_encoding, self.max_label_classes, self.label_noise_folds)
+        except (ValueError, IllegalArgumentException) as failure:  # what Spark ML says of data it cannot fit
             if self.strict:
                 raise
             return {
                 "evaluated": False,
                 "error_class": type(failure).__name__,
-                "message": f"Confidence scoring failed: {failure}",
+                "message": f"The forest could not be fitted: {failure}",
             }
         if found is None:
             return {"evaluated": False, "message": labels.NO_FEATURES}
@@ -256,12 +278,14 @@ class DataProfiler:
         if used < least:
             return {
                 "evaluated": False,
-                "message": f"Too few complete labeled rows after dropping nulls ({used} < {least}).",
+                "message": f"Only {used} labelled rows are complete; {least} are needed.",
             }
+        if found.too_many_classes:
+            return {"evaluated": False, "message": labels.MANY_CLASSES}
         average = found.average_confidence
         return {
             "evaluated": True,
-            "method": "random_forest_self_evaluation",
+            "method": "random_forest_self_evaluation" if self.label_noise_folds == 1 else "random_forest_out_of_fold",
             "confidence_threshold": threshold,
             "labeled_rows_used": used,
             "suspected_noise_count": found.suspected,
@@ -270,7 +294,9 @@ class DataProfiler:
             "low_confidence_ratio": round(found.low_confidence / used, 4),
             "severity": grades.LABEL_NOISE.grade(found.suspected / used),
             "type_restored_columns": list(found.features.restored),
-            "note": "The forest scores its own training rows: a signal to look at, not a measurement.",
+            "note": "The forest scores its own training rows: a signal to look at, not a measurement."
+            if self.label_noise_folds == 1
+            else "Each row is scored by a forest fitted on the other folds.",
         }
 
 
@@ -298,7 +324,7 @@ def drift_report(current: Snapshot, reference: Snapshot | None) -> Report:
     if reference is None:
         return {
             "evaluated": False,
-            "message": "No reference schema provided.",
+            "message": "No schema to compare with was given.",
             "added_columns": [],
             "removed_columns": [],
             "type_changes": [],

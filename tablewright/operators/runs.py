@@ -41,15 +41,15 @@ EFFORT_METRICS = {
     "repair_seconds": "opex_metrics.repair_time_seconds",
     "repair_actions": "opex_metrics.repair_action_count",
     "code_lines_reduced": (
-        "thesis_report.process_efficiency_metrics."
+        "report.process_efficiency_metrics."
         "reduction_in_dataset_specific_cleaning_code.estimated_lines_reduced"
     ),
     "manual_baseline_steps": (
-        "thesis_report.process_efficiency_metrics."
+        "report.process_efficiency_metrics."
         "reduction_in_manual_cleaning_steps.baseline_steps"
     ),
     "seconds_saved": (
-        "thesis_report.process_efficiency_metrics."
+        "report.process_efficiency_metrics."
         "time_saved_per_cleaning_cycle.estimated_seconds_saved"
     ),
 }

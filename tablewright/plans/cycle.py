@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..sources.storage import materialise
+from ..sources.storage import StoredTable, materialise
 from .evaluation import DataQualityEvaluator, build_opex_metrics
 from .policy import RepairPolicy
 from .profiler import DataProfiler
@@ -26,6 +26,19 @@ class CleaningResult:
     repair_actions: list[dict[str, Any]]
     cleaned_df: DataFrame
     repair_policy: RepairPolicy | None = None
+    stored: StoredTable | None = None
+
+    def close(self) -> None:
+        """Delete the stored table behind ``cleaned_df``, which must not be used afterwards."""
+        if self.stored is not None:
+            self.stored.drop()
+            self.stored = None
+
+    def __enter__(self) -> CleaningResult:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
 
 class CleaningCycle:
@@ -70,11 +83,15 @@ class CleaningCycle:
         raw = self.profiler.profile(df, **context)
         raw_seconds = lap()
         repaired = self.repair_engine.repair(df, raw, **context)
-        cleaned_df = repaired.cleaned_df
-        if self.materialise_cleaned:
-            cleaned_df = materialise(cleaned_df, "cleaned").df
+        stored = materialise(repaired.cleaned_df, "cleaned") if self.materialise_cleaned else None
+        cleaned_df = stored.df if stored else repaired.cleaned_df
         repair_seconds = lap()
-        cleaned = self.profiler.profile(cleaned_df, **context)
+        try:
+            cleaned = self.profiler.profile(cleaned_df, **context)
+        except BaseException:
+            if stored:
+                stored.drop()
+            raise
         cleaned_seconds = lap()
         evaluation = self.evaluator.evaluate(raw, cleaned, repaired.actions).metrics
         evaluation_seconds = lap()
@@ -95,4 +112,5 @@ class CleaningCycle:
             repair_actions=repaired.actions,
             cleaned_df=cleaned_df,
             repair_policy=self.repair_engine.policy,
+            stored=stored,
         )

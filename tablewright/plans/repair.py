@@ -282,7 +282,7 @@ def _plan_caps(plan: _Plan, policy: RepairPolicy, report: Mapping[str, Any], lab
             if name in policy.outlier_column_strategies and counts["outlier_count"] > 0:
                 plan.actions.append(
                     {"issue": "outliers", "column": name, "strategy": "none", **counts,
-                     "message": "Outlier repair skipped by policy."}
+                     "message": "The policy leaves this column as it is."}
                 )
             continue
         if found.get("severity") not in policy.repair_outlier_severities:
@@ -320,7 +320,8 @@ def _repair_labels(
     if label is None or label not in df.columns or nulls <= 0:
         return df, []
     done = labels.impute_labels(
-        df, label, policy.label_confidence_threshold, policy.label_min_training_rows
+        df, label, policy.label_confidence_threshold, policy.label_min_training_rows,
+        policy.label_encoding, policy.max_label_classes,
     )
     if done.reason is not None:
         action: Action = {"issue": "label_noise", "strategy": "skip_model_imputation", "reason": done.reason}

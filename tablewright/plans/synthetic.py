@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import Snapshot, col, snapshot
 from ..functions.draws import uniform
+from ..functions.draws import row_hash
 from ..operators import inject
 
 ROW_ID = "row_id"
@@ -50,10 +51,10 @@ class SyntheticIssueConfig:
 
     def validate(self) -> None:
         if self.row_count <= 0:
-            raise ValueError("row_count must be positive.")
+            raise ValueError("At least one row is needed (row_count).")
         for name, value in asdict(self).items():
             if name.endswith("_rate") and not 0 <= value <= 1:
-                raise ValueError(f"{name} must be between 0 and 1.")
+                raise ValueError(f"{name} is a share of the rows, from 0 to 1.")
 
 
 @dataclass
@@ -324,6 +325,9 @@ def inject_wine_issues(
     )
 
 
+_IDENTITY = "__identity"
+
+
 def dirty_table(
     df: DataFrame,
     missing: dict[str, float] | None = None,
@@ -334,16 +338,29 @@ def dirty_table(
     seed: int = 0,
     ids: Sequence[str] | None = None,
 ) -> tuple[DataFrame, dict[str, Any]]:
-    """Damage any table: missing values, outliers, drift and copies by rate."""
+    """Damage any table: missing values, outliers, drift and copies by rate.
+
+    The record has the rate of every damaged column. Without ids a row is known by
+    its hash before any damage, so that what one kind of damage hits does not
+    depend on the others.
+    """
     issues: dict[str, Any] = {}
     missing = {c: r for c, r in (missing or {}).items() if r > 0}
     outliers = {c: (v, r) for c, (v, r) in (outliers or {}).items() if r > 0}
+    if not ids:
+        df, ids = df.withColumn(_IDENTITY, row_hash(df)), [_IDENTITY]
     for i, (column, rate) in enumerate(missing.items()):
         df = inject.missing_values(df, column, rate, seed + inject.MISSING + i, ids)
-        issues["missingness"] = {"columns": list(missing), "rate": rate}
     for i, (column, (value, rate)) in enumerate(outliers.items()):
         df = inject.constant_outliers(df, column, value, rate, seed + inject.OUTLIER + i, ids)
-        issues["outliers"] = {"column": column, "rate": rate, "outlier_value": value}
+    if missing:
+        issues["missingness"] = {"columns": list(missing), "rates": missing}
+    if outliers:
+        issues["outliers"] = {
+            "columns": list(outliers),
+            "rates": {c: r for c, (_, r) in outliers.items()},
+            "outlier_values": {c: v for c, (v, _) in outliers.items()},
+        }
     if drift or added:
         df = inject.drifted_schema(df, drift or {}, added)
         issues["schema_drift"] = {
@@ -354,4 +371,4 @@ def dirty_table(
     if duplicate_rate > 0:
         df = inject.duplicate_rows(df, duplicate_rate, seed + inject.DUPLICATE, ids)
         issues["duplicates"] = {"rate": duplicate_rate}
-    return df, issues
+    return df.drop(_IDENTITY), issues

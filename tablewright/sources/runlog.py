@@ -67,7 +67,7 @@ class ExperimentLogger:
         policy: Any = None,
         metadata: Mapping | None = None,
         ml_metrics: Any = None,
-        thesis_report: Any = None,
+        report: Any = None,
     ) -> str:
         """Write the artifacts and return the run id, which sorts by time."""
         artifacts = {
@@ -79,7 +79,7 @@ class ExperimentLogger:
             "evaluation": result.evaluation,
             "opex_metrics": result.opex_metrics,
         }
-        optional = {"ml_metrics": ml_metrics, "thesis_report": thesis_report}
+        optional = {"ml_metrics": ml_metrics, "report": report}
         artifacts |= {name: a for name, a in optional.items() if a is not None}
         return self.append(run_name, artifacts, result.cleaned_df.sparkSession)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quantiles
 from ..functions.draws import rank_key, row_identity
+from .storage import materialise
 
 _DRAW = "__rank_key"
 
@@ -24,7 +25,8 @@ def sample_rows(
 
     With id columns the sample is the same in every run. Without them the row's
     place in its input partition takes part in the draw, so that copies of a row
-    are drawn one by one; the sample then holds for a fixed input layout.
+    are drawn one by one. Rows and draws are stored once then, for a place may
+    change from scan to scan; the sample differs between layouts of the input.
     """
     if size <= 0:
         return df.limit(0)
@@ -35,6 +37,8 @@ def sample_rows(
     if not ids:
         identity = [*identity, F.monotonically_increasing_id()]
     drawn = df.withColumn(_DRAW, rank_key(seed, *identity).cast("double"))
+    if not ids:
+        drawn = materialise(drawn, "drawn").df
     first_out = (size + 0.5) / total
     edge = quantiles.exact(drawn, {_DRAW: F.col(_DRAW)}, [first_out])[_DRAW][0]
     return drawn.filter(F.col(_DRAW) < edge).drop(_DRAW)

@@ -12,7 +12,7 @@ from tablewright.plans.synthetic import (
     GENERIC_CATEGORIES, GENERIC_OFFSETS, HOUSE_TYPE_VALUE, HOUSE_TYPES, LOCATIONS,
     NEIGHBORHOOD_VALUE, NEIGHBORHOODS, dirty_table,
 )
-from tablewright.plans.verify import compute_detection_accuracy
+from tablewright.plans.verify import detection_table, injected_rates
 
 from .tables import ORDER_ID, beyond, fence, table, u
 
@@ -111,7 +111,7 @@ def dirty_existing_table(spark, folder):
 
 
 def _accuracy(detected: str, injected: float) -> str:
-    return f"round(greatest(0.0::DOUBLE, 1 - abs(round({detected}, 4) - {injected}::DOUBLE) / {injected}::DOUBLE) * 100, 1)"
+    return f"greatest(0.0::DOUBLE, 1 - abs({detected} - {injected}::DOUBLE) / {injected}::DOUBLE) * 100"
 
 
 def _share(condition: str) -> str:
@@ -123,18 +123,29 @@ _COPIES = "(SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM
 
 @query(
     f"""WITH {_DIRTY_EVENTS}, {fence('f', 'de', 'value')}
-    SELECT 'value' AS issue, 0.04::DOUBLE AS injected, round({_share('value IS NULL')}, 4) AS detected,
+    SELECT 'missingness' AS issue, 'value' AS "column", 0.04::DOUBLE AS injected, {_share('value IS NULL')} AS detected,
         {_accuracy(_share('value IS NULL'), 0.04)} AS accuracy
-    UNION ALL SELECT 'event_type', 0.04, round({_share('event_type IS NULL')}, 4), {_accuracy(_share('event_type IS NULL'), 0.04)}
-    UNION ALL SELECT 'outliers', 0.05, round({_share(beyond('value', 'f'))}, 4), {_accuracy(_share(beyond('value', 'f')), 0.05)}
-    UNION ALL SELECT 'duplicates', 0.03, round({_COPIES}, 4), {_accuracy(_COPIES, 0.03)}"""
+    UNION ALL SELECT 'missingness', 'event_type', 0.04, {_share('event_type IS NULL')}, {_accuracy(_share('event_type IS NULL'), 0.04)}
+    UNION ALL SELECT 'outliers', 'value', 0.05, {_share(beyond('value', 'f'))}, {_accuracy(_share(beyond('value', 'f')), 0.05)}
+    UNION ALL SELECT 'duplicates', NULL, 0.03, {_COPIES}, {_accuracy(_COPIES, 0.03)}"""
 )
 def detection_accuracy(spark, folder):
     df, issues = _dirty_events(spark, folder)
-    found = compute_detection_accuracy(issues, DataProfiler().profile(df))
-    entries = found["missingness"]["by_column"] | {k: found[k] for k in ("outliers", "duplicates")}
-    rows = [(k, e["injected"], e["detected"], e["accuracy"]) for k, e in entries.items()]
-    return spark.createDataFrame(rows, "issue string, injected double, detected double, accuracy double")
+    return detection_table(spark, issues, DataProfiler().profile(df))
+
+
+@query(
+    """SELECT * FROM (VALUES ('missingness', 'value', 0.1::DOUBLE), ('missingness', 'event_type', 0.3::DOUBLE),
+        ('outliers', 'value', 0.05::DOUBLE), ('outliers', 'user_id', 0.02::DOUBLE), ('duplicates', NULL, 0.03::DOUBLE))
+      AS t(issue, "column", rate) WHERE EXISTS (SELECT * FROM events)"""
+)
+def dirty_table_record(spark, folder):
+    """The record of damage to several columns has the rate of each."""
+    events = table(spark, folder, "events")
+    _, issues = dirty_table(
+        events, missing={"value": 0.1, "event_type": 0.3}, outliers={"value": (1e6, 0.05), "user_id": (10**9, 0.02)}, duplicate_rate=0.03)
+    rates = spark.createDataFrame(injected_rates(issues), "issue string, column string, rate double")
+    return rates.join(events.limit(1).select(), how="left_semi")
 
 
 # --- generated datasets -----------------------------------------------------

@@ -256,29 +256,48 @@ def failed_thresholds(spark, folder):
     return spark.createDataFrame(rows, "issue string, residual double, threshold double, retried boolean")
 
 
-def _order_without_label(spark, folder):
-    return stored_orders(spark, folder).drop("o_orderstatus")
+LABEL = "o_orderstatus"
+
+
+def _run(plan, spark, folder):
+    """A cycle or loop over all columns, with label and reference schema."""
+    return plan.run(stored_orders(spark, folder), KEYS, table(spark, folder, "orders").schema, LABEL)
 
 
 # Two turns of the loop in SQL: the second caps what is still outside the fences
 # of the first turn's result.
 _TURNS = (
     fence("t1", "slim", "o_totalprice")
-    + f""", turn1 AS (SELECT DISTINCT o_orderkey, o_custkey,
+    + f""", turn1 AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus,
       {capped("coalesce(o_totalprice, (SELECT quantile_disc(o_totalprice, 0.5) FROM slim))", 't1')} AS o_totalprice,
       o_orderdate, coalesce(o_orderpriority, 'unknown') AS o_orderpriority FROM slim), """
     + fence("t2", "turn1", "o_totalprice")
-    + f""", turn2 AS (SELECT o_orderkey, o_custkey, {capped('o_totalprice', 't2')} AS o_totalprice,
+    + f""", turn2 AS (SELECT o_orderkey, o_custkey, o_orderstatus, {capped('o_totalprice', 't2')} AS o_totalprice,
       o_orderdate, o_orderpriority FROM turn1), """
     + fence("t3", "turn2", "o_totalprice")
 )
-_SLIM = "slim AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority FROM dirty)"
+_SLIM = "slim AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM dirty)"
 
 
 def _left(source: str, name: str) -> str:
     return f"""(SELECT round({div(f"count(*) FILTER (WHERE {beyond('o_totalprice', name)})", 'count(*)')}, 6) FROM {source})"""
 
 
+@query(
+    with_dirty(
+        f"""SELECT 'outliers' AS issue, {_left('turn1', 't2')} AS residual, 0.01::DOUBLE AS "limit", true AS retried
+            WHERE {_left('turn1', 't2')} > 0.01""",
+        _SLIM,
+        _TURNS,
+    )
+)
+def act_log_rows(spark, folder):
+    """What the first turn of the loop decides on the issue types over their limits."""
+    loop = PDSALoop(POLICY, PDSAConfig(max_iterations=2), EXACT)
+    first = _run(loop, spark, folder).iterations_frame().filter("iteration = 1")
+    return first.select(F.inline("policy_adjustments"))
+
+
 @query(
     with_dirty(
         f"""SELECT 1 AS iteration, {_left('turn1', 't2')} AS residual_outlier_ratio, {_left('turn1', 't2')} <= 0.01 AS thresholds_met
@@ -290,15 +309,15 @@ def _left(source: str, name: str) -> str:
 )
 def pdsa_loop(spark, folder):
     loop = PDSALoop(POLICY, PDSAConfig(max_iterations=2), EXACT)
-    turns = loop.run(_order_without_label(spark, folder), KEYS).iterations_frame()
+    turns = _run(loop, spark, folder).iterations_frame()
     return turns.select("iteration", "residual_outlier_ratio", "thresholds_met")
 
 
 _CYCLE = {
     "row_count.raw": "(SELECT count(*) FROM slim)",
     "row_count.cleaned": "(SELECT count(*) FROM turn1)",
-    "missingness.raw_total": "(SELECT 2 * count(*) - count(o_totalprice) - count(o_orderpriority) FROM slim)",
-    "missingness.cleaned_total": "0",
+    "missingness.raw_total": "(SELECT 3 * count(*) - count(o_totalprice) - count(o_orderpriority) - count(o_orderstatus) FROM slim)",
+    "missingness.cleaned_total": "(SELECT count(*) - count(o_orderstatus) FROM turn1)",
     "duplicates.raw": "(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM slim)) FROM slim)",
     "duplicates.cleaned": "0",
     "outliers.by_column.o_totalprice.raw": f"(SELECT count(*) FROM slim WHERE {beyond('o_totalprice', 't1')})",
@@ -319,7 +338,12 @@ def _pick(report: dict, path: str) -> float:
 
 
 def _cycle(spark, folder, policy=POLICY):
-    return CleaningCycle(EXACT, repair_policy=policy).run(_order_without_label(spark, folder), KEYS)
+    return _run(CleaningCycle(EXACT, repair_policy=policy), spark, folder)
+
+
+# One action for each column with gaps, for outliers and for copies, where there are any.
+_ACTIONS = f"""(SELECT CAST(count(*) > count(o_totalprice) AS INTEGER) + CAST(count(*) > count(o_orderpriority) AS INTEGER) FROM slim)
+    + CAST({_CYCLE['outliers.by_column.o_totalprice.raw']} > 0 AS INTEGER) + CAST({_CYCLE['duplicates.raw']} > 0 AS INTEGER)"""
 
 
 @query(with_dirty(_facts(_CYCLE), _SLIM, _TURNS))
@@ -334,12 +358,12 @@ def cleaning_cycle(spark, folder):
             {
                 "input_row_count": "(SELECT count(*) FROM slim)",
                 "output_row_count": "(SELECT count(*) FROM turn1)",
-                "input_column_count": "5",
-                "output_column_count": "5",
+                "input_column_count": "6",
+                "output_column_count": "6",
                 "row_count_delta": "(SELECT count(*) FROM turn1) - (SELECT count(*) FROM slim)",
                 "column_count_delta": "0",
-                "repair_action_count": "4",
-                "automated_repair_actions": "4",
+                "repair_action_count": _ACTIONS,
+                "automated_repair_actions": _ACTIONS,
             }
         ),
         _SLIM,
@@ -355,7 +379,7 @@ def effort_metrics(spark, folder):
 _SECTION = "data_quality_metrics"
 _GROUPED = {
     "change_in_missingness.raw_total": _CYCLE["missingness.raw_total"],
-    "change_in_missingness.cleaned_total": "0",
+    "change_in_missingness.cleaned_total": _CYCLE["missingness.cleaned_total"],
     "reduction_in_duplicates.raw": _CYCLE["duplicates.raw"],
     "outlier_reduction.by_column.o_totalprice.raw": _CYCLE["outliers.by_column.o_totalprice.raw"],
     "outlier_reduction.by_column.o_totalprice.cleaned": _CYCLE["outliers.by_column.o_totalprice.cleaned"],
@@ -373,13 +397,14 @@ def grouped_report(spark, folder):
 # --- logged runs ------------------------------------------------------------
 
 _BY_HAND = RepairPolicy(numeric_imputation="mode", outlier_strategy="none")
-_HAND = f""", hand AS (SELECT DISTINCT o_orderkey, o_custkey,
+_HAND = f""", hand AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus,
       coalesce(o_totalprice, {mode_of('o_totalprice', 'slim')}) AS o_totalprice,
       o_orderdate, coalesce(o_orderpriority, 'unknown') AS o_orderpriority FROM slim), """ + fence("th", "hand", "o_totalprice")
+_HAND_LEFT = "(SELECT count(*) - count(o_orderstatus) FROM hand)"
 _COMPARED = {
     "missingness_raw": (_CYCLE["missingness.raw_total"],) * 2,
-    "missingness_cleaned": ("0", "0"),
-    "missingness_reduction": (_CYCLE["missingness.raw_total"],) * 2,
+    "missingness_cleaned": (_CYCLE["missingness.cleaned_total"], _HAND_LEFT),
+    "missingness_reduction": tuple(f"({_CYCLE['missingness.raw_total']} - {x})" for x in (_CYCLE["missingness.cleaned_total"], _HAND_LEFT)),
     "duplicates_raw": (_CYCLE["duplicates.raw"],) * 2,
     "duplicates_cleaned": ("0", "0"),
     "duplicates_reduction": (_CYCLE["duplicates.raw"],) * 2,
@@ -402,7 +427,7 @@ def _logged_pair(spark, folder):
             for m, (a, b) in _COMPARED.items()
         ),
         _SLIM,
-        _TURNS,
+        _TURNS + _HAND,
     )
 )
 def run_compare(spark, folder):

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright import (
     DataProfiler, RepairEngine, RepairPolicy, SparkMLClassificationEvaluator, SparkMLRegressionEvaluator,
 )
-from tablewright.operators import inject, scores
+from tablewright.functions.columns import snapshot
+from tablewright.operators import features, inject, labels, scores
 from tablewright.plans.models import compare_conditions
 from tablewright.sources.storage import materialise
 
-from .tables import dirty_orders, n, stored_orders, table, u, with_dirty
+from .repairing import AUTO_REPAIRED
+from .tables import ORDER_ID, dirty_orders, fence, n, stored_orders, table, u, with_dirty
 
 QUERIES, ORACLES = {}, {}
 
@@ -216,16 +220,121 @@ def _repaired(spark, folder):
     return df, materialise(cleaned, "cleaned").df
 
 
-@query()
+_COMPLETE = "o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL AND o_orderstatus IS NOT NULL"
+_POLICY = f"policy AS ({AUTO_REPAIRED})"
+_MANUAL = """manual AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+    coalesce(o_orderpriority, 'unknown') AS o_orderpriority FROM dirty)"""
+
+
+@query(
+    with_dirty(
+        " UNION ALL ".join(
+            f"""SELECT '{side}' AS side, count(*) AS ml_row_count, count(*) FILTER (WHERE {u(42)} < 0.8) AS train_row_count,
+                count(*) FILTER (WHERE NOT {u(42)} < 0.8) AS test_row_count, true AS in_range, 2 AS folds
+                FROM {source} WHERE {_COMPLETE}"""
+            for side, source in (("raw", "dirty"), ("cleaned", "policy"))
+        ),
+        fence("f", "dirty", "o_totalprice"),
+        _POLICY,
+    )
+)
 def logreg_raw_vs_clean(spark, folder):
+    """Rows and splits of both sides are exact; the scores of a fit can only be held to their range."""
     raw, cleaned = _repaired(spark, folder)
-    evaluator = SparkMLClassificationEvaluator(validation_folds=2)
-    return evaluator.evaluate_logistic_regression(raw, cleaned, "o_orderstatus", *_FEATURES).to_frame(spark)
+    evaluator = SparkMLClassificationEvaluator(validation_folds=2, id_columns=ORDER_ID)
+    found = evaluator.evaluate_logistic_regression(raw, cleaned, "o_orderstatus", *_FEATURES)
+    rows = [
+        (side, *(m[c] for c in ("ml_row_count", "train_row_count", "test_row_count")),
+         all(0 <= m[c] <= 1 for c in ("accuracy", "f1", "weighted_precision", "weighted_recall")), len(m["fold_stability"]["folds"]))
+        for side, m in (("raw", found.raw_metrics), ("cleaned", found.cleaned_metrics))
+    ]
+    return spark.createDataFrame(
+        rows, "side string, ml_row_count bigint, train_row_count bigint, test_row_count bigint, in_range boolean, folds int")
 
 
-@query()
+@query(
+    with_dirty(
+        " UNION ALL ".join(
+            f"""SELECT '{condition}' AS condition, count(*) AS ml_row_count, true AS in_range,
+                {'0.0::DOUBLE' if source == 'dirty' else 'NULL::DOUBLE'} AS delta_of_raw FROM {source} WHERE {_COMPLETE}"""
+            for condition, source in (("raw", "dirty"), ("detection_only", "dirty"), ("policy", "policy"), ("manual", "manual"))
+        ),
+        fence("f", "dirty", "o_totalprice"),
+        _POLICY,
+        _MANUAL,
+    )
+)
 def four_conditions(spark, folder):
+    """As above; detection alone changes nothing, so its scores are those of the raw table."""
     raw, cleaned = _repaired(spark, folder)
     by_hand = raw.fillna({"o_orderpriority": "unknown"}).dropDuplicates()
     conditions = {"raw": raw, "detection_only": raw, "policy": cleaned, "manual": by_hand}
-    return compare_conditions(SparkMLClassificationEvaluator(), conditions, "o_orderstatus", *_FEATURES)
+    found = compare_conditions(SparkMLClassificationEvaluator(), conditions, "o_orderstatus", *_FEATURES)
+    same = F.when(F.col("condition").isin("raw", "detection_only"), F.abs("accuracy_delta") + F.abs("f1_delta"))
+    return found.select(
+        "condition", "ml_row_count", (F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)).alias("in_range"),
+        same.alias("delta_of_raw"))
+
+
+# A label that is a rule of one feature, so that a forest must find it.
+_RULE = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'soon' ELSE 'later' END"
+_OTHER = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'later' ELSE 'soon' END"
+
+
+def _by_rule(spark, folder):
+    return table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", F.expr(_RULE).alias("when"))
+
+
+@query(
+    f"""SELECT count(*) AS rows_used, count(*) FILTER (WHERE {u(40)} < 0.05) AS suspected,
+        count(*) FILTER (WHERE {u(40)} < 0.05) AS flipped FROM orders"""
+)
+def label_noise_known_flips(spark, folder):
+    """The forest suspects exactly the labels that were flipped against the rule."""
+    flipped = inject.flipped_labels(_by_rule(spark, folder), "when", "soon", "later", 0.05, ids=ORDER_ID)
+    found = labels.estimate_label_noise(flipped.drop("o_orderkey"), "when")
+    truth = flipped.filter(F.col("when") != F.expr(_RULE)).count()
+    return spark.createDataFrame([(found.rows_used, found.suspected, truth)], "rows_used bigint, suspected bigint, flipped bigint")
+
+
+@query(f"SELECT count(*) AS rows_used, count(*) FILTER (WHERE {u(40)} < 0.05) AS suspected FROM orders")
+def label_noise_out_of_fold(spark, folder):
+    """The same with every row scored by a forest that has not seen it."""
+    flipped = inject.flipped_labels(_by_rule(spark, folder), "when", "soon", "later", 0.05, ids=ORDER_ID)
+    found = labels.estimate_label_noise(flipped.withColumnRenamed("o_orderkey", "key"), "when", folds=3)
+    return spark.createDataFrame([(found.rows_used, found.suspected)], "rows_used bigint, suspected bigint")
+
+
+@query(f"SELECT o_orderkey, {_RULE} AS \"when\" FROM orders")
+def impute_labels_by_rule(spark, folder):
+    """Labels taken away and imputed are those of the rule, and no other changes."""
+    gaps = inject.missing_labels(_by_rule(spark, folder), "when", 0.1, ids=ORDER_ID)
+    dated = gaps.withColumn("o_orderkey", F.date_from_unix_date(F.col("o_orderkey").cast("int")))  # a date is no feature
+    done = labels.impute_labels(dated, "when")
+    return done.df.select(F.unix_date("o_orderkey").cast("bigint").alias("o_orderkey"), "when")
+
+
+@query(
+    """SELECT count(*) AS rows, 1 + count(DISTINCT o_orderpriority) + 1 + count(DISTINCT o_orderstatus) + 1 AS vector_size,
+         (SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS first_value FROM orders"""
+)
+def feature_vectors(spark, folder):
+    """One slot for a number, one for each value of a text column and one for unknown values."""
+    df = table(spark, folder, "orders").select("o_totalprice", "o_orderpriority", "o_orderstatus")
+    model = Pipeline(stages=features.feature_stages(["o_totalprice"], ["o_orderpriority", "o_orderstatus"])).fit(df)
+    sizes = model.transform(df).select(F.size(vector_to_array(F.col(features.FEATURES))).cast("bigint").alias("vector_size"))
+    first = model.stages[0].labelsArray[0][0]
+    return sizes.groupBy("vector_size").agg(F.count(F.lit(1)).alias("rows")).withColumn("first_value", F.lit(first))
+
+
+@query("SELECT count(*) AS rows, count(o_totalprice) AS restored, min(o_totalprice) AS low FROM orders")
+def restored_feature_types(spark, folder):
+    """Numbers that drifted to text are numbers again when a forest reads them."""
+    orders = table(spark, folder, "orders").select("o_totalprice", "o_orderstatus")
+    drifted = inject.drifted_schema(orders, {"o_totalprice": "string"})
+    reference = snapshot(orders.schema)
+    chosen = labels.feature_columns(drifted, "o_orderstatus", reference)
+    restored = labels.restore_types(drifted, chosen, reference)
+    return restored.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count(c).alias("restored") for c in chosen.restored],
+        *[F.min(c).alias("low") for c in chosen.numeric])

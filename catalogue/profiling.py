@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright import DataProfiler
+from tablewright import DataProfiler, RepairEngine, RepairPolicy
 from tablewright.functions.columns import snapshot
 from tablewright.operators import completeness, duplicates, labels, outliers, schemas
 from tablewright.plans.profiler import flagged
@@ -96,7 +96,7 @@ LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"]
     + ", CAST(NULL AS VARCHAR) AS error FROM ("
     + " UNION ALL ".join(_key_row("lineitem", k, k) for k in LINE_KEYS)
     + ") UNION ALL SELECT 'no_such_column', NULL, NULL, NULL, NULL, NULL, NULL, "
-    "'Column ''no_such_column'' not found in DataFrame.'"
+    "'The table has no column ''no_such_column''.'"
 )
 def key_duplicates(spark, folder):
     return duplicates.key_duplicates(table(spark, folder, "lineitem"), [*LINE_KEYS, "no_such_column"])
@@ -363,11 +363,33 @@ def profiler_ground_truth(spark, folder):
     )
 
 
-@query()
+@query(
+    with_dirty(
+        """SELECT count(*) AS rows_used, true AS suspected_some_not_all, true AS confidence_in_range, true AS low_in_range FROM dirty
+           WHERE o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL AND o_orderstatus IS NOT NULL"""
+    )
+)
 def label_noise_forest(spark, folder):
+    """The rows used are exact; what a forest says of a real label can only be held to its range."""
     df = dirty_orders(spark, folder).select("o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     found = labels.estimate_label_noise(df, "o_orderstatus")
+    rows = found.rows_used
     return spark.createDataFrame(
-        [(found.rows_used, found.suspected, found.average_confidence, found.low_confidence)],
-        "rows_used bigint, suspected bigint, average_confidence double, low_confidence bigint",
-    ).withColumn("suspected_ratio", F.col("suspected") / F.col("rows_used"))
+        [(rows, found.suspected < rows, 1 / 3 <= found.average_confidence <= 1, 0 <= found.low_confidence <= rows)],
+        "rows_used bigint, suspected_some_not_all boolean, confidence_in_range boolean, low_in_range boolean",
+    )
+
+
+@query(
+    """SELECT count(*) AS row_count, count(DISTINCT lower(o_orderpriority)) AS distinct_count,
+         count(*) - count(DISTINCT lower(o_orderpriority)) AS duplicate_count, count(DISTINCT lower(o_orderpriority)) AS rows_left FROM orders"""
+)
+def exact_duplicates_collated(spark, folder):
+    """Texts under a collation that ignores case: the profile, the count and the repair agree on copies."""
+    mixed = F.when(F.col("o_orderkey") % 2 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    df = table(spark, folder, "orders").select(F.collate(mixed, "UTF8_LCASE").alias("priority"))
+    profile = DataProfiler().profile(df)
+    left = RepairEngine(RepairPolicy()).repair(df, profile).cleaned_df
+    return duplicates.exact_duplicates(df).select(
+        "row_count", "distinct_count", F.lit(profile["duplicates"]["duplicate_count"]).cast("bigint").alias("duplicate_count"),
+        F.lit(left.count()).alias("rows_left"))

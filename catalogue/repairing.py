@@ -202,7 +202,7 @@ def domain_row_filter(spark, folder):
 
 
 _AUTO = RepairPolicy()
-_AUTO_REPAIRED = f"""SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus,
+AUTO_REPAIRED = f"""SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus,
     {capped(f'coalesce(o_totalprice, {MEDIAN})', 'f')} AS o_totalprice, o_orderdate,
     coalesce(o_orderpriority, 'unknown') AS o_orderpriority FROM dirty"""
 
@@ -215,7 +215,7 @@ def _auto_repair(spark, folder):
 
 @query(
     with_dirty(
-        f"SELECT {_DATED} FROM ({_AUTO_REPAIRED})",
+        f"SELECT {_DATED} FROM ({AUTO_REPAIRED})",
         fence("f", "dirty", "o_totalprice"),
     )
 )
@@ -310,17 +310,32 @@ def skew_repartition(spark, folder):
     return layout.spread_by_key(df, "o_custkey", 8)
 
 
-@query()
+_HAS_FEATURES = "o_custkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL"
+
+
+@query(
+    with_dirty(
+        f"""SELECT count(*) AS rows, count(*) FILTER (WHERE o_orderstatus IS NOT NULL AND {_HAS_FEATURES}) AS training_rows,
+            count(*) FILTER (WHERE o_orderstatus IS NULL AND {_HAS_FEATURES}) AS candidates,
+            count(*) FILTER (WHERE o_orderstatus IS NULL AND {_HAS_FEATURES}) AS imputed,
+            count(*) FILTER (WHERE o_orderstatus IS NULL AND NOT ({_HAS_FEATURES})) AS still_missing,
+            count(o_orderstatus) - count(o_orderstatus) AS labels_changed FROM dirty"""
+    )
+)
 def impute_labels_forest(spark, folder):
-    df = dirty_orders(spark, folder).select(
+    """Three classes: the likeliest has over 0.3, so every candidate gets a label, and no label there was changes."""
+    df = stored_orders(spark, folder).select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus"
     )
     done = labels.impute_labels(df, "o_orderstatus", confidence=0.3)
-    return done.df.groupBy("o_orderstatus").agg(
+    changed = df.filter("o_orderstatus IS NOT NULL").exceptAll(done.df).count()
+    return done.df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.lit(done.training_rows).alias("training_rows"),
         F.lit(done.candidates).alias("candidates"),
         F.lit(done.imputed).alias("imputed"),
+        F.count_if(F.col("o_orderstatus").isNull()).alias("still_missing"),
+        F.lit(changed).alias("labels_changed"),
     )
 
 
@@ -340,10 +355,52 @@ def label_recovery(spark, folder):
     )
 
 
-@query()
+_KNOWN_AFTER = f"count(*) FILTER (WHERE d.o_orderstatus IS NOT NULL OR {_HAS_FEATURES.replace('o_', 'd.o_')})"
+
+
+@query(
+    with_dirty(
+        f"""SELECT count(*) AS total_rows, {_KNOWN_AFTER} AS labeled_rows, count(*) - {_KNOWN_AFTER} AS remaining_missing,
+            {div(_KNOWN_AFTER, 'count(*)')} AS coverage_ratio,
+            count(*) FILTER (WHERE d.o_orderstatus = o.o_orderstatus) AS correct_before, true AS none_lost
+        FROM dirty d JOIN orders o USING (o_orderkey)"""
+    )
+)
 def label_recovery_forest(spark, folder):
-    df = dirty_orders(spark, folder).select(
+    """Without a confidence to reach, every candidate gets a label; labels that were right stay right."""
+    df = stored_orders(spark, folder).select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus"
     )
+    truth = table(spark, folder, "orders")
+    before = labels.label_recovery(df, truth, "o_orderkey", "o_orderstatus").first()["correct_rows"]
     done = labels.impute_labels(df, "o_orderstatus")
-    return labels.label_recovery(done.df, table(spark, folder, "orders"), "o_orderkey", "o_orderstatus")
+    found = labels.label_recovery(done.df, truth, "o_orderkey", "o_orderstatus")
+    return found.select(
+        "total_rows", "labeled_rows", "remaining_missing", "coverage_ratio",
+        F.lit(before).alias("correct_before"), (F.col("correct_rows") >= before).alias("none_lost"))
+
+
+# Neighbours that doubles cannot tell apart: integers beyond 2^53, decimals of 22 digits.
+_FAR = "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 9007199254740992 + o_custkey END"
+
+
+def _filled_with_median(spark, folder, sql):
+    df = table(spark, folder, "orders").selectExpr("o_orderkey", f"{sql} AS v")
+    return fills.fill(df, fills.medians(df, ["v"]))
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, {_FAR} AS v FROM orders)
+    SELECT o_orderkey, coalesce(v, (SELECT quantile_disc(v, 0.5) FROM t)) AS v FROM t""")
+def impute_median_bigint(spark, folder):
+    return _filled_with_median(spark, folder, _FAR)
+
+
+_LONG_SPARK = "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(CAST('12345678901234567890.00' AS DECIMAL(30, 2)) + o_custkey * CAST(0.01 AS DECIMAL(2, 2)) AS DECIMAL(30, 2)) END"
+_LONG_DUCK = "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST('12345678901234567890.00' AS DECIMAL(30, 2)) + CAST(o_custkey AS DECIMAL(20, 2)) * CAST(0.01 AS DECIMAL(3, 2)) END"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, {_LONG_DUCK} AS v FROM orders)
+    SELECT o_orderkey, CAST(CAST(coalesce(v, (SELECT v FROM t WHERE v IS NOT NULL ORDER BY v
+      LIMIT 1 OFFSET (SELECT (count(v) + 1) // 2 - 1 FROM t))) AS DECIMAL(30, 2)) AS VARCHAR) AS v FROM t""")
+def impute_median_decimal(spark, folder):
+    return _filled_with_median(spark, folder, _LONG_SPARK).withColumn("v", F.col("v").cast("string"))

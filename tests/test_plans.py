@@ -101,7 +101,9 @@ def test_loop_stops_and_says_why(dirty):
     strict = PDSAConfig(max_iterations=2, max_skew_ratio=1.0, max_outlier_ratio=1.0, iterative_issue_types=("outliers",))
     stuck = PDSALoop(RepairPolicy(), strict).run(dirty.dirty_df, ["join_key"], dirty.reference_schema)
     assert stuck.stop_reason == "nothing_to_retry" and stuck.total_iterations == 1
-    assert stuck.pdsa_iterations[0].policy_adjustments[0].startswith("not re-running skew")
+    [act] = stuck.pdsa_iterations[0].policy_adjustments
+    assert act.issue == "skew" and act.residual > act.limit == 1.0 and not act.retried
+    assert stuck.iterations_frame().first()["policy_adjustments"][0]["issue"] == "skew"
     assert stuck.cleaned_df.count() == 1500
 
 
@@ -117,8 +119,9 @@ def test_loop_helpers():
     left = compute_residuals(profile)
     assert left == {"missingness": 0.1, "outliers": 1.2, "duplicates": 0.0, "skew": 4.0}
     assert failed_issues(left, config) == ("missingness", "outliers", "skew")
-    lines = act_log(left, config, ("missingness", "outliers"), ("outliers",))
-    assert lines[0].startswith("not re-running missingness") and lines[1].startswith("re-attempting outliers")
+    acts = act_log(left, config, ("missingness", "outliers"), ("outliers",))
+    assert [(a.issue, a.residual, a.limit, a.retried) for a in acts] == [
+        ("missingness", 0.1, 0.01, False), ("outliers", 1.2, 0.01, True)]
     narrow = narrow_policy(RepairPolicy(skew_strategy="repartition"), ["outliers"])
     assert narrow.skew_strategy == "none" and not narrow.drop_duplicates and narrow.outlier_strategy == "cap"
     with pytest.raises(ValueError):
@@ -273,9 +276,13 @@ def test_samples_with_copies_have_the_right_size(spark):
     assert one.count() == 50 and one.exceptAll(other).count() == 0
 
 
-def test_high_cardinality_text_is_hashed_not_indexed(spark, monkeypatch):
+def test_encoding_is_what_was_asked_for():
     from tablewright.operators import features
 
-    monkeypatch.setattr(features, "MAX_CATEGORIES", 5)
-    stages = features.feature_stages(["n"], ["few", "many"], {"few": 3, "many": 50})
-    assert [type(s).__name__ for s in stages] == ["StringIndexer", "OneHotEncoder", "FeatureHasher", "VectorAssembler"]
+    by_index = features.feature_stages(["n"], ["few", "many"])
+    assert [type(s).__name__ for s in by_index] == ["StringIndexer", "OneHotEncoder", "VectorAssembler"]
+    by_hash = features.feature_stages(["n"], ["few", "many"], "hash", 64)
+    assert [type(s).__name__ for s in by_hash] == ["FeatureHasher", "VectorAssembler"] and by_hash[0].getNumFeatures() == 64
+    with pytest.raises(ValueError):
+        features.feature_stages(["n"], ["few"], "guess")
+

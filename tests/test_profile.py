@@ -81,7 +81,7 @@ def test_null_key_is_a_value_and_unknown_key_is_reported(spark):
     entry = report["duplicates"]["by_key"]["k"]
     assert (entry["duplicate_group_count"], entry["duplicate_row_count"]) == (1, 2)
     assert "zz" in report["duplicates"]["by_key"]["zz"]["error"]
-    assert "at least two" in report["duplicates"]["composite_key"]["message"]
+    assert "two or more" in report["duplicates"]["composite_key"]["message"]
     assert report["skew"]["k"]["max_count"] == 2
     rows = {r["key"]: r for r in duplicates.key_duplicates(df, ["k", "zz"]).collect()}
     assert rows["zz"]["error"] and rows["k"]["duplicate_excess_count"] == 1
@@ -159,7 +159,7 @@ def test_exact_quantiles_whatever_the_rounds_and_partitions(spark):
 def test_exact_search_survives_a_wrong_bracket(spark):
     data = spark.range(1000).select(F.col("id").cast("double").alias("v0"))
     for near in [(900.0, 950.0), (1.0, 2.0), (500.5, 500.5)]:
-        found = quantiles.search(data, {"v": "v0"}, {"v0": (1000, near)}, [0.25], finish_rows=10)
+        found = quantiles.search(data, {"v": "v0"}, {"v0": (1000, near)}, [0.25], finish_values=10)
         assert found["v"] == [249.0]
 
 
@@ -196,8 +196,8 @@ def test_profile_takes_few_jobs_whatever_the_width(spark):
 def test_label_section_guards(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "v int, label string")
     profiler = DataProfiler()
-    assert profiler.profile(df)["label_noise"]["message"] == "No label column provided."
-    assert "not found" in profiler.profile(df, label_col="zz")["label_noise"]["message"]
+    assert profiler.profile(df)["label_noise"]["message"] == "No label was named."
+    assert "no label column 'zz'" in profiler.profile(df, label_col="zz")["label_noise"]["message"]
     found = profiler.profile(df, label_col="label")["label_noise"]
     assert (found["label_null_count"], found["distinct_label_count"]) == (1, 2)
     assert not found["confidence_noise"]["evaluated"]

@@ -459,6 +459,49 @@ def run_pivot(spark, folder):
     return runs.pivot_runs(runs.named_metrics(log.read(), wanted), list(wanted), run="run_name")
 
 
+_PRICE_LEFT = {
+    name: f"(SELECT count(*) FROM {source} WHERE {beyond('o_totalprice', f)})" for name, source, f in (("auto", "turn1", "t2"), ("hand", "hand", "th"))
+}
+
+
+@query(
+    with_dirty(
+        f"""SELECT 'quality' AS outcome, {_PRICE_LEFT['auto']} = {_PRICE_LEFT['hand']} AND (SELECT count(*) FROM turn1) = (SELECT count(*) FROM hand)
+              AND {_CYCLE['missingness.cleaned_total']} = {_HAND_LEFT} AS same, true AS any_metric
+            UNION ALL SELECT 'classification', NULL, false UNION ALL SELECT 'regression', NULL, false""",
+        _SLIM,
+        _TURNS + _HAND,
+    )
+)
+def run_verdicts(spark, folder):
+    """Whether an automatic run and one by hand came to the same result; no models were logged."""
+    log, first, second = _logged_pair(spark, folder)
+    return log.verdicts(first, second).select("outcome", "same", (F.col("metrics") > 0).alias("any_metric"))
+
+
+@query(
+    with_dirty(
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS run_name, CAST({_CYCLE['missingness.raw_total']} AS DOUBLE) AS missingness_raw,
+                CAST({left} AS DOUBLE) AS missingness_cleaned, CAST((SELECT count(*) FROM slim) AS DOUBLE) AS row_count_raw,
+                CAST((SELECT count(*) FROM {source}) AS DOUBLE) AS row_count_cleaned, 0.0::DOUBLE AS schema_drift_detected"""
+            for name, source, left in (
+                ("orders_auto", "turn1", _CYCLE["missingness.cleaned_total"]), ("orders_manual", "hand", _HAND_LEFT),
+                ("orders_again", "turn1", _CYCLE["missingness.cleaned_total"]))
+        ),
+        _SLIM,
+        _TURNS + _HAND,
+    )
+)
+def run_summary(spark, folder):
+    """The quality table of a log with three runs."""
+    log, _, _ = _logged_pair(spark, folder)
+    log.log_run("orders_again", _cycle(spark, folder))
+    names = log.read().select("run_id", "run_name").distinct()
+    return log.summary("data_quality").join(names, "run_id").select(
+        "run_name", "missingness_raw", "missingness_cleaned", "row_count_raw", "row_count_cleaned", "schema_drift_detected")
+
+
 @query(
     with_dirty(
         " UNION ALL ".join(

@@ -6,7 +6,7 @@ path, value, text``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,13 @@ QUALITY_METRICS = {
     "schema_raw_issue_count": "evaluation.schema_drift.raw_issue_count",
     "schema_cleaned_issue_count": "evaluation.schema_drift.cleaned_issue_count",
 }
+#: Besides the figures that two runs are compared by, for the table of all runs.
+SHAPE_METRICS = {
+    "row_count_raw": "evaluation.row_count.raw",
+    "row_count_cleaned": "evaluation.row_count.cleaned",
+    "skew_columns_reduced": "summary.skew_columns_reduced",
+    "schema_drift_detected": "raw_profile.schema_drift.drift_detected",
+}
 CLASSIFICATION_METRICS = {
     f"{m}_{side}": f"ml_metrics.{place}.{m}"
     for m in ("accuracy", "f1", "auc")
@@ -60,10 +67,17 @@ DETECTION_METRICS = {
     "label_noise_accuracy": "metadata.detection_accuracy.label_noise.accuracy",
     "mean_accuracy": "metadata.detection_accuracy.mean_accuracy",
 }
+def _stability(metrics: Sequence[str]) -> dict[str, str]:
+    return {
+        f"{m}_{part}_{side}": f"ml_metrics.{side}_metrics.fold_stability.summary.{m}.{part}"
+        for m in metrics for part in ("mean", "stddev") for side in ("raw", "cleaned")
+    }
+
+
 SUMMARY_TABLES = {
-    "data_quality": QUALITY_METRICS,
-    "classification": CLASSIFICATION_METRICS,
-    "regression": REGRESSION_METRICS,
+    "data_quality": QUALITY_METRICS | SHAPE_METRICS,
+    "classification": CLASSIFICATION_METRICS | _stability(("accuracy", "f1", "auc")),
+    "regression": REGRESSION_METRICS | _stability(("rmse", "mae", "r2")),
     "detection": DETECTION_METRICS,
     "effort": EFFORT_METRICS,
 }
@@ -105,10 +119,27 @@ def compare_runs(
     )
 
 
-def same_outcome(comparison: DataFrame, metrics: Sequence[str]) -> Column:
+#: The question of each verdict, and the metrics that answer it.
+OUTCOMES = {"quality": QUALITY_METRICS, "classification": CLASSIFICATION_METRICS, "regression": REGRESSION_METRICS}
+
+
+def same_outcome(metrics: Iterable[str]) -> Column:
+    """Over the rows of a comparison: whether all of these metrics agree; null if none was logged."""
     return F.bool_and(F.when(F.col("metric").isin(*metrics), F.col("same")))
 
 
+def outcome_verdicts(comparison: DataFrame) -> DataFrame:
+    """outcome, same, metrics: whether two runs came to the same result, by kind of result."""
+    counted = comparison.agg(
+        *[same_outcome(m).alias(f"same_{o}") for o, m in OUTCOMES.items()],
+        *[F.count_if(F.col("metric").isin(*m)).alias(f"n_{o}") for o, m in OUTCOMES.items()],
+    )
+    verdicts = [
+        F.struct(F.lit(o).alias("outcome"), F.col(f"same_{o}").alias("same"), F.col(f"n_{o}").alias("metrics")) for o in OUTCOMES
+    ]
+    return counted.select(F.inline(F.array(*verdicts)))
+
+
 def pivot_runs(
     metrics: DataFrame, names: Sequence[str], run: str = "run_id", metric: str = "metric", value: str = "value"
 ) -> DataFrame:

@@ -79,6 +79,8 @@ class ExperimentLogger:
             "evaluation": result.evaluation,
             "opex_metrics": result.opex_metrics,
         }
+        skews = result.evaluation.get("skew", {}).get("by_column", {}).values()
+        artifacts["summary"] = {"skew_columns_reduced": sum((e["reduction"] or 0) > 0 for e in skews)}
         optional = {"ml_metrics": ml_metrics, "report": report}
         artifacts |= {name: a for name, a in optional.items() if a is not None}
         return self.append(run_name, artifacts, result.cleaned_df.sparkSession)
@@ -131,6 +133,10 @@ class ExperimentLogger:
         log = self.read(spark).filter(F.col("run_id").isin(first, second))
         return runs.compare_runs(runs.named_metrics(log, wanted), first, second)
 
+    def verdicts(self, first: str, second: str, spark: SparkSession | None = None) -> DataFrame:
+        """Whether two runs came to the same quality and the same models."""
+        return runs.outcome_verdicts(self.compare(first, second, spark))
+
     def summary(self, table: str, spark: SparkSession | None = None) -> DataFrame:
         return runs.summary(self.read(spark), table)
 

@@ -32,11 +32,11 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import kept, lower_words, new_path, stored, texts
+from tablewright.llm.shared import kept, lower_words, new_path, texts
 
 #: No word holds white space, so these marks are no words.
 _BEGIN, _END = b"\t", b"\n"
-_GROUP, _MOST_WORDS = 1_000_000, 400_000
+_GROUP, _MOST_WORDS = 600_000, 250_000
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -167,6 +167,7 @@ def _discounts(counts: list[int]) -> np.ndarray:
 class Model:
     folder: str
     bits: int
+    token_bits: int
     tokens: int
     distinct: int
     pair_discounts: tuple[float, ...]
@@ -177,17 +178,18 @@ class Model:
 
 _PAIR_FILE = ("u8", "u4", "u8", "i8", "u4", "u4", "u4")
 _TOKEN_FILE = ("u8", "u4", "i8")
+#: Distinct tokens, tokens, distinct pairs; tokens with 1, 2, 3, 4, over 2 contexts; pairs seen 1, 2, 3, 4 times.
+_SUMS = list("vntabcdefghi")
 
 
-def train(docs: DataFrame, text_column: str = "text", bits: int | None = None) -> Model:
-    """Count the texts (null as empty) and store the model. ``bits`` sets the number of buckets, not the result.
+def train(docs: DataFrame, text_column: str = "text", bits: int = 9, token_bits: int = 6) -> Model:
+    """Count the texts (null as empty) and store the model.
 
-    By default there are four buckets to a shuffle partition, so that what one
-    task holds follows the session's setting.
+    There are 2^``bits`` buckets of pairs and 2^``token_bits`` of tokens. They set
+    how much a task holds, about 40 bytes for each different pair of a bucket, not
+    the result: raise them with the corpus.
     """
     spark = docs.sparkSession
-    if bits is None:
-        bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     folder = _uri(new_path(spark, "kneser-ney"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,39 +209,29 @@ def train(docs: DataFrame, text_column: str = "text", bits: int | None = None) -
             contexts, _, (total, *kinds) = _summed(first, n, *steps)
             _write(folder, f"pairs-{bucket}", _PAIR_FILE, keys, np.minimum(n, 2**32 - 1), contexts, total, *kinds)
             tokens, _, (contexts_of, times) = _summed(second, np.ones(len(n), "u4"), n)
-            found = _bucket_rows(bits, tokens, tokens, contexts_of.astype("u4"), times)
+            found = _bucket_rows(token_bits, tokens, tokens, contexts_of.astype("u4"), times)
             sums = np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()
-            stats = pa.array([sums] + [None] * (found.num_rows - 1), pa.binary())
-            yield pa.RecordBatch.from_arrays([*found.columns, stats], ["bucket", "a", "b", "c", "stats"])
+            once = pa.array([sums] + [b""] * (found.num_rows - 1), pa.binary())
+            yield pa.RecordBatch.from_arrays([*found.columns, once], ["bucket", "a", "b", "c", "d"])
 
     def add_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (tokens, contexts_of, times) in _of_buckets(batches, ("u8", "u4", "i8")):
+        for bucket, (tokens, contexts_of, times, pairs_of) in _of_buckets(batches, ("u8", "u4", "i8", "i8")):
             tokens, _, (contexts_of, times) = _summed(tokens, contexts_of.astype(np.int64), times)
             _write(folder, f"tokens-{bucket}", _TOKEN_FILE, tokens, contexts_of, times)
-            sums = [len(tokens), int(times.sum()), int(contexts_of.sum()), *(int((contexts_of == k).sum()) for k in (1, 2, 3, 4))]
-            sums.append(int((contexts_of > 2).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()) for s in sums], list("vntabcde"))
+            sums = [len(tokens), times.sum(), contexts_of.sum(), *((contexts_of == k).sum() for k in (1, 2, 3, 4)), (contexts_of > 2).sum()]
+            sums += list(pairs_of.reshape(-1, 4).sum(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int64()) for s in sums], _SUMS)
 
     pairs = docs.select(text_column).mapInArrow(count, "bucket int, a binary, b binary, c binary")
     pairs = pairs.repartition("bucket").sortWithinPartitions("bucket")
-    # a file must be written again if its task is, so this is stored, never recomputed for a part of its rows
-    passed = stored(pairs.mapInArrow(add_pairs, "bucket int, a binary, b binary, c binary, stats binary"), "kneser-ney-tokens")
-    tokens = passed.drop("stats").repartition("bucket").sortWithinPartitions("bucket")
-    sums = stored(tokens.mapInArrow(add_tokens, ", ".join(f"{c} long" for c in "vntabcde")), "kneser-ney-sums")
-    v, n, t, m1, m2, m3, m4, m3_up = (x or 0 for x in sums.agg(*(F.sum(c) for c in "vntabcde")).first())
-
-    def add_stats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(4, np.int64)
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                total += np.frombuffer(value, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()) for s in total.tolist()], list("abcd"))
-
-    counted = passed.filter("stats is not null").select("stats").mapInArrow(add_stats, "a long, b long, c long, d long")
-    counts = [x or 0 for x in counted.agg(*(F.sum(c) for c in "abcd")).first()]
+    tokens = pairs.mapInArrow(add_pairs, "bucket int, a binary, b binary, c binary, d binary")
+    tokens = tokens.repartition("bucket").sortWithinPartitions("bucket")
+    sums = tokens.mapInArrow(add_tokens, ", ".join(f"{c} long" for c in _SUMS))
+    # the one job that counts; a task that is lost writes its files again, to the same content
+    v, n, t, m1, m2, m3, m4, m3_up, *counts = (x or 0 for x in sums.agg(*(F.sum(c) for c in _SUMS)).first())
     lower = _discounts([m1, m2, m3, m4])
     share = (lower[1] * m1 + lower[2] * m2 + lower[3] * m3_up) / t if t else 1.0
-    return Model(folder, bits, n, v, tuple(_discounts(counts)), tuple(lower), t, share / (v + 1))
+    return Model(folder, bits, token_bits, n, v, tuple(_discounts(counts)), tuple(lower), t, share / (v + 1))
 
 
 def _uri(path: str) -> str:
@@ -277,7 +269,7 @@ def _scores(model: Model, folder: str, first: np.ndarray, second: np.ndarray) ->
     words, of_first = np.unique(first, return_inverse=True)
     total, one, two, more = (x.astype(float)[of_first] for x in _look_up(folder, "pairs", _PAIR_FILE, bits, words, (3, 4, 5, 6), 2))
     words, of_second = np.unique(second, return_inverse=True)
-    contexts_of, times = _look_up(folder, "tokens", _TOKEN_FILE, bits, words, (1, 2))
+    contexts_of, times = _look_up(folder, "tokens", _TOKEN_FILE, model.token_bits, words, (1, 2))
     pair, token = np.array(model.pair_discounts), np.array(model.token_discounts)
     seen = contexts_of.astype(float)
     lower = (np.maximum(seen - token[np.minimum(contexts_of, 3)], 0) / max(1, model.pair_kinds) + model.unseen)[of_second]

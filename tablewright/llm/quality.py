@@ -4,13 +4,14 @@ Rules look at one document each and vote keep, vote reject or abstain. What they
 are worth is not set by hand: expectation-maximisation estimates how often each
 rule casts each vote on good and on bad documents, and every document gets the
 posterior probability of being good. Rules see the whole text and all documents
-count; only the table of vote patterns, at most 2^10 rows, reaches the driver.
+count; only the table of vote patterns, at most 2^11 rows, reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ RULES = (
     ("dup_line_share", REJECT, 0.30, float("inf")),
     ("words_per_stop", REJECT, 100.0, float("inf")),
     ("word_length", REJECT, 14.0, float("inf")),
+    ("stutter_share", REJECT, 0.20, float("inf")),
     ("plain_word_share", KEEP, 0.60, float("inf")),
     ("short_word_share", KEEP, 0.12, float("inf")),
 )
@@ -79,7 +81,8 @@ def measure(text: str) -> tuple[list[int], list[float | None]]:
     upper = len(data) - len(data.translate(None, _UPPER))
     lower = len(data) - len(data.translate(None, _LOWER))
     long_enough = n >= 20
-    plain = [w for w in text.split() if w.isalpha()]
+    spoken = text.split()
+    plain = [w for w, before in zip(spoken, ["", *spoken]) if w.isalpha() and w != before]
     short = sum(len(w) < 4 and w.islower() for w in plain)
     values = [
         symbols / n,
@@ -90,6 +93,7 @@ def measure(text: str) -> tuple[list[int], list[float | None]]:
         copies / len(lines) if len(lines) > 3 else None,
         n / max(1, sum(map(text.count, ".!?。！？"))) if long_enough else None,
         chars / n if long_enough else None,
+        sum(map(eq, words, words[1:])) / n,
         len(plain) / n if long_enough else None,
         short / n if long_enough else None,
     ]
@@ -158,7 +162,7 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     table = spark.createDataFrame([Row(votes=k, quality=v) for k, v in posteriors(patterns).items()], "votes long, quality double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
-        found.join(F.broadcast(table), "votes")  # 2^10 rows at most
+        found.join(F.broadcast(table), "votes")  # 2^11 rows at most
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
     )

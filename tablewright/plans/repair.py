@@ -103,7 +103,8 @@ class RepairEngine:
         cleaned, done = _repair_duplicates(cleaned, policy, profile_report, key_columns, plan)
         actions = actions + done
         cleaned, done = _repair_layout(
-            cleaned, policy, profile_report.get("skew", {}), facts.plan.frame(df)
+            cleaned, policy, profile_report.get("skew", {}), facts.plan.frame(df),
+            None if plan.filters else profile_report.get("row_count"),
         )
         return RepairResult(cleaned, actions + done)
 
@@ -399,10 +400,11 @@ def _rows_stay_distinct(report: Mapping[str, Any], policy: RepairPolicy, plan: _
 
 
 def _repair_layout(
-    df: DataFrame, policy: RepairPolicy, report: Mapping[str, Any], before: DataFrame
+    df: DataFrame, policy: RepairPolicy, report: Mapping[str, Any], before: DataFrame, rows: int | None
 ) -> tuple[DataFrame, list[Action]]:
     """Spread the worst key. Its hot values are read off ``before``, the table
-    as it was ahead of deduplication, where only the key column is scanned."""
+    as it was ahead of deduplication, where only the key column is scanned.
+    ``rows`` is its row count, where the profile has told it."""
     if policy.skew_strategy == "none":
         return df, []
     candidates = [
@@ -418,7 +420,7 @@ def _repair_layout(
     partitions = policy.skew_target_partitions
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = layout.hot_values(before.select(col(name)), name, partitions)
+    hot = layout.hot_values(before.select(col(name)), name, partitions, rows)
     return layout.spread_values(df, name, partitions, hot), [
         {
             "issue": "skew",

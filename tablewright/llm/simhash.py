@@ -12,10 +12,16 @@ of the 35 buckets "these three blocks have these values". A bucket fixes 27 or
   cut into eight, of which a close pair shares four, and its rows go to 70
   narrower buckets each. These leave at most 20 bits open, so none can have
   more than 2^20 fingerprints (8 MB).
+
+Texts that share four fifths of their shingles differ in about ten bits, and a
+pigeonhole for so many leaves buckets of a few bits. ``drop_near_duplicates``
+therefore takes candidates from bands of shingle minima and compares their
+shingle sets in full; fingerprints have no part in it.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -31,19 +37,31 @@ from tablewright.llm.shared import lower_words, row_keys, stored, texts
 DISTANCE = 4
 SEED = 42
 _SMALL = 8
+#: Bands of minima: a pair with Jaccard 0.8 shares none with a chance of (1 - 0.8^5)^24, 1 in 13,800.
+_BANDS, _MINIMA = 24, 5
+_DRAW = np.random.Generator(np.random.PCG64(SEED))
+_TIMES, _PLUS = (_DRAW.integers(0, 1 << 64, _BANDS * _MINIMA, np.uint64) for _ in range(2))
+_TIMES |= np.uint64(1)
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """SimHash of the text's word shingles, repeats included, as unsigned 64 bits."""
+def _shingles(text: str, width: int) -> np.ndarray:
+    """Hashes of the text's word shingles in order, repeats included; a shorter text is one shingle, an empty one none."""
     words = lower_words(text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[: max(0, len(words) - width)].tolist()]
     stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
+
+
+def fingerprint(text: str, width: int = 4) -> int:
+    """SimHash of the text's word shingles, repeats included, as unsigned 64 bits."""
+    hashes = _shingles(text, width)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65_536):
         part = hashes[k : k + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -244,17 +262,135 @@ def hex_digits(mark: Column) -> Column:
     return F.lpad(F.lower(F.hex(mark)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _bands(shingles: np.ndarray) -> list[int]:
+    """A hash of the minima of each band under its own permutations; none for no shingles."""
+    if not len(shingles):
+        return []
+    parts = [((shingles[k : k + 4096, None] ^ _PLUS) * _TIMES).min(axis=0) for k in range(0, len(shingles), 4096)]
+    minima = np.min(parts, axis=0).reshape(_BANDS, _MINIMA)
+    return [_signed(xxhash.xxh64_intdigest(m.tobytes(), k)) for k, m in enumerate(minima)]
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _set_rows(width: int, whole: bool):
+    """Reads rows whose last column is a text; adds its set's hash, and the bands or the set itself in its place."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, keys, found = batch.columns[:-1], [], []
+            for text in texts(batch, len(own)):
+                shingles = np.unique(_shingles(text, width))
+                data = shingles.tobytes()
+                keys.append(_signed(xxhash.xxh64_intdigest(data)))
+                found.append(data if whole else _bands(shingles))
+            added = [pa.array(keys, pa.int64()), pa.array(found, pa.binary() if whole else pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*own, *added], [*batch.schema.names[:-1], "shingle_set", "shingles" if whole else "bands"])
+
+    return run
+
+
+def _alike(sets: list[np.ndarray], sizes: np.ndarray, at: int, rest: np.ndarray, least: float) -> np.ndarray:
+    """Which sets of ``rest`` have a Jaccard index of at least ``least`` with the set ``at``."""
+    own, near = sets[at], np.zeros(len(rest), bool)
+    possible = np.flatnonzero(np.minimum(sizes[rest], len(own)) / np.maximum(sizes[rest], len(own)) >= least)
+    for k in range(0, len(possible), 1024):
+        part = possible[k : k + 1024]
+        n = sizes[rest[part]]
+        values = np.concatenate([sets[i] for i in rest[part]])
+        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        common = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+        near[part] = common / (n + len(own) - common) >= least
+    return near
+
+
+def _set_links(keys: list[int], sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Links that join the sets of a bucket as all alike pairs would."""
+    sizes, rest = np.array([len(s) for s in sets]), np.arange(len(sets))
+    while len(rest):
+        reached, rest = [rest[0]], rest[1:]
+        while reached and len(rest):
+            at = reached.pop()
+            near = _alike(sets, sizes, at, rest, least)
+            found, rest = rest[near], rest[~near]
+            yield from ((keys[at], keys[i]) for i in found)
+            reached.extend(found)
+
+
+def _set_matcher(least: float, held_bytes: int):
+    """Reads rows sorted by bucket; gives links. What a bucket holds beyond ``held_bytes`` lies in a temporary file."""
+
+    def buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        at, keys, parts, sizes, held, file = None, [], [], [], 0, None
+
+        def of_bucket() -> tuple[list[int], list[np.ndarray]]:
+            if file is None:
+                return keys, [np.frombuffer(p, np.uint64) for p in parts]
+            for p in parts:
+                file.write(p)
+            file.flush()
+            data, stops = np.memmap(file, np.uint64, "r"), np.cumsum(sizes) // 8
+            return keys, [data[b - n // 8 : b] for n, b in zip(sizes, stops.tolist())]
+
+        for batch in batches:
+            for bucket, key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if bucket != at:
+                    if len(keys) > 1:
+                        yield of_bucket()
+                    at, keys, parts, sizes, held, file = bucket, [], [], [], 0, None
+                part = data.as_py()
+                keys.append(key)
+                parts.append(part)
+                sizes.append(len(part))
+                held += len(part)
+                if held > held_bytes:
+                    file = file or tempfile.TemporaryFile()
+                    for p in parts:
+                        file.write(p)
+                    parts, held = [], 0
+        if len(keys) > 1:
+            yield of_bucket()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sets in buckets(batches):
+            found = list(_set_links(keys, sets, least))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, least: float = 0.8, held_bytes: int = 1 << 26
+) -> DataFrame:
     """One row of each component stays: that of the smallest id, of its texts the first by hash.
 
-    Rows without an id take part; one stays only where its component has no id.
-    Of rows with equal id and text any one stays. Columns are those of ``docs``.
+    Texts whose sets of ``width``-word shingles have a Jaccard index of at least
+    ``least`` are linked. Pairs are compared in full where they share a band of
+    minima; bands are laid out for 0.8, and a lower ``least`` would miss more.
+    Texts without words are alike. Rows without an id take part; one stays only
+    where its component has no id. Of rows with equal id and text any one stays.
+    ``held_bytes`` only decides where a bucket lies. Columns are those of ``docs``.
     """
-    found = near_duplicates(docs, id_column, text_column)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    kept = found.groupBy("root").agg(first).select(
-        F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("_id"), F.col("first.no_id").alias("_no_id"),
-        F.col("first.text_hash").alias("_text"))
     keys = row_keys(id_column, text_column)
+    rows = docs.select(*(c.alias(k) for k, c in keys.items()), F.col(text_column))
+    rows = rows.mapInArrow(_set_rows(width, False), "_id long, _no_id boolean, _text long, shingle_set long, bands array<long>")
+    first = F.min(F.struct("_no_id", "_id", "_text", "bands")).alias("first")
+    sets = stored(rows.groupBy("shingle_set").agg(first).select("shingle_set", "first.*"), "shingle-sets")
+    members = sets.select("shingle_set", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_list("shingle_set").alias("sets"))
+    members = members.filter(F.size("sets") > 1).select(F.sort_array("sets").alias("sets"))
+    members = members.select(F.xxhash64("sets").alias("bucket"), "sets").dropDuplicates(["bucket"])
+    members = stored(members.select("bucket", F.explode("sets").alias("shingle_set")), "shingle-buckets")
+    wanted = sets.join(members.select("shingle_set").distinct(), "shingle_set", "left_semi").select(*keys)
+    whole = docs.select(*(c.alias(k) for k, c in keys.items()), F.col(text_column).alias("_value")).join(wanted, list(keys), "left_semi")
+    whole = whole.select("_value").mapInArrow(_set_rows(width, True), "shingle_set long, shingles binary").dropDuplicates(["shingle_set"])
+    placed = members.join(whole, "shingle_set").select("bucket", "shingle_set", "shingles")
+    placed = placed.repartition("bucket").sortWithinPartitions("bucket")
+    edges = stored(placed.mapInArrow(_set_matcher(least, held_bytes), "a long, b long"), "shingle-links")
+    roots = components(edges).select(F.col("node").alias("shingle_set"), "root")
+    root = F.coalesce("root", "shingle_set").alias("root")
+    first = F.min(F.struct("_no_id", "_id", "_text")).alias("first")
+    kept = sets.join(roots, "shingle_set", "left").groupBy(root).agg(first).select("first.*")
     staying = docs.withColumns(keys).join(kept.hint("shuffle_hash"), list(keys), "left_semi")
     return staying.dropDuplicates(list(keys)).select(*docs.columns)

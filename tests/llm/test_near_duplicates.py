@@ -102,3 +102,22 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == documents(spark).columns
     ids = sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in kept.collect())
     assert ids == sorted([("1", "The q"), ("2", ""), ("4", "lorem"), ("6", "Mail "), ("1", "Anoth"), ("5", "  \n\t ")])
+
+
+def copies_with(shared: float, n: int, base: int) -> tuple[str, str]:
+    """Two texts of n five-word shingles each; as many of their last words differ as leave that Jaccard index or a little more."""
+    changed = int(n * (1 - shared) / (1 + shared))
+    words = [f"w{base}x{i}" for i in range(n + 4)]
+    return " ".join(words), " ".join(words[: n + 4 - changed] + [f"other{base}x{i}" for i in range(changed)])
+
+
+def test_copies_that_share_four_fifths_of_their_shingles_go(spark):
+    shares = (0.8, 0.82, 0.85, 0.9, 0.95)
+    pairs = [copies_with(s, n, 1000 * b + n) for b, s in enumerate(shares * 8) for n in (60, 500)]
+    below = [copies_with(0.78, 500, 90_000 + b) for b in range(8)]
+    rows = [(i, t) for i, pair in enumerate([*pairs, *below]) for t in pair]
+    rows = [(2 * i + k, t) for k in (0, 1) for i, t in rows[k::2]]
+    for limit in (1 << 26, 1000):
+        kept = simhash.drop_near_duplicates(documents(spark, rows), held_bytes=limit)
+        firsts, seconds = {2 * i for i in range(len(pairs) + 8)}, {2 * i + 1 for i in range(len(pairs), len(pairs) + 8)}
+        assert {r["doc_id"] for r in kept.collect()} == firsts | seconds

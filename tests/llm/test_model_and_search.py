@@ -159,6 +159,13 @@ def test_markup_decides():
     assert texts == ["Head & shoulders", "One", "two bold text", "three four", "five", "six <7"]
 
 
+@pytest.mark.parametrize("icon", ["<svg class='i'/>", '<svg viewBox="0 0 1 1" />', "<math/>", "<svg><path d='M0 0'/>"])
+def test_icons_take_no_text_after_them(icon):
+    closed = "<svg><title>Icon</title></svg>" if icon.endswith("/>") and "path" not in icon else ""
+    page = f"<p>Before</p>{icon}<article><p>One {icon} two</p>{closed}<p>three</p></article>"
+    assert html_text._chosen(html_text.blocks(page), set()) == ["One two", "three"]
+
+
 def test_pages_query_keeps_whole_articles(spark):
     import html
 

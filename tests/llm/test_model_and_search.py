@@ -195,6 +195,22 @@ def test_repeated_runs_of_a_host_go(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def main_texts(spark, pages: list[str]) -> list[str]:
+    rows = [(i, f"http://h.org/{i}", page) for i, page in enumerate(pages)]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    return [r["text"] for r in found.orderBy("page_id").collect()]
+
+
+def words_of(name: str, n: int) -> str:
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_long_repeated_block_goes_up_to_its_own_tail(spark):
+    notice = words_of("law", 200)
+    pages = [f"<p>{words_of(k, 30)}</p><p>{notice} {k}tail</p>" for k in "abc"]
+    assert main_texts(spark, pages) == [f"{words_of(k, 30)}\n{k}tail" for k in "abc"]
+
+
 # -- URL lists -----------------------------------------------------------------
 
 

@@ -211,6 +211,14 @@ def test_long_repeated_block_goes_up_to_its_own_tail(spark):
     assert main_texts(spark, pages) == [f"{words_of(k, 30)}\n{k}tail" for k in "abc"]
 
 
+def test_page_that_repeats_its_boilerplate_loses_every_copy(spark):
+    notice = words_of("law", 20)
+    # sorted by what follows, the copies of the first page are next to each other and only one is next to the second page
+    first = f"<p>{notice}</p><p>aa {words_of('x', 20)}</p><p>{notice}</p><p>ab {words_of('y', 20)}</p><p>{notice}</p><p>ac {words_of('u', 20)}</p>"
+    texts = main_texts(spark, [first, f"<p>{notice}</p><p>zz {words_of('z', 20)}</p>"])
+    assert texts == ["\n".join(f"{a} {words_of(k, 20)}" for a, k in (("aa", "x"), ("ab", "y"), ("ac", "u"))), f"zz {words_of('z', 20)}"]
+
+
 # -- URL lists -----------------------------------------------------------------
 
 

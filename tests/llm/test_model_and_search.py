@@ -219,6 +219,16 @@ def test_page_that_repeats_its_boilerplate_loses_every_copy(spark):
     assert texts == ["\n".join(f"{a} {words_of(k, 20)}" for a, k in (("aa", "x"), ("ab", "y"), ("ac", "u"))), f"zz {words_of('z', 20)}"]
 
 
+def test_repeats_go_from_main_elements_and_stay_in_articles(spark):
+    notice = words_of("law", 20)
+    wrap = ["<main><p>{}</p><p>{}</p></main>", "<div role='main'><p>{}</p><p>{}</p></div>", "<p>{}</p><p>{}</p>", "<article><p>{}</p><p>{}</p></article>"]
+    texts = main_texts(spark, [w.format(words_of(k, 20), notice) for w, k in zip(wrap, "abcd")])
+    assert texts == [words_of("a", 20), words_of("b", 20), words_of("c", 20), f"{words_of('d', 20)}\n{notice}"]
+    # an article is evidence for the only page of its host without one
+    texts = main_texts(spark, [wrap[k].format(words_of(n, 20), notice) for k, n in ((0, "a"), (3, "d"))])
+    assert texts == [words_of("a", 20), f"{words_of('d', 20)}\n{notice}"]
+
+
 # -- URL lists -----------------------------------------------------------------
 
 

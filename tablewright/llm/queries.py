@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, html_text, kneser_ney, packing, pii, quality, secrets, simhash, top_k, url_lists
+from tablewright.llm import bpe, html_text, kneser_ney, merkle, packing, pii, quality, secrets, simhash, top_k, url_lists
 from tablewright.llm.shared import table
 
 
@@ -105,6 +105,14 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    bent = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    # a decimal, as the largest long has no successor
+    n_chars = F.col("n_chars").cast("decimal(38,0)") + F.when(bent, 1).otherwise(0)
+    return merkle.verified(merkle.manifest(docs, claimed={"n_chars": n_chars}))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -116,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_html": op9_html,
     "op10_secrets": op10_secrets,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -166,4 +175,40 @@ ORACLES: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
         )
         SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
+    "op13_merkle": """
+        WITH RECURSIVE field AS (
+          SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '-') AS g,
+            coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+              || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+            coalesce(strlen(text) || ':' || text, '-') AS tail, n_chars::HUGEINT AS told,
+            list_reduce(string_split(doc_id::VARCHAR, ''), lambda crc, c: list_reduce(range(8),
+              lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(crc, ascii(c)::BIGINT)), 4294967295) AS crc
+          FROM documents
+        ), leaves AS (
+          SELECT r, doc_id, g, sha256(head || coalesce(strlen(told::VARCHAR) || ':' || told, '-') || tail) AS leaf,
+            sha256(head || coalesce(strlen(bent::VARCHAR) || ':' || bent, '-') || tail) AS claimed
+          FROM (SELECT *, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN told + 1 ELSE told END AS bent FROM field)
+        ), placed AS (
+          SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves
+        ), tree(g, level, i, h, n) AS (
+          SELECT g, 0, i, leaf, n FROM placed
+          UNION ALL SELECT g, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, level, i // 2, n
+        ), subroots AS (
+          SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1
+        ), tops(level, i, h, n) AS (
+          SELECT 0, i, subroot, n FROM subroots
+          UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, i // 2, n
+        ), walk(r, g, level, i, n, h, proof) AS (
+          SELECT r, g, 0, i, n, claimed, '' FROM placed
+          UNION ALL SELECT w.r, w.g, w.level + 1, w.i // 2, (w.n + 1) // 2,
+            sha256(CASE WHEN w.i % 2 = 0 THEN w.h || coalesce(t.h, '') ELSE t.h || w.h END), w.proof || coalesce(t.h, '')
+          FROM walk w LEFT JOIN tree t ON t.g = w.g AND t.level = w.level AND t.i = xor(w.i, 1) WHERE w.n > 1
+        ), climb(r, level, i, n, h, proof) AS (
+          SELECT w.r, 0, s.i, s.n, w.h, w.proof FROM walk w JOIN subroots s ON s.g = w.g WHERE w.n = 1
+          UNION ALL SELECT w.r, w.level + 1, w.i // 2, (w.n + 1) // 2,
+            sha256(CASE WHEN w.i % 2 = 0 THEN w.h || coalesce(t.h, '') ELSE t.h || w.h END), w.proof || coalesce(t.h, '')
+          FROM climb w LEFT JOIN tops t ON t.level = w.level AND t.i = xor(w.i, 1) WHERE w.n > 1
+        )
+        SELECT l.doc_id, l.leaf, s.subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = t.h AS verified
+        FROM leaves l JOIN subroots s ON s.g = l.g JOIN climb c ON c.r = l.r AND c.n = 1 JOIN tops t ON t.n = 1""",
 }

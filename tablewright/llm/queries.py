@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, html_text, kneser_ney, merkle, packing, pii, quality, secrets, simhash, top_k, url_lists
-from tablewright.llm.shared import table
+from tablewright.llm import bpe, html_text, kneser_ney, merkle, middle, packing, pii, quality, secrets, simhash, top_k, url_lists
+from tablewright.llm.shared import stored, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -105,6 +105,11 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    frames = stored(middle.store(table(spark, folder, "documents")), "frames")
+    return middle.digests(middle.transform(frames))
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     bent = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_html": op9_html,
     "op10_secrets": op10_secrets,
+    "op12_fill_in_middle": op12_fill_in_middle,
     "op13_merkle": op13_merkle,
 }
 
@@ -175,6 +181,25 @@ ORACLES: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
         )
         SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
+    "op12_fill_in_middle": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+            regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+          FROM documents
+        ), c AS (
+          SELECT doc_id, t, units, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+          FROM d
+        ), p AS (
+          SELECT *, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+            array_to_string(units[greatest(a, b) + 1:], '') AS suffix FROM c
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+          CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM p""",
     "op13_merkle": """
         WITH RECURSIVE field AS (
           SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '-') AS g,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, html_text, kneser_ney, merkle, middle, packing, pii, quality, secrets, simhash, top_k, url_lists
+from tablewright.llm import best_fit, bpe, html_text, kneser_ney, merkle, middle, packing, pii, quality, secrets, simhash, top_k, url_lists
 from tablewright.llm.shared import stored, table
 
 
@@ -105,6 +105,10 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+def op11_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit.pack(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     frames = stored(middle.store(table(spark, folder, "documents")), "frames")
     return middle.digests(middle.transform(frames))
@@ -129,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_html": op9_html,
     "op10_secrets": op10_secrets,
+    "op11_best_fit": op11_best_fit,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_merkle": op13_merkle,
 }

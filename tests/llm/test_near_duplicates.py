@@ -1,8 +1,10 @@
 """SimHash against brute force over all pairs."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from oddities import TEXTS, documents, nothing
 from pyspark.sql import functions as F
@@ -42,6 +44,47 @@ def plain_components(rows: list[tuple[int | None, int]]) -> list[int | None]:
     return [smallest.get(root(i)) for i in range(len(rows))]
 
 
+def plain_sets(texts: list[str | None], width: int = 5) -> list[frozenset[str]]:
+    """The word shingles of each text; a shorter text is one shingle."""
+    found = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        shingles = (b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+        found.append(frozenset(shingles) if words else frozenset())
+    return found
+
+
+def plain_alike(texts: list[str | None], least: float = 0.8) -> list[tuple[int, int]]:
+    """All pairs of places whose shingle sets have a Jaccard index of at least ``least``, counted over every shared shingle."""
+    sets = plain_sets(texts)
+    holders, common = {}, Counter()
+    for i, shingles in enumerate(sets):
+        for shingle in shingles:
+            for j in holders.setdefault(shingle, []):
+                common[j, i] += 1
+            holders[shingle].append(i)
+    empty = [i for i, shingles in enumerate(sets) if not shingles]
+    pairs = [(i, j) for (i, j), n in common.items() if n >= least * (len(sets[i]) + len(sets[j]) - n)]
+    return pairs + list(zip(empty, empty[1:]))
+
+
+def plain_survivors(rows: list[tuple[int, str | None]]) -> set[int]:
+    """The smallest id of each component of alike texts; ids differ."""
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in plain_alike([t for _, t in rows]):
+        parent[root(i)] = root(j)
+    smallest = {}
+    for i, (doc, _) in enumerate(rows):
+        smallest[root(i)] = min(doc, smallest.get(root(i), doc))
+    return set(smallest.values())
+
+
 def expected_rows(texts):
     marks = [(i, plain_fingerprint(t or "")) for i, t in texts]
     return sorted(((i, f"{m:016x}", c) for (i, m), c in zip(marks, plain_components(marks))), key=str)
@@ -121,3 +164,13 @@ def test_copies_that_share_four_fifths_of_their_shingles_go(spark):
         kept = simhash.drop_near_duplicates(documents(spark, rows), held_bytes=limit)
         firsts, seconds = {2 * i for i in range(len(pairs) + 8)}, {2 * i + 1 for i in range(len(pairs), len(pairs) + 8)}
         assert {r["doc_id"] for r in kept.collect()} == firsts | seconds
+
+
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
+def test_stage_links_all_alike_texts(spark, folder):
+    """No alike pair is lost: the rows that stay are those of a search over all pairs."""
+    docs = table(spark, folder, "documents")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()]
+    assert sorted(kept) == sorted(plain_survivors(rows))
+    assert len(kept) < len(rows)

@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 from oddities import TEXTS, documents, nothing
 from test_filters import plain_counts, plain_pii
-from test_near_duplicates import plain_components, plain_fingerprint
+from test_near_duplicates import plain_survivors
 from test_tokens import check_packing
 
 from tablewright.llm import pii, quality
@@ -34,8 +34,8 @@ def test_run_against_plain_stages(spark):
     texts = sorted(tuple(r) for r in table(spark, FOLDER, "documents").select("doc_id", "text").collect())
     assert all(verdicts[i] is False for i, t in texts if plain_counts(t)[5])
     good = [(i, t) for i, t in texts if verdicts[i]]
-    components = plain_components([(i, plain_fingerprint(t)) for i, t in good])
-    single = [(i, t) for (i, t), c in zip(good, components) if i == c]
+    survivors = plain_survivors(good)
+    single = [(i, t) for i, t in good if i in survivors]
     assert 0 < len(single) < len(good) < len(texts)
     # the bootstrap adds nothing here, so plain patterns and lone card numbers are all there is to mask
     clean = []

@@ -49,7 +49,7 @@ class WordIds:
     added token's string go there whole.
     """
 
-    def __init__(self, path: str, cache_bytes: int = 1 << 27):
+    def __init__(self, path: str, cache_bytes: int = 1 << 28):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)

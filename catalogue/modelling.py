@@ -10,7 +10,7 @@ from tablewright import (
     DataProfiler, RepairEngine, RepairPolicy, SparkMLClassificationEvaluator, SparkMLRegressionEvaluator,
 )
 from tablewright.functions.columns import snapshot
-from tablewright.operators import features, inject, labels, scores
+from tablewright.operators import categories, features, inject, labels, moments, scores
 from tablewright.plans.models import compare_conditions
 from tablewright.sources.storage import materialise
 
@@ -338,3 +338,106 @@ def restored_feature_types(spark, folder):
     return restored.agg(
         F.count(F.lit(1)).alias("rows"), *[F.count(c).alias("restored") for c in chosen.restored],
         *[F.min(c).alias("low") for c in chosen.numeric])
+
+
+_VALUES = """(SELECT 'part' AS "column", CAST(l_partkey AS VARCHAR) AS value FROM lineitem
+    UNION ALL SELECT 'flag', l_returnflag FROM lineitem)"""
+
+
+def _texts(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    return lines.select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_partkey").cast("string").alias("part"), F.col("l_returnflag").alias("flag"))
+
+
+@query(
+    f"""SELECT "column", value, n, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) - 1 AS rank
+        FROM (SELECT "column", value, count(*) AS n FROM {_VALUES} GROUP BY ALL)"""
+)
+def feature_index(spark, folder):
+    """Values of two text columns numbered by frequency, then by their bytes."""
+    return categories.category_index(_texts(spark, folder), ["part", "flag"]).table
+
+
+@query(
+    f"""WITH i AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) - 1 AS rank
+          FROM {_VALUES} GROUP BY 1, 2), s AS (SELECT count(*) FILTER (WHERE "column" = 'part') AS parts, count(*) AS all_values FROM i)
+        SELECT l_orderkey, l_linenumber, s.all_values + 3 AS places, 1 + p.rank AS part_place, 2 + s.parts + f.rank AS flag_place,
+          l_quantity AS total_of_first
+        FROM lineitem, s, i p, i f WHERE p."column" = 'part' AND p.value = CAST(l_partkey AS VARCHAR)
+          AND f."column" = 'flag' AND f.value = l_returnflag"""
+)
+def sparse_feature_rows(spark, folder):
+    """Each row's sparse vector: one number, then a place for each value of two columns and one for unknown values."""
+    rows = _texts(spark, folder)
+    index = categories.category_index(rows, ["part", "flag"])
+    vectors = categories.sparse_vectors(rows, ["l_quantity"], index, ["l_orderkey", "l_linenumber"], features.FEATURES)
+    index.drop()
+    stored = spark.read.parquet(vectors.path)  # the vectors as they are stored, a struct
+    at = lambda part, i: F.element_at(F.col(features.FEATURES)[part], i).cast("bigint" if part == "indices" else "double")
+    return stored.select(
+        "l_orderkey", "l_linenumber", F.col(features.FEATURES).size.cast("bigint").alias("places"), at("indices", 2).alias("part_place"),
+        at("indices", 3).alias("flag_place"), at("values", 1).alias("total_of_first"))
+
+
+def _lines_in_folds(spark, folder):
+    draw = scores.with_split(table(spark, folder, "lineitem"), 7, _IDS)
+    return draw.select("l_quantity", "l_extendedprice", F.floor(F.col(scores.SPLIT_DRAW) * _FOLDS).cast("int").alias("fold"))
+
+
+_FOLD_FITS = f"""lines AS (SELECT l_extendedprice AS y, l_quantity AS x, {_FOLD} AS fold FROM lineitem), folds AS (SELECT DISTINCT fold FROM lines),
+    fits AS (SELECT f.fold, count(*) AS training_rows, regr_slope(y, x) AS b, regr_intercept(y, x) AS a
+             FROM folds f JOIN lines l ON l.fold <> f.fold GROUP BY f.fold),
+    tests AS (SELECT fold, a, b, training_rows, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, 1 - avg(e * e) / var_pop(y) AS r2
+              FROM (SELECT *, y - (a + b * x) AS e FROM lines JOIN fits USING (fold)) GROUP BY ALL)"""
+
+
+def _fold_fits(spark, folder):
+    lines = _lines_in_folds(spark, folder)
+    mask = moments.split_mask([F.col("fold") != f for f in range(_FOLDS)])
+    rows = lines.withColumn(moments.SPLITS, mask).drop("fold")
+    index = categories.category_index(rows, [])
+    try:
+        return moments.fit_splits(rows, "l_extendedprice", ["l_quantity"], index, _FOLDS)
+    finally:
+        index.drop()
+
+
+@query(
+    f"""WITH {_FOLD_FITS} SELECT fold, training_rows, round(b, 6) AS slope, round(a, 4) AS intercept, round(rmse, 4) AS rmse,
+        round(mae, 4) AS mae, round(r2, 8) AS r2 FROM tests"""
+)
+def linreg_folds(spark, folder):
+    """Five fits, each on four folds and scored on the fifth, from one scan for all products and one for all scores."""
+    fits, found, sums = _fold_fits(spark, folder)
+    rows = [
+        (f, n, round(fit.numeric["l_quantity"], 6), round(fit.raw_intercept, 4), round(m["rmse"], 4), round(m["mae"], 4), round(m["r2"], 8))
+        for f, (fit, m, n) in enumerate(zip(fits, found, sums["training"]))
+    ]
+    return spark.createDataFrame(
+        rows, "fold int, training_rows bigint, slope double, intercept double, rmse double, mae double, r2 double")
+
+
+@query(
+    f"""WITH {_FOLD_FITS}, long AS (SELECT 'rmse' AS metric, rmse AS v FROM tests UNION ALL SELECT 'mae', mae FROM tests)
+        SELECT metric, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS stddev, round(min(v), 4) AS min, round(max(v), 4) AS max
+        FROM long GROUP BY metric"""
+)
+def fold_stability_refit(spark, folder):
+    """Mean and spread of scores over folds that are each fitted anew."""
+    _, found, _ = _fold_fits(spark, folder)
+    per_fold = spark.createDataFrame([(m["rmse"], m["mae"]) for m in found], "rmse double, mae double")
+    spread = scores.stability(per_fold, ["rmse", "mae"])
+    return spread.withColumns({c: F.round(c, 4) for c in ("mean", "stddev", "min", "max")})
+
+
+@query(
+    """WITH n AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL)
+       SELECT l_returnflag, l_linestatus, round(n / sum(n) OVER (PARTITION BY l_returnflag), 6) AS share FROM n"""
+)
+def logreg_saturated(spark, folder):
+    """With one text column as only feature, a fit's probabilities are the shares of the labels in each group."""
+    lines = table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus")
+    evaluator = SparkMLClassificationEvaluator(iterations=200, tolerance=1e-12)
+    found = evaluator.class_probabilities(lines, "l_linestatus", [], ["l_returnflag"], ["l_returnflag"])
+    groups = found.groupBy("l_returnflag", "class").agg(F.avg("probability").alias("share"))
+    return groups.select("l_returnflag", F.col("class").alias("l_linestatus"), F.round("share", 6).alias("share"))

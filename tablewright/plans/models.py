@@ -9,19 +9,24 @@ from typing import Any
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import scores
-from ..sources.storage import materialise, store_for_training
-from ..operators.features import FEATURES, HASH_BUCKETS, LABEL_INDEX, feature_stages, has_more_classes, label_indexer
+from ..functions.columns import col
+from ..functions.draws import row_identity, uniform
+from ..operators import moments, scores
+from ..operators.categories import category_index, sparse_vectors
+from ..operators.features import FEATURES, HASH_BUCKETS, LABEL_INDEX, feature_stages, has_more_classes, label_classes, label_indexer
 from ..operators.labels import MAX_LABEL_CLASSES
+from ..sources.storage import StoredTable, materialise
 
 Metrics = dict[str, Any]
 _PREDICTION = "prediction"
-_MAX_ITERATIONS = 50
+_MAX_ITERATIONS, _TOLERANCE = 50, 1e-6
+_SPLITS_AT_ONCE = 60
 
 
 @dataclass
@@ -76,11 +81,14 @@ class _Comparison:
         encoding: str = "index",
         hash_buckets: int = HASH_BUCKETS,
         max_label_classes: int = MAX_LABEL_CLASSES,
+        iterations: int = _MAX_ITERATIONS,
+        tolerance: float = _TOLERANCE,
     ):
         if not 0 < train_fraction < 1:
             raise ValueError("A train_fraction lies strictly between 0 and 1.")
         if validation_folds < 1:
             raise ValueError("At least one of validation_folds is needed.")
+        self.iterations, self.tolerance = iterations, tolerance
         self.encoding = encoding
         self.hash_buckets = hash_buckets
         self.max_label_classes = max_label_classes
@@ -107,31 +115,55 @@ class _Comparison:
             raise ValueError("The table has no complete row to train on.")
         if not self.numeric_label and has_more_classes(rows, label, self.max_label_classes):
             raise ValueError(f"Label {label!r} has more than {self.max_label_classes} values (max_label_classes).")
-        stored = store_for_training(rows)
-        try:
-            return self._scores_and_stability(stored.df, label, numeric, categorical)
-        finally:
-            stored.drop()
-
-    def _scores_and_stability(self, rows, label, numeric, categorical) -> Metrics:
-        metrics = self._fit_and_score(rows, label, numeric, categorical, self.seed)
-        folds = []
+        seeds = [self.seed]
         if self.validation_folds > 1:
-            for fold in range(1, self.validation_folds + 1):
-                again = self._fit_and_score(rows, label, numeric, categorical, self.seed + fold)
-                folds.append({"fold": fold} | {n: again[n] for n in self.stability_names})
+            seeds += [self.seed + fold for fold in range(1, self.validation_folds + 1)]
+        identity = row_identity(rows, self.id_columns)
+        found = []
+        for k in range(0, len(seeds), _SPLITS_AT_ONCE):
+            training = [uniform(seed, *identity) < self.train_fraction for seed in seeds[k : k + _SPLITS_AT_ONCE]]
+            stored = materialise(rows.withColumn(moments.SPLITS, moments.split_mask(training)), "training")
+            try:
+                found += self._splits(stored.df, label, numeric, categorical, len(training))
+            finally:
+                stored.drop()
+        metrics, again = found[0], found[1:]
+        folds = [{"fold": i} | {n: m[n] for n in self.stability_names} for i, m in enumerate(again, 1)]
         metrics["fold_stability"] = summarize_folds(folds, self.stability_names) if folds else None
         return metrics
 
-    def _fit_and_score(self, rows, label, numeric, categorical, seed) -> Metrics:
-        counts = scores.split_counts(rows, self.train_fraction, seed, self.id_columns).first().asDict()
-        if counts["train_row_count"] == 0 or counts["test_row_count"] == 0:
+    def _splits(self, rows: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], splits: int) -> list[Metrics]:
+        """Scores of each split of the stored rows, which have ``moments.SPLITS``."""
+        counts = self._counts(moments.split_sums(rows, label, [], splits) if self.numeric_label else _row_counts(rows, splits))
+        vectors = self._vectors(rows, label, numeric, categorical)
+        try:
+            return [counts[f] | self._fit_and_score(vectors.df if vectors else rows, label, numeric, categorical, f) for f in range(splits)]
+        finally:
+            if vectors:
+                vectors.drop()
+
+    def _counts(self, sums: dict) -> list[Metrics]:
+        counts = [{"ml_row_count": sums["rows"], "train_row_count": n, "test_row_count": sums["rows"] - n} for n in sums["training"]]
+        if any(c["train_row_count"] == 0 or c["test_row_count"] == 0 for c in counts):
             raise ValueError("The split leaves training or test without rows; more rows or another train_fraction help.")
-        train, test = scores.split(rows, self.train_fraction, seed, self.id_columns)
-        stages = self._stages(label, feature_stages(numeric, categorical, self.encoding, self.hash_buckets))
-        predictions = materialise(Pipeline(stages=stages).fit(train).transform(test), "predictions")
+        return [c | {"encoding": self.encoding} for c in counts]
+
+    def _vectors(self, rows: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str]) -> StoredTable | None:
+        """Stored feature vectors where text is numbered; the values are those of all rows, so a value may be new to a split's fit."""
+        if self.encoding != "index":
+            return None
+        index = category_index(rows, categorical)
+        try:
+            return sparse_vectors(rows, numeric, index, [label, moments.SPLITS], FEATURES)
+        finally:
+            index.drop()
+
+    def _fit_and_score(self, rows, label, numeric, categorical, split: int) -> Metrics:
+        features = [] if self.encoding == "index" else feature_stages(numeric, categorical, self.encoding, self.hash_buckets)
+        train, test = rows.filter(moments.trains(split)), rows.filter(~moments.trains(split))
+        predictions = materialise(Pipeline(stages=self._stages(label, features)).fit(train).transform(test), "predictions")
         try:
-            return counts | {"encoding": self.encoding} | self._score(predictions.df, label)
+            return self._score(predictions.df, label)
         finally:
             predictions.drop()
 
@@ -142,6 +174,11 @@ class _Comparison:
         raise NotImplementedError
 
 
+def _row_counts(rows: DataFrame, splits: int) -> dict:
+    found = rows.agg(F.count(F.lit(1)), *[F.count_if(moments.trains(f)) for f in range(splits)]).first()
+    return {"rows": found[0], "training": list(found[1:])}
+
+
 def metric_deltas(raw: Metrics, cleaned: Metrics, names: Iterable[str]) -> Metrics:
     """Cleaned minus raw per metric, None where either side has none."""
     deltas = {}
@@ -172,12 +209,31 @@ class SparkMLClassificationEvaluator(_Comparison):
             featuresCol=FEATURES,
             labelCol=LABEL_INDEX,
             predictionCol=_PREDICTION,
-            maxIter=_MAX_ITERATIONS,
+            maxIter=self.iterations,
+            tol=self.tolerance,
             regParam=0.0,
             elasticNetParam=0.0,
         )
         return [label_indexer(label), *features, model]
 
+    def class_probabilities(
+        self, df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], carried: Sequence[str] = ()
+    ) -> DataFrame:
+        """The carried columns, class and its probability, for each complete row and each class of a fit on all of them.
+
+        The result reads a stored table of vectors in the shared folder.
+        """
+        rows = scores.modelling_rows(df, numeric, categorical, label, False, carried)
+        index = category_index(rows, categorical)
+        try:
+            vectors = sparse_vectors(rows, numeric, index, list(dict.fromkeys([label, *carried])), FEATURES)
+        finally:
+            index.drop()
+        model = Pipeline(stages=self._stages(label, [])).fit(vectors.df)
+        chances = vector_to_array(F.col("probability"))
+        each = [F.struct(F.lit(c).alias("class"), chances[i].alias("probability")) for i, c in enumerate(label_classes(model))]
+        return model.transform(vectors.df).select(*map(col, carried), F.inline(F.array(*each)))
+
     def _score(self, predictions: DataFrame, label: str) -> Metrics:
         row = scores.classification_scores(predictions, LABEL_INDEX, _PREDICTION).first()
         names = ("accuracy", "f1", "weighted_precision", "weighted_recall")
@@ -212,12 +268,27 @@ class SparkMLRegressionEvaluator(_Comparison):
             featuresCol=FEATURES,
             labelCol=label,
             predictionCol=_PREDICTION,
-            maxIter=_MAX_ITERATIONS,
+            maxIter=self.iterations,
+            tol=self.tolerance,
             regParam=0.0,
             elasticNetParam=0.0,
         )
         return [*features, model]
 
+    def _splits(self, rows: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], splits: int) -> list[Metrics]:
+        """All splits from the same sums of products, unless there are too many features or text is hashed."""
+        if self.encoding != "index":
+            return super()._splits(rows, label, numeric, categorical, splits)
+        index = category_index(rows, categorical)
+        try:
+            if len(numeric) + sum(index.sizes.values()) > moments.MOST_FEATURES:
+                return super()._splits(rows, label, numeric, categorical, splits)
+            _, found, sums = moments.fit_splits(rows, label, numeric, index, splits)
+        finally:
+            index.drop()
+        rounded = [{n: None if m[n] is None else round(m[n], 4) for n in self.metric_names} for m in found]
+        return [c | m for c, m in zip(self._counts(sums), rounded)]
+
     def _score(self, predictions: DataFrame, label: str) -> Metrics:
         row = scores.regression_scores(predictions, label, _PREDICTION).first()
         return {n: None if row[n] is None else round(row[n], 4) for n in self.metric_names}

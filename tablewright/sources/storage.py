@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.draws import row_hash
 
 _SETTING = "spark.checkpoint.dir"
-TRAINING_PARTITIONS = 16
+#: Training rows go to a partition for each so many rows, up to the given number, and to more only for many more rows.
+_ROWS_A_PARTITION, _SMALL_PARTITIONS, _MANY_ROWS_A_PARTITION = 10_000, 64, 1_000_000
 
 
 @cache
@@ -62,18 +63,24 @@ def materialise(df: DataFrame, name: str = "table") -> StoredTable:
     return StoredTable(path, df.sparkSession.read.schema(df.schema).parquet(path))
 
 
-def store_for_training(df: DataFrame, partitions: int = TRAINING_PARTITIONS) -> StoredTable:
+def training_partitions(rows: int) -> int:
+    """How many partitions rows are trained in: a function of their number, so equal tables are laid out alike."""
+    few = min(_SMALL_PARTITIONS, -(-rows // _ROWS_A_PARTITION))
+    return max(1, few, -(-rows // _MANY_ROWS_A_PARTITION))
+
+
+def store_for_training(df: DataFrame, partitions: int | None = None) -> StoredTable:
     """Materialise rows that a model will read many times, in a layout that only the rows decide.
 
     A forest depends on which rows share a partition and in what order. Rows go to
-    a fixed number of partitions by their hash and are sorted by it there, so equal
-    tables give equal models whatever the session's settings and the input's
-    layout. Files are read back in no fixed order, so this is done on reading; the
-    learners keep what they read. Give more ``partitions`` for more rows than so
-    many tasks can hold.
+    partitions by their hash and are sorted by it there, so equal tables give equal
+    models whatever the session's settings and the input's layout. The number of
+    partitions follows the number of rows. Files are read back in no fixed order, so
+    this is done on reading; the learners keep what they read.
     """
     mark = "__row_hash"
     stored = materialise(df.withColumn(mark, row_hash(df)), "training")
+    partitions = partitions or training_partitions(stored.df.count())
     placed = stored.df.repartition(partitions, mark).sortWithinPartitions(mark).drop(mark)
     return StoredTable(stored.path, placed)
 

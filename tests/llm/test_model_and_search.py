@@ -25,20 +25,20 @@ def tokens(text):
 
 
 class Plain:
+    """The model by its formulas, with dictionaries."""
+
     def __init__(self, texts):
-        self.counts, self.pairs = Counter(), Counter()
+        self.counts, self.triples = Counter(), Counter()
         for text in texts:
             own = tokens(text)
             self.counts.update(own)
-            self.pairs.update(zip(["\t", *own], own))
+            self.triples.update(zip(["\t\t", "\t", *own], ["\t", *own], own))
         self.n, self.v = sum(self.counts.values()), len(self.counts)
+        self.pairs = Counter((b, c) for _, b, c in self.triples)
         self.ends = Counter(b for _, b in self.pairs)
-        self.d2, self.d1 = self.discounts(self.pairs), self.discounts(self.ends)
+        self.d3, self.d2, self.d1 = map(self.discounts, (self.triples, self.pairs, self.ends))
         self.rest = sum(self.d1[min(c, 3)] for c in self.ends.values()) / len(self.pairs) if self.pairs else 1
-        self.total, self.left = Counter(), defaultdict(float)
-        for (a, _), c in self.pairs.items():
-            self.total[a] += c
-            self.left[a] += self.d2[min(c, 3)]
+        self.above = [self.sums(counts, off) for counts, off in ((self.pairs, self.d2), (self.triples, self.d3))]
 
     @staticmethod
     def discounts(counts):
@@ -51,20 +51,28 @@ class Plain:
                 found[k] = value if 0 < value < k else 0.75
         return found
 
-    def lower(self, w):
+    @staticmethod
+    def sums(counts, off):
+        total, left = Counter(), defaultdict(float)
+        for key, c in counts.items():
+            total[key[:-1]] += c
+            left[key[:-1]] += off[min(c, 3)]
+        return total, left
+
+    def chance(self, a, b, w):
         c = self.ends[w]
-        return max(c - self.d1[min(c, 3)], 0) / max(1, len(self.pairs)) + self.rest / (self.v + 1)
-
-    def chance(self, a, w):
-        if not self.total[a]:
-            return self.lower(w)
-        c = self.pairs[a, w]
-        return (max(c - self.d2[min(c, 3)], 0) + self.left[a] * self.lower(w)) / self.total[a]
+        p = max(c - self.d1[min(c, 3)], 0) / max(1, len(self.pairs)) + self.rest / (self.v + 1)
+        levels = (((b, w), self.pairs, self.d2, self.above[0]), ((a, b, w), self.triples, self.d3, self.above[1]))
+        for key, counts, off, (total, left) in levels:
+            if total[key[:-1]]:
+                p = (max(counts[key] - off[min(counts[key], 3)], 0) + left[key[:-1]] * p) / total[key[:-1]]
+        return p
 
     def row(self, text):
         own = tokens(text)
         base = sum(math.log10((self.counts[w] + 1) / (self.n + self.v + 1)) for w in own)
-        return len(own), sum(w in self.counts for w in own), base, sum(math.log10(self.chance(a, w)) for a, w in zip(["\t", *own], own))
+        score = sum(math.log10(self.chance(*x)) for x in zip(["\t\t", "\t", *own], ["\t", *own], own))
+        return len(own), sum(w in self.counts for w in own), base, score
 
 
 def held_out(i):
@@ -87,20 +95,32 @@ def test_model_query(spark):
 
 def test_model_sums_to_one():
     plain = Plain(["a b a b c", "b c a", "a a d"])
-    for context in ("a", "b", "\t", "unseen"):
-        assert sum(plain.chance(context, w) for w in [*plain.counts, "never"]) == pytest.approx(1)
+    for context in (("a", "b"), ("b", "c"), ("\t\t", "\t"), ("\t", "a"), ("c", "unseen"), ("unseen", "a")):
+        assert sum(plain.chance(*context, w) for w in [*plain.counts, "never"]) == pytest.approx(1)
 
 
-@pytest.mark.parametrize("bits", [4, 7])
-def test_model_of_odd_rows(spark, bits):
+@pytest.mark.parametrize("bucket_tokens", [1 << 20, 2000, 3])
+def test_model_of_odd_rows(spark, bucket_tokens):
+    """Small buckets: frequent words are split, some of them over all buckets."""
     docs = documents(spark)
     plain = Plain([t for _, t in TEXTS])
-    model = kneser_ney.train(docs, bits=bits)
+    model = kneser_ney.train(docs, bucket_tokens=bucket_tokens)
     assert (model.tokens, model.distinct) == (plain.n, plain.v)
+    hot = sum(c >= bucket_tokens for c in plain.counts.values())
+    assert len(model.words.hot) == hot and (hot > 0) == (bucket_tokens < 1 << 20)
     found = sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 4)) for r in kneser_ney.score(docs, model).collect())
     assert found == sorted((n, k, round(b, 6), round(s, 4)) for n, k, b, s in (plain.row(t) for _, t in TEXTS))
     assert kneser_ney.score(nothing(spark), model).count() == 0
     kneser_ney.drop_model(spark, model)
+    with pytest.raises(Exception, match="gone or not seen"):
+        kneser_ney.score(docs, model).collect()
+
+
+def test_arrays_come_back():
+    for values in ([], [0], [5, 5, 9, 1 << 40], [255, 256, 65_536, 1 << 63]):
+        array = kneser_ney.np.array(values, kneser_ney.np.uint64)
+        for rising in (False, True):
+            assert kneser_ney._unpacked(kneser_ney._packed(array, rising), rising).tolist() == values
 
 
 def test_model_of_nothing(spark):

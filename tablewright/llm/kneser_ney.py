@@ -108,9 +108,16 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
 
 
+def _order(keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The order of keys, of which the first one decides first; equal ones come in any order."""
+    if len(keys) > 1 and all(not len(k) or k.max() < 1 << 32 for k in keys[:2]):  # two keys as one
+        keys = (keys[0].astype(np.uint64) << np.uint64(32) | keys[1].astype(np.uint64), *keys[2:])
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
 def _summed(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Keys in order (the first one decides first) without repeats, and the sums of n."""
-    order = np.lexsort(keys[::-1])
+    order = _order(keys)
     keys = tuple(k[order] for k in keys)
     starts = _runs(*keys)
     return [k[starts] for k in keys], _sums(n[order], starts)
@@ -145,6 +152,8 @@ def _narrow(values: np.ndarray) -> np.ndarray:
 
 def _by_bucket(bucket: np.ndarray, columns: tuple[np.ndarray, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The slices of the columns that belong to each bucket, in their order."""
+    if len(bucket):
+        bucket = bucket.astype(np.min_scalar_type(int(bucket.max())))  # the fewer bytes, the faster sorted
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], tuple(c[order] for c in columns)
     starts = _runs(bucket)
@@ -510,51 +519,61 @@ def _find(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndar
     """Where each wanted value stands in its slice [low, high) of sorted values, and whether it is there."""
     if not len(values):
         return low, np.zeros(len(low), bool)
-    at, stop, last = low.copy(), high.copy(), len(values) - 1
-    while (open_ := at < stop).any():
-        middle = at + stop >> 1
-        less = values[np.minimum(middle, last)] < wanted
-        at, stop = np.where(open_ & less, middle + 1, at), np.where(open_ & ~less, middle, stop)
-    return at, (at < high) & (values[np.minimum(at, last)] == wanted)
-
-
-def _before(values: np.ndarray) -> np.ndarray:
+    at, stop = low.copy(), high.copy()
+    live = np.flatnonzero(at < stop)
+    while len(live):
+        a, b = at[live], stop[live]
+        middle = a + b >> 1
+        less = values[middle] < wanted[live]
+        a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+        at[live], stop[live] = a, b
+        live = live[a < b]
+    return at, (at < high) & (values[np.minimum(at, len(values) - 1)] == wanted)
+
+
+def _before(values: np.ndarray, kind: type = np.int64) -> np.ndarray:
     """Sums of the values before each place, and of all."""
-    return np.r_[0, np.cumsum(values, dtype=np.int64)]
-
-
-def _slices(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
-    """Of each slice the sum of values, and how many are 1, 2 and more."""
-    return [(total := _before(x))[high] - total[low] for x in (values, values == 1, values == 2, values > 2)]
-
-
-def _nested_counts(arrays: list[np.ndarray], keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of nested arrays the value under each key, and the sums over the keys that differ in the last part only."""
-    low, high = np.zeros(len(keys[0]), np.int64), np.full(len(keys[0]), len(arrays[0]))
-    for k, key in enumerate(keys[:-1]):
-        at, there = _find(arrays[2 * k], low, high, key)
-        stops = _before(arrays[2 * k + 1])
-        at = np.where(there, at, 0)
-        low = np.where(there, stops[at], 0)
-        high = np.where(there, stops[np.minimum(at + 1, len(stops) - 1)], 0)
-    at, there = _find(arrays[-2], low, high, keys[-1])
+    found = np.zeros(len(values) + 1, kind)
+    np.cumsum(values, dtype=kind, out=found[1:])
+    return found
+
+
+def _nested_counts(arrays: list[np.ndarray], keys: list[np.ndarray], off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of nested arrays the value under each key, and the sums of values and of discounts over keys that differ in the last part only."""
+    firsts = arrays[0]
+    low = np.zeros(len(keys[0]), np.int64)
+    if len(firsts):
+        low = np.searchsorted(firsts, np.minimum(keys[0], firsts[-1]).astype(firsts.dtype))
+    low, high = _find(firsts, low, np.minimum(low + 1, len(firsts)), keys[0])
+    for k, key in enumerate(keys[1:], 1):
+        stops = _before(arrays[2 * k - 1])
+        at = np.where(high, low, 0)
+        low, end = np.where(high, stops[at], 0), np.where(high, stops[np.minimum(at + 1, len(stops) - 1)], 0)
+        context = low, end
+        low, high = _find(arrays[2 * k], low, end, key)
     values = arrays[-1]
-    found = np.where(there, values[np.minimum(at, max(0, len(values) - 1))], 0) if len(values) else np.zeros(len(low), np.int64)
-    return found.astype(np.int64), _slices(values, low, high)
-
-
-def _level(files: _Files, kind: str, home: np.ndarray, keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of keys in their buckets, and the four sums of their contexts as rows."""
-    count, sums = np.zeros(len(home), np.int64), np.zeros((4, len(home)), np.int64)
-    for bucket, (place, *own) in _by_bucket(home, (np.arange(len(home)), *keys)):
-        count[place], found = _nested_counts(files.read(f"{kind}-{bucket}", 2 * len(keys)), own)
-        sums[:, place] = found
-    return count, sums
+    found = np.zeros(len(low), np.int64)
+    found[high] = values[low[high]]
+    low, end = context
+    total, left = _before(values), _before(off[np.minimum(values, 3)], np.float64)
+    return found, total[end] - total[low], left[end] - left[low]
+
+
+def _level(
+    files: _Files, kind: str, home: np.ndarray, keys: tuple[np.ndarray, ...], discounts: tuple[float, ...]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of keys in their buckets, and of their contexts the sums of counts and of discounts."""
+    count, total, left = (np.zeros(len(home), kind) for kind in (np.int64, np.int64, np.float64))
+    off = np.array(discounts)
+    for bucket, (place, *own) in _by_bucket(home, (np.arange(len(home), dtype=np.int32), *keys)):
+        found = _nested_counts(files.read(f"{kind}-{bucket}", 2 * len(keys)), own, off)
+        for values, part in zip((count, total, left), found):
+            values[place] = part
+    return count, total, left
 
 
-def _interpolated(count: np.ndarray, sums: np.ndarray, discounts: tuple[float, ...], lower: np.ndarray) -> np.ndarray:
+def _interpolated(count: np.ndarray, total: np.ndarray, left: np.ndarray, discounts: tuple[float, ...], lower: np.ndarray) -> np.ndarray:
     off = np.array(discounts)
-    total, left = sums[0], off[1:] @ sums[1:]
     upper = np.maximum(count - off[np.minimum(count, 3)], 0)
     return np.where(total > 0, (upper + left * lower) / np.maximum(total, 1), lower)
 
@@ -568,15 +587,19 @@ def _chances(model: Model, files: _Files, tokens: np.ndarray, sizes: np.ndarray)
     chance = np.maximum(before - off[np.minimum(before, 3)], 0) / max(1, model.contexts) + model.unseen
     last = numbers[place]
     first, middle = _contexts(last, sizes, words.distinct)
-    count, sums = _level(files, "pairs", _home(words, model.buckets, middle, last), (middle, last))
+    _, lower, upper = model.discounts
+    count, total, left = _level(files, "pairs", _home(words, model.buckets, middle, last), (middle, last), lower)
     if model.split:
         split = np.array(model.split, np.int64)
         hot = np.flatnonzero(words.is_hot(middle))
-        at = np.minimum(np.searchsorted(split[:, 0], middle[hot].astype(np.int64)), len(split) - 1)
-        sums[:, hot] = np.where(split[at, 0] == middle[hot].astype(np.int64), split[at, 1:].T, 0)
-    chance = _interpolated(count, sums, model.discounts[1], chance[place])
-    count, sums = _level(files, "triples", _home(words, model.buckets, middle, first), (middle, first, last))
-    return _interpolated(count, sums, model.discounts[2], chance), times[place]
+        own = middle[hot].astype(np.int64)
+        at = np.minimum(np.searchsorted(split[:, 0], own), len(split) - 1)
+        there = split[at, 0] == own
+        total[hot] = np.where(there, split[at, 1], 0)
+        left[hot] = np.where(there, split[at, 2:] @ np.array(lower[1:]), 0)
+    chance = _interpolated(count, total, left, lower, chance[place])
+    found = _level(files, "triples", _home(words, model.buckets, middle, first), (middle, first, last), upper)
+    return _interpolated(*found, upper, chance), times[place]
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", flag: Column | None = None) -> DataFrame:

@@ -99,7 +99,7 @@ def test_model_sums_to_one():
         assert sum(plain.chance(*context, w) for w in [*plain.counts, "never"]) == pytest.approx(1)
 
 
-@pytest.mark.parametrize("bucket_tokens", [1 << 20, 2000, 3])
+@pytest.mark.parametrize("bucket_tokens", [1 << 20, 2000, 300])
 def test_model_of_odd_rows(spark, bucket_tokens):
     """Small buckets: frequent words are split, some of them over all buckets."""
     docs = documents(spark)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.shared import kept, lower_words, new_path, texts
 
 _END = b"\n"  # no word holds white space
-_GROUP, _CACHE_BYTES, _HELD = 1_500_000, 1 << 25, 3_000_000
+_GROUP, _CACHE_BYTES, _HELD = 2_000_000, 5 << 24, 3_000_000
 _BYTES_A_TOKEN, _WORDS_A_BUCKET = 6, 1 << 21
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -236,9 +236,14 @@ class _Words:
     def distinct(self) -> int:
         return self.firsts[-1]
 
+    @property
+    def kind(self) -> type:
+        """The kind of a word's number, with room for the marks before a text and for unknown words."""
+        return np.uint32 if self.distinct + 3 < 1 << 32 else np.uint64
+
     def look_up(self, files: _Files, hashes: np.ndarray, more: bool = False) -> tuple[np.ndarray, ...]:
         """Numbers of words (sorted hashes); with ``more`` also their counts and the words before. An unknown one is number distinct + 2."""
-        numbers = np.full(len(hashes), self.distinct + 2, np.uint64)
+        numbers = np.full(len(hashes), self.distinct + 2, self.kind)
         counts, before = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         bucket = hashes >> np.uint64(64 - self.bits)
         starts = _runs(bucket)
@@ -256,7 +261,7 @@ class _Words:
         return (numbers, counts, before) if more else (numbers,)
 
     def is_hot(self, numbers: np.ndarray) -> np.ndarray:
-        hot = np.array(self.hot, np.uint64)
+        hot = np.array(self.hot, self.kind).astype(numbers.dtype)
         if not len(hot):
             return np.zeros(len(numbers), bool)
         return hot[np.minimum(np.searchsorted(hot, numbers), len(hot) - 1)] == numbers
@@ -336,6 +341,7 @@ def _contexts(numbers: np.ndarray, sizes: np.ndarray, distinct: int) -> tuple[np
 
 
 def _spread(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
+    a, b = a.astype(np.uint64), b.astype(np.uint64)
     mixed = (a * _MIX ^ (b + _SPREAD)) * _SPREAD
     mixed ^= mixed >> np.uint64(29)
     return ((mixed * _MIX) >> np.uint64(33)).astype(np.int64) % buckets
@@ -343,8 +349,10 @@ def _spread(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
 
 def _home(words: _Words, buckets: int, middle: np.ndarray, other: np.ndarray) -> np.ndarray:
     """The bucket of a middle word, or of it and the other word where it is split."""
-    even = (middle.astype(np.float64) * (buckets / (words.distinct + 3))).astype(np.int64)
-    return np.where(words.is_hot(middle), _spread(middle, other, buckets), np.minimum(even, buckets - 1))
+    home = np.minimum((middle * (buckets / (words.distinct + 3))).astype(np.int64), buckets - 1)
+    hot = np.flatnonzero(words.is_hot(middle))
+    home[hot] = _spread(middle[hot], other[hot], buckets)
+    return home
 
 
 def _nested(keys: list[np.ndarray], values: np.ndarray) -> list[np.ndarray]:

@@ -310,6 +310,27 @@ def skew_repartition(spark, folder):
     return layout.spread_by_key(df, "o_custkey", 8)
 
 
+_PARTS = 16
+
+
+@query(
+    with_dirty(
+        f"""SELECT sum(n) AS rows, {_PARTS} AS partitions, count(*) FILTER (WHERE n > share) AS divided_keys, true AS within_bound
+            FROM (SELECT o_custkey, count(*) AS n, (SELECT ceil(count(*) / {_PARTS}.0::DOUBLE) FROM dirty) AS share FROM dirty GROUP BY 1)"""
+    )
+)
+def weighted_placement(spark, folder):
+    """No partition has over five quarters of an even share, and only keys above a share are divided."""
+    df = dirty_orders(spark, folder).select("o_orderkey", "o_custkey", "o_totalprice")
+    placed = layout.place_by_weight(df, "o_custkey", _PARTS).withColumn("at", F.spark_partition_id())
+    cells = placed.groupBy("o_custkey", "at").agg(F.count(F.lit(1)).alias("n"))
+    keys = cells.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("parts")).agg(F.count_if(F.col("parts") > 1).cast("bigint").alias("divided_keys"))
+    sizes = cells.groupBy("at").agg(F.sum("n").alias("n")).agg(
+        F.sum("n").cast("bigint").alias("rows"), F.count(F.lit(1)).cast("int").alias("partitions"),
+        (F.max("n") * _PARTS <= 1.25 * F.sum("n")).alias("within_bound"))
+    return sizes.crossJoin(F.broadcast(keys))  # one row each
+
+
 _HAS_FEATURES = "o_custkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL"
 
 

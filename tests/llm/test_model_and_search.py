@@ -269,3 +269,61 @@ def test_entries_hold_from_their_date_to_the_next(spark):
         assert hits == {(2, "l", 1, 100), (3, "l", 1, 100), (5, "l", 1, 300), (7, "m", 1, 150)}
     assert url_lists.evaluate(captures.limit(0), entries).count() == 0
     assert url_lists.evaluate(captures, entries.limit(0)).filter("blocked").count() == 0
+
+
+def test_nothing_goes_from_the_middle_of_a_sentence(spark):
+    pages = [
+        "<main><p>Mayor Lee said on Tuesday that at the end of the day nothing had been decided yet.</p></main>",
+        "<main><p>The coach noted that at the end of the day nothing matters more than points.</p></main>",
+    ]
+    assert main_texts(spark, pages) == [re.sub("<[^>]*>", "", p) for p in pages]
+
+
+def test_what_few_pages_of_a_host_quote_stays(spark):
+    quote, notice = words_of("quoted", 30), words_of("law", 30)
+    pages = [f"<main><p>{words_of(f'p{k}x', 20)}</p>{f'<p>{quote}</p>' if k < 2 else ''}<p>{notice}</p></main>" for k in range(25)]
+    expected = [words_of(f"p{k}x", 20) + (f"\n{quote}" if k < 2 else "") for k in range(25)]
+    assert main_texts(spark, pages) == expected
+
+
+def test_names_are_no_cues_inside_sentences_or_as_parts_of_others():
+    page = (
+        "<article><p>We study <span class='social-science'>society</span> and <em class='widget'>things</em>.</p>"
+        "<section class='related-work'><p>Others did.</p></section><div class='related'>More</div><div class='link-share'>Tell</div></article>"
+    )
+    assert html_text._chosen(html_text.blocks(page), set()) == ["We study society and things.", "Others did."]
+
+
+def test_a_teaser_is_not_the_whole_text():
+    page = "<main><article class='teaser'><p>Short.</p></article><p>The body of this page is longer than that.</p></main>"
+    assert html_text._chosen(html_text.blocks(page), set()) == ["Short.", "The body of this page is longer than that."]
+
+
+def test_long_page_and_clashing_names(spark):
+    long = "<p>" + words_of("w", 200_000) + "</p>"
+    pages = spark.createDataFrame([(1, "http://l.org/1", long)], "page_id long, url string, html string").selectExpr("*", "1 AS repeated", "2 AS page")
+    [row] = html_text.extract(pages).collect()
+    assert row["text"] == words_of("w", 200_000)
+
+
+def plain_repeated(pages: list[str], one_in: int) -> list[set[tuple]]:
+    """Of each page the runs of LEAST tokens that enough pages have, by comparing all."""
+    streams = [[t for _, text in html_text.blocks(p) for t in (*text.split(" "), "\n")] for p in pages]
+    own = [{tuple(s[i : i + html_text.LEAST]) for i in range(len(s) - html_text.LEAST + 1)} for s in streams]
+    return [{w for w in mine if (n := sum(w in other for other in own)) > 1 and n * one_in >= len(pages)} for mine in own]
+
+
+@pytest.mark.parametrize("one_in", [2, 10])
+def test_repeated_windows_against_all_pages(spark, one_in):
+    import random
+
+    draw = random.Random(4)
+    notices = [words_of(n, 12) for n in "xyz"]
+    pages = [f"<main><p>{words_of(f'q{k}', 9)}</p>{''.join(f'<p>{n}</p>' for n in notices if draw.random() < 0.4)}</main>" for k in range(12)]
+    frame = spark.createDataFrame([("h", k, p) for k, p in enumerate(pages)], "host string, page long, html string").repartition(3)
+    found = {r["page"]: set(r["repeated"]) for r in html_text.repeated_windows(frame, one_in).collect()}
+    for k, expected in enumerate(plain_repeated(pages, one_in)):
+        windows = html_text._windows(html_text.blocks(pages[k]), "h").tolist()
+        stream = [t for _, text in html_text.blocks(pages[k]) for t in (*text.split(" "), "\n")]
+        hit = {w for i, w in enumerate(windows) if tuple(stream[i : i + html_text.LEAST]) in expected}
+        assert found.get(k, set()) == hit

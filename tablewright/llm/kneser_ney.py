@@ -547,24 +547,32 @@ def _before(values: np.ndarray, kind: type = np.int64) -> np.ndarray:
 
 
 def _nested_counts(arrays: list[np.ndarray], keys: list[np.ndarray], off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of nested arrays the value under each key, and the sums of values and of discounts over keys that differ in the last part only."""
-    firsts = arrays[0]
-    low = np.zeros(len(keys[0]), np.int64)
+    """Of nested arrays the value under each key, and the sums of values and of discounts over keys that differ in the last part only.
+
+    Neighbours with equal first parts are looked up once, so keys are best sorted by these.
+    """
+    firsts, starts = arrays[0], _runs(keys[0])
+    low, there = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
     if len(firsts):
-        low = np.searchsorted(firsts, np.minimum(keys[0], firsts[-1]).astype(firsts.dtype))
-    low, high = _find(firsts, low, np.minimum(low + 1, len(firsts)), keys[0])
+        own = keys[0][starts]
+        low = np.searchsorted(firsts, np.minimum(own, firsts[-1]).astype(firsts.dtype))
+        there = firsts[low] == own
     for k, key in enumerate(keys[1:], 1):
         stops = _before(arrays[2 * k - 1])
-        at = np.where(high, low, 0)
-        low, end = np.where(high, stops[at], 0), np.where(high, stops[np.minimum(at + 1, len(stops) - 1)], 0)
-        context = low, end
-        low, high = _find(arrays[2 * k], low, end, key)
-    values = arrays[-1]
-    found = np.zeros(len(low), np.int64)
-    found[high] = values[low[high]]
-    low, end = context
+        at = np.where(there, low, 0)
+        low, end = np.where(there, stops[at], 0), np.where(there, stops[np.minimum(at + 1, len(stops) - 1)], 0)
+        if k < len(keys) - 1:
+            finer = _runs(*keys[: k + 1])
+            run = np.searchsorted(starts, finer, "right") - 1
+            starts = finer
+            low, there = _find(arrays[2 * k], low[run], end[run], key[starts])
+    values, times = arrays[-1], _lengths(starts, len(keys[0]))
     total, left = _before(values), _before(off[np.minimum(values, 3)], np.float64)
-    return found, total[end] - total[low], left[end] - left[low]
+    total, left = np.repeat(total[end] - total[low], times), np.repeat(left[end] - left[low], times)
+    low, there = _find(arrays[-2], np.repeat(low, times), np.repeat(end, times), keys[-1])
+    found = np.zeros(len(low), np.int64)
+    found[there] = values[low[there]]
+    return found, total, left
 
 
 def _level(
@@ -595,6 +603,8 @@ def _chances(model: Model, files: _Files, tokens: np.ndarray, sizes: np.ndarray)
     chance = np.maximum(before - off[np.minimum(before, 3)], 0) / max(1, model.contexts) + model.unseen
     last = numbers[place]
     first, middle = _contexts(last, sizes, words.distinct)
+    order = _order((middle, first))
+    first, middle, last, place = first[order], middle[order], last[order], place[order]
     _, lower, upper = model.discounts
     count, total, left = _level(files, "pairs", _home(words, model.buckets, middle, last), (middle, last), lower)
     if model.split:
@@ -607,7 +617,9 @@ def _chances(model: Model, files: _Files, tokens: np.ndarray, sizes: np.ndarray)
         left[hot] = np.where(there, split[at, 2:] @ np.array(lower[1:]), 0)
     chance = _interpolated(count, total, left, lower, chance[place])
     found = _level(files, "triples", _home(words, model.buckets, middle, first), (middle, first, last), upper)
-    return _interpolated(*found, upper, chance), times[place]
+    chances, counts = np.empty(len(order)), np.empty(len(order), np.int64)
+    chances[order], counts[order] = _interpolated(*found, upper, chance), times[place]
+    return chances, counts
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", flag: Column | None = None) -> DataFrame:

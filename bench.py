@@ -101,7 +101,7 @@ def main() -> None:
         "dedupe_by_key": lambda: run(duplicates.drop_duplicates_by_key(lines, ["l_orderkey"])),
         "modes": lambda: fills.modes(dirty, ["o_orderpriority", "o_totalprice", "o_custkey"]),
         "repair": lambda: run(RepairEngine(RepairPolicy()).repair(dirty, profile, label_col=label).cleaned_df),
-        "cleaning_cycle": lambda: CleaningCycle().run(dirty, ["o_custkey"]),
+        "cleaning_cycle": lambda: CleaningCycle().run(dirty, ["o_custkey"]).close(),
         "generate_houses": lambda: run(
             SyntheticDataGenerator(spark, SyntheticIssueConfig(), order_ids).generate_house_price_dataset().dirty_df
         ),

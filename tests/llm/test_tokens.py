@@ -11,7 +11,8 @@ from oddities import TEXTS, documents, nothing
 from tokenizers import Tokenizer
 
 from tablewright.llm import bpe, packing
-from tablewright.llm.queries import tokenizer_file
+from tablewright.llm.queries import op1_bpe, tokenizer_file
+from tablewright.llm.shared import table
 from tablewright.llm.vocabulary import ByteTokenizer
 
 WORDS, BYTES = tokenizer_file("word_bpe_49k.json"), tokenizer_file("byte_bpe_50k.json")
@@ -61,6 +62,16 @@ def test_digests_of_odd_rows(spark):
     assert bpe.digests(nothing(spark), WORDS).count() == 0
 
 
+def test_query_is_the_library(spark):
+    library, folder = Tokenizer.from_file(WORDS), "/root/testdata/sf0.001"
+    expected = {}
+    for i, text in table(spark, folder, "documents").select("doc_id", "text").collect():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        written = (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
+        expected[i] = (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in written))
+    assert {r[0]: tuple(r)[1:] for r in op1_bpe(spark, folder).collect()} == expected
+
+
 def test_encode_then_decode(spark):
     encoded = bpe.encode(documents(spark), WORDS)
     decoded = {(r["doc_id"], r["text"]) for r in bpe.decode(encoded, WORDS).collect()}

@@ -181,13 +181,13 @@ def _write(folder: str, name: str, *columns: np.ndarray) -> None:
 class _Files:
     """The arrays of files, mapped into memory once for a task."""
 
-    def __init__(self, folder: str):
-        self._folder = folder
+    def __init__(self, words: _Words):
+        self._words = words
         self._open: dict[str, list[np.ndarray]] = {}
 
     def read(self, name: str, columns: int) -> list[np.ndarray]:
         if name not in self._open:
-            path = f"{self._folder}/{name}"
+            path = f"{_local(self._words.folder if name.startswith('words-') else self._words.grams)}/{name}"
             if not os.path.exists(path):
                 raise FileNotFoundError(f"The model's file {path} is gone or not seen from here; train again in a shared folder.")
             with open(path, "rb") as file:
@@ -236,6 +236,11 @@ class _Words:
     def distinct(self) -> int:
         return self.firsts[-1]
 
+    @property
+    def grams(self) -> str:
+        """The folder of all that is counted after the words."""
+        return f"{self.folder}-grams"
+
     @property
     def kind(self) -> type:
         """The kind of a word's number, with room for the marks before a text and for unknown words."""
@@ -378,7 +383,7 @@ def _write_bucket(words: _Words, bucket: int, rows: list[tuple]) -> tuple[list[n
     none = np.zeros(0, np.uint64)
     middle, first, last, n = (np.concatenate([none, *c]) for c in (zip(*parts) if parts else [[]] * 4))
     (middle, first, last), n = _summed((middle, first, last), n.astype(np.int64))
-    _write(words.folder, f"triples-{bucket}", *_nested([middle, first, last], n))
+    _write(words.grams, f"triples-{bucket}", *_nested([middle, first, last], n))
     own = ~words.is_hot(middle)
     pairs, before = _counted((middle[own], last[own]))
     parts = [[_unpacked(data, k == 0) for k, data in enumerate(row[1:4])] for row in rows if row[0] == 1]
@@ -390,7 +395,7 @@ def _write_bucket(words: _Words, bucket: int, rows: list[tuple]) -> tuple[list[n
     totals = [_sums(x, starts).tolist() for x in (of_hot, of_hot == 1, of_hot == 2, of_hot > 2)]
     sums += [("split", int(k), *t) for k, *t in zip(hot[0][starts], *totals)]
     pairs, before = _summed((np.r_[pairs[0], hot[0]], np.r_[pairs[1], hot[1]]), np.r_[before, of_hot])
-    _write(words.folder, f"pairs-{bucket}", *_nested(pairs, before))
+    _write(words.grams, f"pairs-{bucket}", *_nested(pairs, before))
     (ends,), contexts = _counted((pairs[1],))
     return [ends, contexts], sums
 
@@ -399,7 +404,7 @@ def _count_triples(docs: DataFrame, text_column: str, words: _Words, buckets: in
     """Writes the files of triples, pairs and words before; the sums by kind and key."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = _Files(_local(words.folder))
+        files = _Files(words)
 
         def rows(held: list[tuple[np.ndarray, ...]]) -> Iterator[tuple]:
             keys, n = _counted(tuple(np.concatenate(c) for c in zip(*held)))
@@ -443,7 +448,7 @@ def _count_triples(docs: DataFrame, text_column: str, words: _Words, buckets: in
             for a, b, _ in rows:
                 at = _unpacked(a, True).astype(np.int64) - first
                 before[at] += _unpacked(b).astype(np.int64)  # a row has no word twice
-            _write(words.folder, f"before-{bucket}", _narrow(before))
+            _write(words.grams, f"before-{bucket}", _narrow(before))
             more = [("words", 0, *_shares(before)), ("contexts", 0, int(before.sum()), int((before > 2).sum()), 0, 0)]
             found = [*(tuple(s.values()) for *_, s in rows if s is not None), *more]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), _SUM_TYPE)], [t.name for t in _SUM_TYPE])
@@ -631,11 +636,12 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     equal scores, an empty table gives no rows, and other columns are not read. A
     model whose files are gone is an error.
     """
-    _reachable(docs.sparkSession, model.words.folder)
+    for folder in (model.words.folder, model.words.grams):
+        _reachable(docs.sparkSession, folder)
     floor = model.tokens + model.distinct + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = _Files(_local(model.words.folder))
+        files = _Files(model.words)
         for batch, row, tokens, sizes in _token_groups(batches, 2):
             chance, times = _chances(model, files, tokens, sizes)
             starts = np.cumsum(sizes) - sizes
@@ -662,5 +668,6 @@ def held_out(id_column: str = "doc_id", folds: int = 7, fold: int = 2) -> Column
 
 
 def drop_model(spark: SparkSession, model: Model) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(model.words.folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in (model.words.folder, model.words.grams):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

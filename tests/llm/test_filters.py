@@ -1,9 +1,10 @@
 """Personal data, secrets and quality against plain versions."""
 
+import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from hashlib import sha256
 
 from oddities import TEXTS, documents, nothing
@@ -110,6 +111,86 @@ def test_contexts_find_what_patterns_miss(spark):
     assert masked[101] == rows[21][1]
 
 
+def test_numbers_in_several_words(spark):
+    rows = [(k, f"Please call me on +1 415 555-26{k:02d} today or tomorrow.") for k in range(20)]
+    rows += [(100, "Please call me on (415) 555-2671 today."), (101, "Please call me on 44 20 7946 0000."), (102, "In 2019 and 2020 7946 came.")]
+    rows += [(103, "Please call me on (020)79460000 today"), (104, "Please call me on\n2079 4600 now or (020) 7946-1111")]
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(documents(spark, rows)).collect()}
+    assert masked[100] == "Please call me on [PHONE] today." and masked[101] == "Please call me on [PHONE]."
+    assert masked[102] == rows[22][1] and masked[103] == "Please call me on [PHONE] today"
+    assert masked[104] == "Please call me on\n[PHONE] now or (020) 7946-1111"
+
+
+def runs_of(text):
+    words = [m.span() for m in pii._WITH_DIGITS.finditer(text)]
+    return [text[a:b] for a, b in pii.number_runs(text, words)]
+
+
+def test_number_runs():
+    assert runs_of("a (415) 555-2671. 20 7946 0000, 12") == ["(415) 555-2671", "20 7946 0000"]
+    assert runs_of("+44 (20) 7946 0000 (415) 555 2671 (call 020 7946 1111)") == ["+44 (20) 7946 0000", "(415) 555 2671", "020 7946 1111"]
+    assert runs_of("2079\n4600 1111") == ["4600 1111"] and runs_of("1 2 3") == [] and runs_of("1234 " * 5) == []
+
+
+def test_contexts_are_whole_words():
+    long = "w" * 5000
+    first, second = f"{long}a {long}b 20794600 {long}c", f"{long}a {long}b 20794601 {long}d"
+    [one], [two] = (pii.occurrences(t, []) for t in (first, second))
+    assert len(one[-1]) == 2 and one[-1][0] == two[-1][0] and one[-1][1] != two[-1][1]
+    assert pii.occurrences("x" * 5000 + first, [])[0][-1][0] != one[-1][0]
+    packed = ",".join(f"a{k}@b.co" for k in range(20_000))
+    found = pii.occurrences(f"{long} {long} {packed}", pii.base_spans(f"{long} {long} {packed}"))
+    assert len([f for f in found if f[2] == 0]) == 20_000
+
+
+def plain_bootstrap(seen, support, confidence):
+    """The rounds on sets and dictionaries."""
+    seeds, graph = {}, set()
+    for instance, kind, patterns in seen:
+        if kind >= 0:
+            seeds[instance] = max(seeds.get(instance, 0), kind % pii.ALONE)
+        graph |= {(p, instance) for p in patterns}
+    found = {}
+    while True:
+        believed = {i: (k, 1000) for i, k in seeds.items()} | found
+        offers = defaultdict(float)
+        for pattern in {p for p, _ in graph}:
+            of = [i for p, i in graph if p == pattern]
+            sums = [sum(believed[i][1] for i in of if i in believed and believed[i][0] == k) for k in range(pii.ALONE)]
+            sure = max(sums) / (1000 * (len(of) + 1))
+            if max(sums) >= 1000 * support and sure >= 0.5:
+                for i in of:
+                    if i not in seeds:
+                        offers[i, sums.index(max(sums))] += math.log1p(-sure)
+        after = dict(found)
+        for (i, kind), doubt in sorted(offers.items(), key=lambda o: (o[0][0], o[1], o[0][1])):
+            belief = math.floor(round(1000 * (1 - math.exp(doubt)), 6))
+            if belief >= 1000 * confidence and (i not in after or (after[i][0] == kind and after[i][1] < belief)):
+                after[i] = kind, belief
+        if after == found:
+            return believed
+        found = after
+
+
+def test_bootstrap_against_plain_rounds(spark):
+    draw = random.Random(6)
+    seen = []
+    for chain in range(3):  # each group of patterns leads from the seeds to candidates several rounds away
+        for step in range(6):
+            for member in range(12 - 2 * step):
+                instance = chain * 1000 + step * 10 + member
+                patterns = [chain * 100 + 4 * step + k for k in range(4)]
+                patterns += [p + 4 for p in patterns if draw.random() < 0.9]
+                seen.append((instance, chain % 3 if step == 0 else -1, patterns))
+    seen += [(9000 + draw.randrange(40), draw.choice([-1, -1, 1, pii.ALONE + 2]), [draw.randrange(1000, 1008)]) for _ in range(150)]
+    for support, confidence in ((3, 0.8), (2, 0.6)):
+        rows = spark.createDataFrame(seen, "instance long, kind int, patterns array<long>")
+        got = {r["instance"]: (r["kind"], r["belief"]) for r in pii.bootstrap(rows, support, confidence).collect()}
+        expected = plain_bootstrap(seen, support, confidence)
+        assert got == expected
+    assert any(i % 1000 >= 40 for i in got if i < 3000), "no candidate more than three rounds away"
+
+
 def test_masking_keeps_odd_rows(spark):
     docs = documents(spark)
     masked = pii.masked(docs)

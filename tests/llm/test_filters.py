@@ -177,7 +177,7 @@ def test_bootstrap_against_plain_rounds(spark):
     seen = []
     for chain in range(3):  # each group of patterns leads from the seeds to candidates several rounds away
         for step in range(6):
-            for member in range(12 - 2 * step):
+            for member in range(20 - 3 * step):
                 instance = chain * 1000 + step * 10 + member
                 patterns = [chain * 100 + 4 * step + k for k in range(4)]
                 patterns += [p + 4 for p in patterns if draw.random() < 0.9]

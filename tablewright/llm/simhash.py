@@ -378,10 +378,12 @@ def drop_near_duplicates(
     rows = rows.mapInArrow(_set_rows(width, False), "_id long, _no_id boolean, _text long, shingle_set long, bands array<long>")
     first = F.min(F.struct("_no_id", "_id", "_text", "bands")).alias("first")
     sets = stored(rows.groupBy("shingle_set").agg(first).select("shingle_set", "first.*"), "shingle-sets")
-    members = sets.select("shingle_set", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_list("shingle_set").alias("sets"))
-    members = members.filter(F.size("sets") > 1).select(F.sort_array("sets").alias("sets"))
-    members = members.select(F.xxhash64("sets").alias("bucket"), "sets").dropDuplicates(["bucket"])
-    members = stored(members.select("bucket", F.explode("sets").alias("shingle_set")), "shingle-buckets")
+    bands = sets.select("shingle_set", F.explode("bands").alias("bucket"))
+    # Bands of the same sets are one bucket; they are known by number and hashes of their sets, not by a list.
+    same = [F.bit_xor(F.xxhash64("shingle_set", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), *same).filter("size > 1")
+    buckets = buckets.groupBy("size", "mark1", "mark2").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = stored(bands.join(buckets, "bucket"), "shingle-buckets")
     wanted = sets.join(members.select("shingle_set").distinct(), "shingle_set", "left_semi").select(*keys)
     whole = docs.select(*(c.alias(k) for k, c in keys.items()), F.col(text_column).alias("_value")).join(wanted, list(keys), "left_semi")
     whole = whole.select("_value").mapInArrow(_set_rows(width, True), "shingle_set long, shingles binary").dropDuplicates(["shingle_set"])

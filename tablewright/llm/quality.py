@@ -43,8 +43,8 @@ RULES = (
 )
 _VALUES = list(dict.fromkeys(name for name, _, _, _ in RULES))
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: A rule's accuracy before any data, what part of the data this weighs, and the rounds of EM.
-_ACCURACY, _PRIOR_WEIGHT, _ROUNDS = {REJECT: 0.95, KEEP: 0.70}, 0.02, 50
+#: A rule's accuracy before any data, what part of the data this weighs, and the change at which EM rests.
+_ACCURACY, _PRIOR_WEIGHT, _REST = {REJECT: 0.95, KEEP: 0.70}, 0.02, 1e-9
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -130,7 +130,8 @@ def posteriors(patterns: dict[int, int]) -> dict[int, float]:
     EM: a rule that votes is right with its own accuracy, rules are independent,
     abstaining says nothing, and without votes good and bad are equally likely. The
     prior accuracies weigh as ``_PRIOR_WEIGHT`` of the documents, which also keeps
-    good and bad from changing places.
+    good and bad from changing places. Rounds go on until no accuracy changes by more
+    than ``_REST``.
     """
     if not patterns:
         return {}
@@ -139,11 +140,13 @@ def posteriors(patterns: dict[int, int]) -> dict[int, float]:
     times = np.array(list(patterns.values()), float)
     prior = np.array([_ACCURACY[s] for s in sides])
     accuracy, weight = prior, _PRIOR_WEIGHT * times.sum()
-    for _ in range(_ROUNDS):
+    while True:
         odds = cast @ (sides * np.log(accuracy / (1 - accuracy)))
         good = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
         right = np.where(sides == KEEP, good[:, None], 1 - good[:, None])
-        accuracy = (times @ (cast * right) + weight * prior) / (times @ cast + weight)
+        before, accuracy = accuracy, (times @ (cast * right) + weight * prior) / (times @ cast + weight)
+        if np.abs(accuracy - before).max() <= _REST:
+            break
     return dict(zip(patterns, good.tolist()))
 
 

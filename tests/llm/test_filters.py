@@ -250,3 +250,27 @@ def test_accuracies_follow_the_votes():
     found = quality.posteriors({sum(keep): 800, reject[0] | reject[1]: 100, reject[2] | sum(keep): 60, reject[3]: 5, 0: 10})
     assert found[sum(keep)] > 0.9 and found[reject[0] | reject[1]] < 0.1 and found[reject[2] | sum(keep)] > 0.5
     assert found[reject[3]] < 0.5 and found[0] == 0.5
+
+
+def test_posteriors_against_plain_rounds():
+    """Each document by itself, in plain Python, for many more rounds."""
+    draw = random.Random(8)
+    for n in (1, 30, 400):
+        docs = [sum(1 << i for i in range(len(quality.RULES)) if draw.random() < 0.3) for _ in range(n)]
+        accuracy = [quality._ACCURACY[side] for _, side, _, _ in quality.RULES]
+        for _ in range(400):
+            right, cast = [0.0] * len(accuracy), [0] * len(accuracy)
+            good = {}
+            for votes in docs:
+                odds = 1.0
+                for i, (_, side, _, _) in enumerate(quality.RULES):
+                    odds *= (accuracy[i] / (1 - accuracy[i])) ** (side * (votes >> i & 1))
+                good[votes] = odds / (1 + odds)
+                for i, (_, side, _, _) in enumerate(quality.RULES):
+                    if votes >> i & 1:
+                        cast[i] += 1
+                        right[i] += good[votes] if side == quality.KEEP else 1 - good[votes]
+            weight = quality._PRIOR_WEIGHT * n
+            accuracy = [(r + weight * quality._ACCURACY[side]) / (c + weight) for r, c, (_, side, _, _) in zip(right, cast, quality.RULES)]
+        found = quality.posteriors(dict(Counter(docs)))
+        assert all(abs(found[v] - good[v]) < 1e-6 for v in good)

@@ -134,18 +134,36 @@ def detection_accuracy(spark, folder):
     return detection_table(spark, issues, DataProfiler().profile(df))
 
 
+_MISSING, _FAR = {"value": 0.1, "event_type": 0.3}, {"value": (1e6, 0.05), "user_id": (10**9, 0.02)}
+
+
 @query(
-    """SELECT * FROM (VALUES ('missingness', 'value', 0.1::DOUBLE), ('missingness', 'event_type', 0.3::DOUBLE),
-        ('outliers', 'value', 0.05::DOUBLE), ('outliers', 'user_id', 0.02::DOUBLE), ('duplicates', NULL, 0.03::DOUBLE))
-      AS t(issue, "column", rate) WHERE EXISTS (SELECT * FROM events)"""
+    f"""WITH de1 AS (
+      SELECT event_id, CASE WHEN {u(11, _EVENT)} < 0.3 THEN NULL ELSE event_type END AS event_type,
+        CASE WHEN {u(20, _EVENT)} < 0.05 THEN 1e6::DOUBLE WHEN {u(10, _EVENT)} < 0.1 THEN NULL ELSE value END AS value,
+        CASE WHEN {u(21, _EVENT)} < 0.02 THEN 1000000000 ELSE user_id END AS user_id
+      FROM events),
+    de AS (SELECT * FROM de1 UNION ALL SELECT * FROM de1 WHERE {u(60, _EVENT)} < 0.03)
+    SELECT issue, "column", rate::DOUBLE AS rate, hits, (SELECT count(*) FROM de) AS "rows" FROM (
+      SELECT 'missingness' AS issue, 'value' AS "column", 0.1 AS rate, count(*) FILTER (WHERE value IS NULL) AS hits FROM de
+      UNION ALL SELECT 'missingness', 'event_type', 0.3, count(*) FILTER (WHERE event_type IS NULL) FROM de
+      UNION ALL SELECT 'outliers', 'value', 0.05, count(*) FILTER (WHERE value = 1e6) FROM de
+      UNION ALL SELECT 'outliers', 'user_id', 0.02, count(*) FILTER (WHERE user_id = 1000000000) FROM de
+      UNION ALL SELECT 'duplicates', NULL, 0.03, count(*) - count(DISTINCT event_id) FROM de)"""
 )
 def dirty_table_record(spark, folder):
-    """The record of damage to several columns has the rate of each."""
-    events = table(spark, folder, "events")
-    _, issues = dirty_table(
-        events, missing={"value": 0.1, "event_type": 0.3}, outliers={"value": (1e6, 0.05), "user_id": (10**9, 0.02)}, duplicate_rate=0.03)
-    rates = spark.createDataFrame(injected_rates(issues), "issue string, column string, rate double")
-    return rates.join(events.limit(1).select(), how="left_semi")
+    """The recorded rate of each damage beside the rows of the damaged table that show it."""
+    events = table(spark, folder, "events").select("event_id", "event_type", "value", "user_id")
+    damaged, issues = dirty_table(events, missing=_MISSING, outliers=_FAR, duplicate_rate=0.03, ids=[_EVENT])
+    shown = {("missingness", c): F.count_if(col(c).isNull()) for c in _MISSING}
+    shown |= {("outliers", c): F.count_if(col(c) == far) for c, (far, _) in _FAR.items()}
+    shown["duplicates", None] = F.count("*") - F.count_distinct(_EVENT)
+    rates = [
+        F.struct(F.lit(issue).alias("issue"), F.lit(c).cast("string").alias("column"), F.lit(float(rate)).alias("rate"),
+                 shown[issue, c].alias("hits"), F.count("*").alias("rows"))
+        for issue, c, rate in injected_rates(issues)
+    ]
+    return damaged.agg(F.array(*rates).alias("rates")).select(F.inline("rates"))
 
 
 # --- generated datasets -----------------------------------------------------

@@ -123,19 +123,35 @@ def compare_runs(
 OUTCOMES = {"quality": QUALITY_METRICS, "classification": CLASSIFICATION_METRICS, "regression": REGRESSION_METRICS}
 
 
+def _own_metrics(outcome: str) -> set[str]:
+    """Metrics that only this kind of result has; those of several kinds do not tell which kind was logged."""
+    others = {m for o, metrics in OUTCOMES.items() if o != outcome for m in metrics}
+    return OUTCOMES[outcome].keys() - others
+
+
 def same_outcome(metrics: Iterable[str]) -> Column:
     """Over the rows of a comparison: whether all of these metrics agree; null if none was logged."""
     return F.bool_and(F.when(F.col("metric").isin(*metrics), F.col("same")))
 
 
 def outcome_verdicts(comparison: DataFrame) -> DataFrame:
-    """outcome, same, metrics: whether two runs came to the same result, by kind of result."""
+    """outcome, same, metrics: whether two runs came to the same result, by kind of result.
+
+    A kind without a metric of its own was not logged: null, and no metrics.
+    """
     counted = comparison.agg(
         *[same_outcome(m).alias(f"same_{o}") for o, m in OUTCOMES.items()],
         *[F.count_if(F.col("metric").isin(*m)).alias(f"n_{o}") for o, m in OUTCOMES.items()],
+        *[F.count_if(F.col("metric").isin(*_own_metrics(o))).alias(f"own_{o}") for o in OUTCOMES],
     )
+    logged = lambda o, value: F.when(F.col(f"own_{o}") > 0, value)
     verdicts = [
-        F.struct(F.lit(o).alias("outcome"), F.col(f"same_{o}").alias("same"), F.col(f"n_{o}").alias("metrics")) for o in OUTCOMES
+        F.struct(
+            F.lit(o).alias("outcome"),
+            logged(o, F.col(f"same_{o}")).alias("same"),
+            F.coalesce(logged(o, F.col(f"n_{o}")), F.lit(0)).alias("metrics"),
+        )
+        for o in OUTCOMES
     ]
     return counted.select(F.inline(F.array(*verdicts)))
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import Snapshot, col, is_numeric, is_present, is_text, ratio
 from ..functions.draws import row_hash
 from ..sources.storage import materialise, store_for_training
-from .features import FEATURES, LABEL_INDEX, complete_rows, feature_stages, has_more_classes, label_classes, label_indexer
+from .categories import CategoryIndex, category_index, with_ranks
+from .features import (
+    ENCODINGS, FEATURES, HASH_BUCKETS, LABEL_INDEX, complete_rows, has_more_classes, label_classes, label_indexer,
+)
 from .outliers import drifted_from_number
 from .schemas import cast_to
 
@@ -69,9 +73,43 @@ def restore_types(df: DataFrame, features: FeatureColumns, reference: Snapshot |
     ) if features.restored else df
 
 
-def fit_forest(
-    training: DataFrame, label: str, features: FeatureColumns, depth: int | None, encoding: str = "index"
-) -> PipelineModel:
+class TextNumbers:
+    """Text features as numbers, for trees: one feature a column, however many values it has.
+
+    With encoding "index" the number is the value's place in its column's order by
+    frequency. The order is a stored table, not a list on the driver, and rows get
+    their numbers by a join; values it does not have come after all others. With
+    "hash" it is one of ``HASH_BUCKETS`` buckets, and nothing is stored. A tree
+    splits either order wherever it likes.
+    """
+
+    def __init__(self, rows: DataFrame, features: FeatureColumns, encoding: str):
+        if encoding not in ENCODINGS:
+            raise ValueError(f"encoding is one of {', '.join(ENCODINGS)}; {encoding!r} was given.")
+        self.features = features
+        self.names = {c: f"__number_{i}" for i, c in enumerate(features.text)}
+        self.index: CategoryIndex | None = category_index(rows, features.text) if encoding == "index" and self.names else None
+
+    def add_to(self, df: DataFrame) -> DataFrame:
+        if not self.names:
+            return df
+        if self.index is None:
+            return df.withColumns({n: F.pmod(F.xxhash64(col(c)), F.lit(HASH_BUCKETS)) for c, n in self.names.items()})
+        numbered = with_ranks(df, self.index, self.names)
+        return numbered.withColumns({n: F.coalesce(n, F.lit(self.index.sizes[c])) for c, n in self.names.items()})
+
+    @property
+    def inputs(self) -> list[str]:
+        """The features of rows with numbers."""
+        return [*self.features.numeric, *self.names.values()]
+
+    def drop(self) -> None:
+        """Delete the order. Frames with numbers must be stored before."""
+        if self.index is not None:
+            self.index.drop()
+
+
+def fit_forest(training: DataFrame, label: str, numbers: TextNumbers, depth: int | None) -> PipelineModel:
     forest = RandomForestClassifier(
         featuresCol=FEATURES,
         labelCol=LABEL_INDEX,
@@ -83,8 +121,7 @@ def fit_forest(
     )
     if depth is not None:
         forest.setMaxDepth(depth)
-    stages = [label_indexer(label), *feature_stages(features.numeric, features.text, encoding), forest]
-    return Pipeline(stages=stages).fit(training)
+    return Pipeline(stages=[label_indexer(label), VectorAssembler(inputCols=numbers.inputs, outputCol=FEATURES), forest]).fit(training)
 
 
 def with_confidence(predictions: DataFrame) -> DataFrame:
@@ -129,21 +166,25 @@ def estimate_label_noise(
         return NoiseEstimate(rows, features=features)
     if has_more_classes(training, label, max_classes):
         return NoiseEstimate(rows, features=features, too_many_classes=True)
-    stored = store_for_training(training)
+    numbers = TextNumbers(training, features, encoding)
     try:
-        counts = _disagreements(_scored(stored.df, label, features, encoding, folds), threshold)
+        stored = store_for_training(numbers.add_to(training).select(*map(col, [*numbers.inputs, label])))
+    finally:
+        numbers.drop()
+    try:
+        counts = _disagreements(_scored(stored.df, label, numbers, folds), threshold)
     finally:
         stored.drop()
     return NoiseEstimate(rows, counts["suspected"], counts["average"], counts["low"], features)
 
 
-def _scored(rows: DataFrame, label: str, features: FeatureColumns, encoding: str, folds: int) -> list[DataFrame]:
+def _scored(rows: DataFrame, label: str, numbers: TextNumbers, folds: int) -> list[DataFrame]:
     if folds == 1:
-        return [with_confidence(fit_forest(rows, label, features, NOISE_DEPTH, encoding).transform(rows))]
+        return [with_confidence(fit_forest(rows, label, numbers, NOISE_DEPTH).transform(rows))]
     dealt = rows.withColumn(_FOLD, F.pmod(row_hash(rows, SEED), F.lit(folds)))
     scored = []
     for fold in range(folds):
-        model = fit_forest(dealt.filter(F.col(_FOLD) != fold), label, features, NOISE_DEPTH, encoding)
+        model = fit_forest(dealt.filter(F.col(_FOLD) != fold), label, numbers, NOISE_DEPTH)
         scored.append(with_confidence(model.transform(dealt.filter(F.col(_FOLD) == fold))))
     return scored
 
@@ -217,24 +258,28 @@ def impute_labels(
     training = df.filter(has_label & complete).select(*map(col, [*features.all, label]))
     if has_more_classes(training, label, max_classes):
         return LabelFill(df, MANY_CLASSES, training_rows, candidates)
-    stored = store_for_training(training)
+    numbers = TextNumbers(training, features, encoding)
     try:
-        model = fit_forest(stored.df, label, features, None, encoding)
+        stored = store_for_training(numbers.add_to(training).select(*map(col, [*numbers.inputs, label])))
+        try:
+            model = fit_forest(stored.df, label, numbers, None)
+        finally:
+            stored.drop()
+        classes = label_classes(model)
+        if not classes:
+            return LabelFill(df, NO_CLASSES, training_rows, candidates)
+        open_rows = ~has_label & complete
+        names = F.array(*[F.lit(c) for c in classes])
+        chosen = F.when(
+            F.col(_CONFIDENCE) >= confidence,
+            F.element_at(names, (F.col(_PREDICTION) + 1).cast("int")),
+        ).cast(df.schema[label].dataType)
+        # The indexer skips rows without a label, so candidates carry a stand-in.
+        stand_in = numbers.add_to(df.filter(open_rows).withColumn(label, F.lit(classes[0])))
+        predicted = with_confidence(model.transform(stand_in)).withColumn(label, chosen)
+        predicted = materialise(predicted.select(*map(col, df.columns)), "imputed").df
     finally:
-        stored.drop()
-    classes = label_classes(model)
-    if not classes:
-        return LabelFill(df, NO_CLASSES, training_rows, candidates)
-    open_rows = ~has_label & complete
-    names = F.array(*[F.lit(c) for c in classes])
-    chosen = F.when(
-        F.col(_CONFIDENCE) >= confidence,
-        F.element_at(names, (F.col(_PREDICTION) + 1).cast("int")),
-    ).cast(df.schema[label].dataType)
-    # The indexer skips rows without a label, so candidates carry a stand-in.
-    stand_in = df.filter(open_rows).withColumn(label, F.lit(classes[0]))
-    predicted = with_confidence(model.transform(stand_in)).withColumn(label, chosen)
-    predicted = materialise(predicted.select(*map(col, df.columns)), "imputed").df
+        numbers.drop()
     imputed = predicted.agg(F.count(col(label))).first()[0]
     repaired = df.filter(~open_rows).unionByName(predicted)
     return LabelFill(repaired, None, training_rows, candidates, imputed)

@@ -17,6 +17,8 @@ from .columns import col, needs_canonical_form
 _DIGITS = 8
 _SPAN = float(16**_DIGITS)
 _RANK_DIGITS = 15
+#: A rank key is less than this.
+RANKS = 16**_RANK_DIGITS
 
 
 def _digest(seed: int, identity: Sequence[Column]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..sources.storage import StoredTable, materialise
 from .evaluation import DataQualityEvaluator, build_opex_metrics
 from .policy import RepairPolicy
-from .profiler import DataProfiler
+from .profiler import DataProfiler, profile_after
 from .repair import RepairEngine
 
 
@@ -87,7 +87,10 @@ class CleaningCycle:
         cleaned_df = stored.df if stored else repaired.cleaned_df
         repair_seconds = lap()
         try:
-            cleaned = self.profiler.profile(cleaned_df, **context)
+            if stored:
+                cleaned = profile_after(self.profiler, raw, cleaned_df, repaired.rewritten, **context)
+            else:
+                cleaned = self.profiler.profile(cleaned_df, **context)
         except BaseException:
             if stored:
                 stored.drop()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from copy import deepcopy
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.errors import IllegalArgumentException
@@ -31,6 +33,27 @@ _MEASURES = 300
 _WHOLE_ROW, _LABEL, _COMPOSITE = "\0row", "\0label", "\0composite"
 
 
+@dataclass(frozen=True)
+class Carried:
+    """An earlier profile of the same rows, and the columns whose values have changed since.
+
+    It was made by a profiler of the same settings, with the same keys, label and
+    reference schema. The rows themselves must be the same, in any order: what
+    holds of a column that has not changed then still holds.
+    """
+
+    report: Mapping[str, Any]
+    changed: frozenset[str] = frozenset()
+
+    def same_columns(self, df: DataFrame) -> set[str]:
+        """The columns of a table whose values and type are those of the earlier profile."""
+        before, now = self.report["schema"], snapshot(df.schema)
+        return {
+            c for c, field in now.items()
+            if c not in self.changed and c in before and before[c]["data_type"] == field["data_type"]
+        }
+
+
 class DataProfiler:
     """Measures six quality dimensions of a DataFrame without changing it.
 
@@ -77,15 +100,25 @@ class DataProfiler:
         key_columns: Sequence[str] | None = None,
         reference_schema: T.StructType | Mapping | None = None,
         label_col: str | None = None,
+        carried: Carried | None = None,
     ) -> Report:
-        """The nested report: sizes, schema, and one section per dimension."""
+        """The nested report: sizes, schema, and one section per dimension.
+
+        With ``carried`` only columns that changed are scanned, and keys, labels and
+        whole rows that hold one of them; the report is that of a profile without it.
+        """
         reference = as_snapshot(reference_schema)
         keys = list(key_columns or [])
+        same = carried.same_columns(df) if carried and carried.report["row_count"] else set()
+        earlier = carried.report if same else {}
         values = numeric_values(df, reference if self.restore_drifted_types else None)
-        basics = self._scan_basics(df, values)
+        known = {n: earlier["outliers"][n] for n in values if n in same and n in earlier["outliers"]}
+        fresh = {n: v for n, v in values.items() if n not in known}
+        basics = self._scan_basics(df, fresh, self._known_basics(df, same, earlier))
         rows = basics["rows"]
-        fences = self._fences(df, values, basics) if rows else {}
-        census = self._census(df, keys, label_col) if rows else {}
+        fences = self._fences(df, fresh, basics) if rows else {}
+        census = self._census(df, keys, label_col, self._known_groups(df, same, earlier)) if rows else {}
+        found = self._outliers(df, rows, fresh, fences) | deepcopy(known)
         current = snapshot(df.schema)
         return {
             "row_count": rows,
@@ -93,17 +126,53 @@ class DataProfiler:
             "schema": current,
             "missingness": self._missingness(df, basics) if rows else {},
             "duplicates": self._duplicates(df, rows, keys, census),
-            "outliers": self._outliers(df, rows, values, fences),
+            "outliers": {n: found[n] for n in values if n in found},
             "skew": self._skew(df, keys, census),
             "schema_drift": drift_report(current, reference),
-            "label_noise": self._labels(df, label_col, basics, census, reference),
+            "label_noise": deepcopy(earlier["label_noise"])
+            if earlier and _is_whole(df, same, earlier) and earlier["label_noise"].get("label_col") == label_col
+            else self._labels(df, label_col, basics, census, reference),
         }
 
-    def _scan_basics(self, df: DataFrame, values: Mapping[str, Column]) -> dict[str, Any]:
-        """Row count, missing counts and quantile sketches from one scan."""
+    @staticmethod
+    def _known_basics(df: DataFrame, same: set[str], earlier: Mapping[str, Any]) -> dict[str, Any]:
+        """Row count and missing counts of the columns that are the same."""
+        if not same:
+            return {}
+        known = {"rows": earlier["row_count"]}
+        for i, f in enumerate(df.schema.fields):
+            if f.name in same:
+                entry = earlier["missingness"][f.name]
+                nans = entry.get("nan_count", 0)
+                known |= {f"null_{i}": entry["missing_count"] - nans, f"nan_{i}": nans}
+        return known
+
+    @staticmethod
+    def _known_groups(df: DataFrame, same: set[str], earlier: Mapping[str, Any]) -> dict[str, Any]:
+        """Group counts of keys, label and whole rows that hold same columns only."""
+        if not same:
+            return {}
+        groups: dict[str, Any] = {}
+        of_keys, composite = earlier["duplicates"]["by_key"], earlier["duplicates"]["composite_key"]
+        for key, entry in of_keys.items():
+            if key in same:
+                groups[key] = {**entry, **earlier["skew"][key]}
+        together = composite.get("valid_key_columns", [])
+        if "duplicate_group_count" in composite and set(together) <= same:
+            groups[_COMPOSITE, tuple(dict.fromkeys(together))] = composite
+        label = earlier["label_noise"]
+        if label.get("label_col") in same:
+            groups[_LABEL, label["label_col"]] = {"group_count": label["distinct_label_count"]}
+        if _is_whole(df, same, earlier):
+            groups[_WHOLE_ROW] = earlier["duplicates"]["exact"]["duplicate_count"]
+        return groups
+
+    def _scan_basics(self, df: DataFrame, values: Mapping[str, Column], known: Mapping[str, Any]) -> dict[str, Any]:
+        """Row count, missing counts and quantile sketches from one scan, but for what is known."""
         shares = quantiles.around(_QUARTILES) if self.exact_quantiles else _QUARTILES
         measures = {"rows": Measure(F.count(F.lit(1)))}
         measures |= {name: count_where(test) for name, test in missing_tests(df).items()}
+        measures = {name: m for name, m in measures.items() if name not in known}
         counts = {name: [F.col(name)] for name in measures}
         for i, value in enumerate(values.values()):
             measures[f"s{i}"] = sketch(value)
@@ -111,7 +180,7 @@ class DataProfiler:
                 F.kll_sketch_get_n_double(f"s{i}").alias(f"n{i}"),
                 quantiles.from_sketch(f"s{i}", shares).alias(f"q{i}"),
             ]
-        names, basics = list(measures), {}
+        names, basics = list(measures), dict(known)
         for k in range(0, len(names), _MEASURES):
             part = names[k : k + _MEASURES]
             chosen = [c for name in part for c in counts[name]]
@@ -167,14 +236,24 @@ class DataProfiler:
             } | ({} if fence.repairable else {"message": ZERO_IQR_MESSAGE})
         return report
 
-    def _census(self, df: DataFrame, keys: Sequence[str], label: str | None) -> dict[str, Any]:
-        """All group counts the report needs, from one job."""
+    def _census(self, df: DataFrame, keys: Sequence[str], label: str | None, carried: Mapping[Any, Any]) -> dict[str, Any]:
+        """All group counts the report needs, from one job, but for those that are carried over."""
         known = [k for k in dict.fromkeys(keys) if k in df.columns]
-        sets = {k: [k] for k in known}
+        sets = {k: [k] for k in known if k not in carried}
+        kept = {k: carried[k] for k in known if k in carried}
         if len(known) >= 2:
-            sets[_COMPOSITE] = known
+            if (_COMPOSITE, tuple(known)) in carried:
+                kept[_COMPOSITE] = carried[_COMPOSITE, tuple(known)]
+            else:
+                sets[_COMPOSITE] = known
         if label is not None and label in df.columns:
-            sets[_LABEL] = [label]
+            if (_LABEL, label) in carried:
+                kept[_LABEL] = carried[_LABEL, label]
+            else:
+                sets[_LABEL] = [label]
+        if _WHOLE_ROW in carried:
+            kept[_WHOLE_ROW] = carried[_WHOLE_ROW]
+            return kept | ({r["key_set"]: r for r in dup.group_census(df, sets).collect()} if sets else {})
         table = df
         by_fingerprint = dup.can_fingerprint(df)
         if by_fingerprint:
@@ -186,7 +265,7 @@ class DataProfiler:
             counted[_WHOLE_ROW] = dup.exact_duplicate_count(df, suspects)
         else:
             counted[_WHOLE_ROW] = dup.exact_duplicates(df).first()["duplicate_count"]
-        return counted
+        return kept | counted
 
     def _duplicates(self, df: DataFrame, rows: int, keys: Sequence[str], census) -> Report:
         exact = _duplicate_entry(census.get(_WHOLE_ROW, 0), rows)
@@ -300,6 +379,25 @@ class DataProfiler:
         }
 
 
+def profile_after(
+    profiler: DataProfiler, report: Mapping[str, Any], table: DataFrame, changed: frozenset[str], **context: Any
+) -> Report:
+    """Profile a stored table that a repair has made of a profiled one.
+
+    A repair rewrites the named columns and may drop rows, but makes no new ones. So
+    if there are as many rows as before they are the same, and only those columns are
+    scanned. Counting the rows of a stored table reads the footers of its files.
+    """
+    if report["row_count"] and table.count() == report["row_count"]:
+        return profiler.profile(table, **context, carried=Carried(report, changed))
+    return profiler.profile(table, **context)
+
+
+def _is_whole(df: DataFrame, same: set[str], earlier: Mapping[str, Any]) -> bool:
+    """Whether a table has the columns of the earlier one and all are the same."""
+    return same == set(df.columns) == set(earlier["schema"])
+
+
 def _duplicate_entry(count: int, rows: int) -> Report:
     share = count / rows if rows else 0.0
     return {

@@ -29,6 +29,7 @@ Action = dict[str, Any]
 class RepairResult:
     cleaned_df: DataFrame
     actions: list[Action] = field(default_factory=list)
+    rewritten: frozenset[str] = frozenset()
 
     def actions_frame(self, spark: SparkSession | None = None) -> DataFrame:
         """The actions as a table: what was done, to which column, with what."""
@@ -100,13 +101,14 @@ class RepairEngine:
         if policy.label_imputation == "model":
             cleaned, done = _repair_labels(cleaned, policy, label_col, profile_report.get("label_noise", {}))
             actions = actions + done
+            plan.rewritten |= {label_col} if done and label_col is not None else set()
         cleaned, done = _repair_duplicates(cleaned, policy, profile_report, key_columns, plan)
         actions = actions + done
         cleaned, done = _repair_layout(
             cleaned, policy, profile_report.get("skew", {}), facts.plan.frame(df),
             None if plan.filters else profile_report.get("row_count"),
         )
-        return RepairResult(cleaned, actions + done)
+        return RepairResult(cleaned, actions + done, frozenset(plan.rewritten))
 
 
 def _plan_schema(plan: _Plan, policy: RepairPolicy, drift: Mapping[str, Any], reference: Snapshot) -> None:

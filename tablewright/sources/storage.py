@@ -10,12 +10,16 @@ from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.columns import col, is_binary_text
 from ..functions.draws import row_hash
 
 _SETTING = "spark.checkpoint.dir"
 #: Training rows go to a partition for each so many rows, up to the given number, and to more only for many more rows.
 _ROWS_A_PARTITION, _SMALL_PARTITIONS, _MANY_ROWS_A_PARTITION = 10_000, 64, 1_000_000
+#: Copies of a training row stay together in runs of so many.
+_COPIES_TOGETHER = 256
 
 
 @cache
@@ -74,15 +78,26 @@ def store_for_training(df: DataFrame, partitions: int | None = None) -> StoredTa
 
     A forest depends on which rows share a partition and in what order. Rows go to
     partitions by their hash and are sorted by it there, so equal tables give equal
-    models whatever the session's settings and the input's layout. The number of
-    partitions follows the number of rows. Files are read back in no fixed order, so
-    this is done on reading; the learners keep what they read.
+    models whatever the session's settings and the input's layout. Equal rows are
+    stored once with their number; runs of copies after the first are placed by hash
+    and number of the run, so that few different rows fill all partitions alike. The
+    number of partitions follows the number of rows. Files are read back in no fixed
+    order, so this is done on reading; the learners keep what they read.
     """
-    mark = "__row_hash"
-    stored = materialise(df.withColumn(mark, row_hash(df)), "training")
-    partitions = partitions or training_partitions(stored.df.count())
-    placed = stored.df.repartition(partitions, mark).sortWithinPartitions(mark).drop(mark)
-    return StoredTable(stored.path, placed)
+    mark, copies, part = "__row_hash", "__copies", "__part"
+    plain = df.select(*[
+        (col(f.name) if is_binary_text(f.dataType) else F.collate(col(f.name), "UTF8_BINARY")).alias(f.name) for f in df.schema.fields])
+    names = [col(c) for c in plain.columns]
+    counted = plain.groupBy(*names).agg(F.count(F.lit(1)).alias(copies))
+    stored = materialise(counted.withColumn(mark, row_hash(plain)), "training")
+    partitions = partitions or training_partitions(stored.df.agg(F.sum(copies)).first()[0] or 0)
+    last = F.floor((F.col(copies) - 1) / _COPIES_TOGETHER)
+    runs = stored.df.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias(part))
+    place = F.when(F.col(part) == 0, F.col(mark)).otherwise(F.xxhash64(mark, part))
+    placed = runs.repartition(partitions, place).sortWithinPartitions(mark, part)
+    size = F.least(F.lit(_COPIES_TOGETHER), F.col(copies) - F.col(part) * _COPIES_TOGETHER).cast("int")
+    single = placed.select(*names, F.explode(F.array_repeat(F.lit(True), size)).alias("__copy")).drop("__copy")
+    return StoredTable(stored.path, single)
 
 
 def write_and_read(df: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import labels
+from tablewright.sources.storage import store_for_training
 
 
 def many_values(spark, rows=60_000, partitions=4):
@@ -54,3 +55,19 @@ def test_labels_are_imputed_for_values_not_seen_in_training(spark):
 def test_unknown_encoding_is_refused(spark):
     with pytest.raises(ValueError):
         labels.estimate_label_noise(many_values(spark, 300), "label", encoding="guess")
+
+
+def test_copies_of_few_rows_fill_all_training_partitions(spark):
+    kind = F.concat(F.lit("k"), F.col("id") % 5)
+    few = spark.range(100_000).select(kind.alias("text"), (F.col("id") % 5).cast("double").alias("x"))
+    layouts = []
+    for df in (few, few.repartition(7)):
+        stored = store_for_training(df, 16)
+        sizes = stored.df.groupBy(F.spark_partition_id().alias("p"), "text", "x").count()
+        layouts.append(sorted(tuple(r) for r in sizes.collect()))
+        stored.drop()
+    of_part = {p: sum(n for q, _, _, n in layouts[0] if q == p) for p, *_ in layouts[0]}
+    assert layouts[0] == layouts[1] and len(of_part) == 16
+    assert sum(of_part.values()) == 100_000 and max(of_part.values()) < 12_500
+    texts = {t: sum(n for _, u, _, n in layouts[0] if u == t) for _, t, _, _ in layouts[0]}
+    assert texts == {f"k{i}": 20_000 for i in range(5)}

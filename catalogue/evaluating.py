@@ -413,10 +413,20 @@ _COMPARED = {
 }
 
 
-def _logged_pair(spark, folder):
+def _logged(spark, folder, policies):
+    """A log and the ids of its runs, one cycle a policy; all are over one stored table, which is profiled once."""
     log = ExperimentLogger(f"{shared_folder(spark)}/runs-{uuid4().hex}", spark)
-    automatic, by_hand = _cycle(spark, folder), _cycle(spark, folder, _BY_HAND)
-    return log, log.log_run("orders_auto", automatic), log.log_run("orders_manual", by_hand)
+    df, schema = stored_orders(spark, folder), table(spark, folder, "orders").schema
+    runs_of, raw = [], None
+    for name, policy in policies.items():
+        with CleaningCycle(EXACT, repair_policy=policy).run(df, KEYS, schema, LABEL, raw) as result:
+            raw = result.raw_profile
+            runs_of.append(log.log_run(name, result))
+    return log, *runs_of
+
+
+def _logged_pair(spark, folder):
+    return _logged(spark, folder, {"orders_auto": POLICY, "orders_manual": _BY_HAND})
 
 
 @query(
@@ -495,8 +505,7 @@ def run_verdicts(spark, folder):
 )
 def run_summary(spark, folder):
     """The quality table of a log with three runs, the last one a repetition of the first."""
-    log, _, _ = _logged_pair(spark, folder)
-    log.log_run("orders_again", _cycle(spark, folder))
+    log, *_ = _logged(spark, folder, {"orders_auto": POLICY, "orders_manual": _BY_HAND, "orders_again": POLICY})
     names = log.read().select("run_id", "run_name").distinct()
     return log.summary("data_quality").join(names, "run_id").select(
         "run_name", "missingness_raw", "missingness_cleaned", "row_count_raw", "row_count_cleaned", "schema_drift_detected")

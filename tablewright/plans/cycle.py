@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from copy import deepcopy
 from dataclasses import dataclass
 from time import perf_counter
 from typing import Any
@@ -68,7 +69,14 @@ class CleaningCycle:
         key_columns: Sequence[str] | None = None,
         reference_schema: T.StructType | Mapping | None = None,
         label_col: str | None = None,
+        raw_profile: Mapping[str, Any] | None = None,
     ) -> CleaningResult:
+        """Profile, repair, profile again, evaluate.
+
+        ``raw_profile`` is a profile of this very table by the same profiler, keys,
+        label and reference schema, as an earlier cycle over it has made one; the
+        table is then not profiled again before the repair.
+        """
         marks = [perf_counter()]
 
         def lap() -> float:
@@ -80,7 +88,7 @@ class CleaningCycle:
             "reference_schema": reference_schema,
             "label_col": label_col,
         }
-        raw = self.profiler.profile(df, **context)
+        raw = self.profiler.profile(df, **context) if raw_profile is None else deepcopy(dict(raw_profile))
         raw_seconds = lap()
         repaired = self.repair_engine.repair(df, raw, **context)
         stored = materialise(repaired.cleaned_df, "cleaned") if self.materialise_cleaned else None

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from statistics import fmean, pstdev
 from typing import Any
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -24,7 +24,7 @@ from ..operators.labels import MAX_LABEL_CLASSES
 from ..sources.storage import StoredTable, materialise
 
 Metrics = dict[str, Any]
-_PREDICTION = "prediction"
+_PREDICTION, _WEIGHT = "prediction", "__weight"
 _MAX_ITERATIONS, _TOLERANCE = 50, 1e-6
 _SPLITS_AT_ONCE = 60
 
@@ -98,9 +98,11 @@ class _Comparison:
         self.id_columns = list(id_columns)
 
     def compare(
-        self, raw_df: DataFrame, cleaned_df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str]
+        self, raw_df: DataFrame, cleaned_df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str],
+        raw_metrics: Metrics | None = None,
     ) -> MLEvaluationResult:
-        raw = self.evaluate_one(raw_df, label, numeric, categorical)
+        """Scores of both tables; ``raw_metrics`` are those of this raw table from an earlier comparison with the same arguments."""
+        raw = self.evaluate_one(raw_df, label, numeric, categorical) if raw_metrics is None else raw_metrics
         cleaned = raw if cleaned_df is raw_df else self.evaluate_one(cleaned_df, label, numeric, categorical)
         return MLEvaluationResult(raw, cleaned, metric_deltas(raw, cleaned, self.metric_names))
 
@@ -161,12 +163,15 @@ class _Comparison:
     def _fit_and_score(self, rows, label, numeric, categorical, split: int) -> Metrics:
         features = [] if self.encoding == "index" else feature_stages(numeric, categorical, self.encoding, self.hash_buckets)
         train, test = rows.filter(moments.trains(split)), rows.filter(~moments.trains(split))
-        predictions = materialise(Pipeline(stages=self._stages(label, features)).fit(train).transform(test), "predictions")
+        predictions = materialise(self._fit(train, label, features, bool(numeric)).transform(test), "predictions")
         try:
             return self._score(predictions.df, label)
         finally:
             predictions.drop()
 
+    def _fit(self, train: DataFrame, label: str, features: list, numbers: bool) -> PipelineModel:
+        return Pipeline(stages=self._stages(label, features)).fit(train)
+
     def _stages(self, label: str, features: list) -> list:
         raise NotImplementedError
 
@@ -216,6 +221,15 @@ class SparkMLClassificationEvaluator(_Comparison):
         )
         return [label_indexer(label), *features, model]
 
+    def _fit(self, train: DataFrame, label: str, features: list, numbers: bool) -> PipelineModel:
+        """Where all features are numbered text, equal rows are one with their number as weight: the same likelihood, few rows a step."""
+        if numbers or features:
+            return super()._fit(train, label, features, numbers)
+        indexer, model = self._stages(label, features)
+        named = indexer.fit(train)
+        groups = named.transform(train).groupBy(LABEL_INDEX, FEATURES).agg(F.count(F.lit(1)).cast("double").alias(_WEIGHT))
+        return PipelineModel([named, model.setWeightCol(_WEIGHT).fit(groups)])
+
     def class_probabilities(
         self, df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], carried: Sequence[str] = ()
     ) -> DataFrame:
@@ -229,7 +243,7 @@ class SparkMLClassificationEvaluator(_Comparison):
             vectors = sparse_vectors(rows, numeric, index, list(dict.fromkeys([label, *carried])), FEATURES)
         finally:
             index.drop()
-        model = Pipeline(stages=self._stages(label, [])).fit(vectors.df)
+        model = self._fit(vectors.df, label, [], bool(numeric))
         chances = vector_to_array(F.col("probability"))
         each = [F.struct(F.lit(c).alias("class"), chances[i].alias("probability")) for i, c in enumerate(label_classes(model))]
         return model.transform(vectors.df).select(*map(col, carried), F.inline(F.array(*each)))
@@ -260,8 +274,9 @@ class SparkMLRegressionEvaluator(_Comparison):
         label_col: str,
         numeric_cols: Sequence[str],
         categorical_cols: Sequence[str],
+        raw_metrics: Metrics | None = None,
     ) -> MLEvaluationResult:
-        return self.compare(raw_df, cleaned_df, label_col, numeric_cols, categorical_cols)
+        return self.compare(raw_df, cleaned_df, label_col, numeric_cols, categorical_cols, raw_metrics)
 
     def _stages(self, label: str, features: list) -> list:
         model = LinearRegression(

@@ -7,6 +7,7 @@ quantities of ``lineitem`` of which one in twenty is replaced by 1000.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 from uuid import uuid4
 
@@ -52,18 +53,25 @@ def _damaged(spark, folder):
     return materialise(inject.constant_outliers(lines, _X, _WRONG, _RATE, ids=_IDS), "lines").df
 
 
-def _cycle(df: DataFrame, label: str, policy: RepairPolicy | None = None):
-    return CleaningCycle(repair_policy=policy or RepairPolicy()).run(df, label_col=label)
+def _cycle(df: DataFrame, label: str, policy: RepairPolicy | None = None, raw_profile: Mapping | None = None):
+    return CleaningCycle(repair_policy=policy or RepairPolicy()).run(df, label_col=label, raw_profile=raw_profile)
 
 
-def _log_regression(log: ExperimentLogger, name: str, df: DataFrame, policy: RepairPolicy | None = None) -> str:
-    """A cycle, a line fitted on both sides of it, what it found of the damage, and a report, as one run."""
-    with _cycle(df, _Y, policy) as result:
-        evaluator = SparkMLRegressionEvaluator(seed=_SEED, validation_folds=2, id_columns=_IDS)
-        models = evaluator.evaluate_linear_regression(df, result.cleaned_df, _Y, [_X], [])
-        report = EvaluationReportBuilder().build(result, models, *_BASELINE)
-        found = compute_detection_accuracy({"outliers": {"column": _X, "rate": _RATE}}, result.raw_profile)
-        return log.log_run(name, result, result.repair_policy, {"detection_accuracy": found}, models, report)
+def _log_regressions(log: ExperimentLogger, df: DataFrame, policies: Mapping[str, RepairPolicy | None]) -> list[str]:
+    """A run for each policy: a cycle, a line fitted on both sides of it, what it found of the damage, and a report.
+
+    All are over one stored table, whose profile and scores are those of the first run.
+    """
+    logged, raw, scores = [], None, None
+    for name, policy in policies.items():
+        with _cycle(df, _Y, policy, raw) as result:
+            evaluator = SparkMLRegressionEvaluator(seed=_SEED, validation_folds=2, id_columns=_IDS)
+            models = evaluator.evaluate_linear_regression(df, result.cleaned_df, _Y, [_X], [], scores)
+            raw, scores = result.raw_profile, models.raw_metrics
+            report = EvaluationReportBuilder().build(result, models, *_BASELINE)
+            found = compute_detection_accuracy({"outliers": {"column": _X, "rate": _RATE}}, raw)
+            logged.append(log.log_run(name, result, result.repair_policy, {"detection_accuracy": found}, models, report))
+    return logged
 
 
 def _new_log(spark) -> ExperimentLogger:
@@ -154,8 +162,7 @@ def _rounded(value, metric) -> F.Column:
 def logged_model_summaries(spark, folder):
     """The regression, detection and effort tables of a log with a run that caps outliers and one that keeps them."""
     log, damaged = _new_log(spark), _damaged(spark, folder)
-    _log_regression(log, "lines_auto", damaged)
-    _log_regression(log, "lines_kept", damaged, _KEPT)
+    _log_regressions(log, damaged, {"lines_auto": None, "lines_kept": _KEPT})
     rows = reduce(DataFrame.unionByName, [_summary_rows(log, t) for t in ("regression", "detection", "effort")])
     seconds = F.col("metric").isin("seconds_saved", "cycle_seconds")
     balance = rows.filter(seconds).groupBy("run_name", "summary").agg(F.sum("value").alias("value"))
@@ -178,9 +185,9 @@ _LEFT = f"(SELECT count(*) FROM cleaned WHERE {beyond('x', 'h')}) = (SELECT coun
 def logged_model_verdicts(spark, folder):
     """A run against one by another policy and against its own repetition: the same quality, the same models?"""
     log, damaged = _new_log(spark), _damaged(spark, folder)
-    first = _log_regression(log, "lines_auto", damaged)
-    others = {"lines_kept": _log_regression(log, "lines_kept", damaged, _KEPT), "lines_again": _log_regression(log, "lines_again", damaged)}
-    found = [log.verdicts(first, run).select(F.lit(name).alias("against"), "outcome", "same") for name, run in others.items()]
+    first, *others = _log_regressions(log, damaged, {"lines_auto": None, "lines_kept": _KEPT, "lines_again": None})
+    named = zip(("lines_kept", "lines_again"), others)
+    found = [log.verdicts(first, run).select(F.lit(name).alias("against"), "outcome", "same") for name, run in named]
     return reduce(DataFrame.unionByName, found)
 
 

@@ -13,14 +13,18 @@ of the 35 buckets "these three blocks have these values". A bucket fixes 27 or
   narrower buckets each. These leave at most 20 bits open, so none can have
   more than 2^20 fingerprints (8 MB).
 
-Texts that share four fifths of their shingles differ in about ten bits, and a
-pigeonhole for so many leaves buckets of a few bits. ``drop_near_duplicates``
-therefore takes candidates from bands of shingle minima and compares their
-shingle sets in full; fingerprints have no part in it.
+Texts that share four fifths of their shingles differ in about ten bits of 64, and
+a pigeonhole for so many leaves buckets of a few bits. ``drop_near_duplicates``
+therefore takes wider fingerprints: 192 bits and more, of the sets of shingles,
+each shingle with votes of its own weight for each bit. Blocks of 12 bits and more
+are the buckets, so many of them that a pair is lost as rarely as stated at
+``_LOST``; in a bucket fingerprints link by their distance over 192 bits, and
+shingle sets are compared in full in the components of these links, each set once.
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterable, Iterator
 from itertools import combinations
@@ -37,10 +41,15 @@ from tablewright.llm.shared import lower_words, row_keys, stored, texts
 DISTANCE = 4
 SEED = 42
 _SMALL = 8
-#: Bands of minima: a pair with Jaccard 0.8 shares none with a chance of (1 - 0.8^5)^24, 1 in 13,800.
-_BANDS, _MINIMA = 24, 5
+#: Longs of a wide fingerprint that are compared, and the differing bits at which they link. A pair with Jaccard 0.8
+#: differs in 29 of 192 on the average (standard deviation 5), unrelated texts in 96 (7).
+_LONGS, _WIDE_DISTANCE = 3, 50
+#: The chance that such a pair shares no block, and the share of bits in which it differs: its angle over pi.
+_LOST, _DIFFERING = 1 / 13_800, 0.1515
+#: Rows a bucket aimed at; blocks are of 12 bits at least.
+_ROWS, _LEAST_BITS = 512, 12
 _DRAW = np.random.Generator(np.random.PCG64(SEED))
-_TIMES, _PLUS = (_DRAW.integers(0, 1 << 64, _BANDS * _MINIMA, np.uint64) for _ in range(2))
+_TIMES, _PLUS = (_DRAW.integers(0, 1 << 64, 1024, np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
 
 
@@ -262,21 +271,30 @@ def hex_digits(mark: Column) -> Column:
     return F.lpad(F.lower(F.hex(mark)), 16, "0")
 
 
-def _bands(shingles: np.ndarray) -> list[int]:
-    """A hash of the minima of each band under its own permutations; none for no shingles."""
-    if not len(shingles):
-        return []
-    parts = [((shingles[k : k + 4096, None] ^ _PLUS) * _TIMES).min(axis=0) for k in range(0, len(shingles), 4096)]
-    minima = np.min(parts, axis=0).reshape(_BANDS, _MINIMA)
-    return [_signed(xxhash.xxh64_intdigest(m.tobytes(), k)) for k, m in enumerate(minima)]
+def _block_sizes(rows: int) -> tuple[int, int]:
+    """Bits of a block and number of blocks for so many fingerprints."""
+    bits = max(_LEAST_BITS, math.ceil(math.log2(max(rows, 1) / _ROWS)))
+    return bits, math.ceil(math.log(_LOST) / math.log1p(-((1 - _DIFFERING) ** bits)))
+
+
+def wide_fingerprint(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """SimHash of a set of shingles with a byte as each shingle's vote for a bit; ``bits`` is a multiple of 64."""
+    plus, times = _PLUS[: bits // 8], _TIMES[: bits // 8]
+    total = np.full(bits, len(shingles), np.int64)
+    for k in range(0, len(shingles), 64):
+        votes = shingles[k : k + 64, None] ^ plus
+        votes *= times
+        votes ^= votes >> np.uint64(32)
+        total += 2 * votes.view(np.int8).sum(axis=0, dtype=np.int32)
+    return np.packbits(total > 0, bitorder="little").view("<u8")
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _set_rows(width: int, whole: bool):
-    """Reads rows whose last column is a text; adds its set's hash, and the bands or the set itself in its place."""
+def _set_rows(width: int, bits: int | None):
+    """Reads rows whose last column is a text; gives its set's hash and, in its place, the set's wide fingerprint or the set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,13 +303,98 @@ def _set_rows(width: int, whole: bool):
                 shingles = np.unique(_shingles(text, width))
                 data = shingles.tobytes()
                 keys.append(_signed(xxhash.xxh64_intdigest(data)))
-                found.append(data if whole else _bands(shingles))
-            added = [pa.array(keys, pa.int64()), pa.array(found, pa.binary() if whole else pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*own, *added], [*batch.schema.names[:-1], "shingle_set", "shingles" if whole else "bands"])
+                found.append(data if bits is None or not data else wide_fingerprint(shingles, bits).tobytes())
+            added = [pa.array(keys, pa.int64()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, *added], [*batch.schema.names[:-1], "shingle_set", "shingles" if bits is None else "mark"])
+
+    return run
+
+
+def _in_buckets(block: int, blocks: int, bits: int):
+    """Reads shingle_set, mark; gives bucket, shingle_set and the longs to compare, a row for each block."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.int64(1) << np.arange(block, dtype=np.int64)
+        number = np.arange(blocks, dtype=np.int64) << block
+        for batch in batches:
+            for k in range(0, len(batch), 1024):
+                part = batch.slice(k, 1024)
+                marks = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(part), bits // 8)
+                single = np.unpackbits(marks, axis=1, bitorder="little")[:, : block * blocks]
+                buckets = single.reshape(len(part), blocks, block) @ places + number
+                longs = np.ascontiguousarray(marks[:, : 8 * _LONGS]).view("<i8")
+                columns = [buckets.ravel(), *(np.repeat(v, blocks) for v in (part.column(0).to_numpy(), *longs.T))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "shingle_set", *(f"m{i}" for i in range(_LONGS))])
+
+    return run
+
+
+def _wide_search(marks: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as pairs of places, that join the fingerprints of a bucket as all close pairs would; a column of ``marks`` is one."""
+    n = marks.shape[1]
+    if n <= _ROWS:
+        left, right = np.nonzero(np.triu(np.bitwise_count(marks[:, :, None] ^ marks[:, None, :]).sum(axis=0, dtype=np.uint8) <= distance, 1))
+        if len(left) <= 4 * n:
+            return left, right
+    left, right, rest = [], [], np.arange(n)
+    while len(rest):
+        reached, rest, open_marks = [rest[0]], rest[1:], marks[:, rest[1:]]
+        while reached and len(rest):
+            at = reached.pop()
+            near = np.bitwise_count(open_marks ^ marks[:, at, None]).sum(axis=0, dtype=np.uint8) <= distance
+            if near.any():
+                found, rest, open_marks = rest[near], rest[~near], open_marks[:, ~near]
+                left.append(np.full(len(found), at))
+                right.append(found)
+                reached.extend(found)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _wide_matcher(distance: int):
+    """Reads rows sorted by bucket; gives links a, b of sets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # pieces of the bucket that the last batch ended in
+
+        def links_of(table: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            buckets, keys, marks = table[0], table[1], np.stack(table[2:]).view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+            found = [
+                (i + a, j + a) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(buckets)]) if b - a > 1
+                for i, j in (_wide_search(marks[:, a:b], distance),) if len(i)
+            ]
+            if found:
+                left, right = (keys[np.concatenate([f[k] for f in found])] for k in (0, 1))
+                pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], ["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if not len(batch):
+                continue
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            if held and (last or columns[0][0] != held[0][0][0]):
+                stop = last or 0
+                yield from links_of([np.concatenate([*(h[k] for h in held), c[:stop]]) for k, c in enumerate(columns)])
+                held = []
+            elif last:
+                yield from links_of([c[:last] for c in columns])
+            held.append([c[last:].copy() for c in columns])
+        if held:
+            yield from links_of([np.concatenate([h[k] for h in held]) for k in range(len(held[0]))])
 
     return run
 
 
+def wide_links(sets: DataFrame, block: int, blocks: int, bits: int, distance: int = _WIDE_DISTANCE) -> DataFrame:
+    """a, b: links of shingle_sets that join all whose marks share a block and differ in at most ``distance`` of 192 bits."""
+    schema = "bucket long, shingle_set long, " + ", ".join(f"m{i} long" for i in range(_LONGS))
+    rows = sets.filter(F.length("mark") > 0).select("shingle_set", "mark").mapInArrow(_in_buckets(block, blocks, bits), schema)
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(_wide_matcher(distance), "a long, b long").distinct()
+
+
 def _alike(sets: list[np.ndarray], sizes: np.ndarray, at: int, rest: np.ndarray, least: float) -> np.ndarray:
     """Which sets of ``rest`` have a Jaccard index of at least ``least`` with the set ``at``."""
     own, near = sets[at], np.zeros(len(rest), bool)
@@ -362,31 +465,33 @@ def _set_matcher(least: float, held_bytes: int):
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, least: float = 0.8, held_bytes: int = 1 << 26
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, least: float = 0.8,
+    held_bytes: int = 1 << 26, distance: int = _WIDE_DISTANCE,
 ) -> DataFrame:
     """One row of each component stays: that of the smallest id, of its texts the first by hash.
 
     Texts whose sets of ``width``-word shingles have a Jaccard index of at least
-    ``least`` are linked. Pairs are compared in full where they share a band of
-    minima; bands are laid out for 0.8, and a lower ``least`` would miss more.
-    Texts without words are alike. Rows without an id take part; one stays only
-    where its component has no id. Of rows with equal id and text any one stays.
-    ``held_bytes`` only decides where a bucket lies. Columns are those of ``docs``.
+    ``least`` are linked. Sets are compared in full where links of their wide
+    fingerprints, at most ``distance`` bits apart, join them; blocks and distance are
+    laid out for 0.8, and a lower ``least`` would miss more. Texts without words are
+    alike. Rows without an id take part; one stays only where its component has no
+    id. Of rows with equal id and text any one stays. ``held_bytes`` only decides
+    where a component's sets lie. Columns are those of ``docs``.
     """
     keys = row_keys(id_column, text_column)
+    block, blocks = _block_sizes(docs.count())
+    bits = -(-block * blocks // 64) * 64
     rows = docs.select(*(c.alias(k) for k, c in keys.items()), F.col(text_column))
-    rows = rows.mapInArrow(_set_rows(width, False), "_id long, _no_id boolean, _text long, shingle_set long, bands array<long>")
-    first = F.min(F.struct("_no_id", "_id", "_text", "bands")).alias("first")
+    rows = rows.mapInArrow(_set_rows(width, bits), "_id long, _no_id boolean, _text long, shingle_set long, mark binary")
+    first = F.min(F.struct("_no_id", "_id", "_text", "mark")).alias("first")
     sets = stored(rows.groupBy("shingle_set").agg(first).select("shingle_set", "first.*"), "shingle-sets")
-    bands = sets.select("shingle_set", F.explode("bands").alias("bucket"))
-    # Bands of the same sets are one bucket; they are known by number and hashes of their sets, not by a list.
-    same = [F.bit_xor(F.xxhash64("shingle_set", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
-    buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), *same).filter("size > 1")
-    buckets = buckets.groupBy("size", "mark1", "mark2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = stored(bands.join(buckets, "bucket"), "shingle-buckets")
-    wanted = sets.join(members.select("shingle_set").distinct(), "shingle_set", "left_semi").select(*keys)
+    near = stored(wide_links(sets, block, blocks, bits, distance), "wide-links")
+    roots = components(near).select(F.col("root").alias("bucket"), F.col("node").alias("shingle_set"))
+    own = roots.select("bucket", F.col("bucket").alias("shingle_set"))  # the smallest node of a component has no row there
+    members = stored(roots.unionByName(own).distinct(), "shingle-buckets")
+    wanted = sets.join(members.select("shingle_set"), "shingle_set", "left_semi").select(*keys)
     whole = docs.select(*(c.alias(k) for k, c in keys.items()), F.col(text_column).alias("_value")).join(wanted, list(keys), "left_semi")
-    whole = whole.select("_value").mapInArrow(_set_rows(width, True), "shingle_set long, shingles binary").dropDuplicates(["shingle_set"])
+    whole = whole.select("_value").mapInArrow(_set_rows(width, None), "shingle_set long, shingles binary").dropDuplicates(["shingle_set"])
     placed = members.join(whole, "shingle_set").select("bucket", "shingle_set", "shingles")
     placed = placed.repartition("bucket").sortWithinPartitions("bucket")
     edges = stored(placed.mapInArrow(_set_matcher(least, held_bytes), "a long, b long"), "shingle-links")

@@ -174,3 +174,43 @@ def test_stage_links_all_alike_texts(spark, folder):
     kept = [r["doc_id"] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()]
     assert sorted(kept) == sorted(plain_survivors(rows))
     assert len(kept) < len(rows)
+
+
+def test_stage_links_come_of_fingerprints(spark):
+    rows = [(2 * i + k, t) for i in range(6) for k, t in enumerate(copies_with(0.9, 60, i))]
+    kept = {d: simhash.drop_near_duplicates(documents(spark, rows), distance=d).count() for d in (-1, simhash._WIDE_DISTANCE)}
+    assert kept == {-1: 12, simhash._WIDE_DISTANCE: 6}
+
+
+@pytest.mark.parametrize("common, more, other", [(4, 1, 0), (5, 1, 0), (8, 1, 1), (8, 2, 0), (90, 11, 11), (80, 20, 0)])
+def test_fingerprints_of_alike_sets_share_a_block_and_are_near(common, more, other):
+    draw = np.random.default_rng(common)
+    for rows in (1000, 10_000_000):
+        block, blocks = simhash._block_sizes(rows)
+        bits = -(-block * blocks // 64) * 64
+        for _ in range(400):
+            drawn = draw.integers(0, 1 << 64, common + more + other, np.uint64)
+            apart = simhash.wide_fingerprint(drawn[: common + more], bits) ^ simhash.wide_fingerprint(np.r_[drawn[:common], drawn[common + more :]], bits)
+            open_bits = np.unpackbits(apart.view(np.uint8), bitorder="little")[: block * blocks].reshape(blocks, block)
+            assert not open_bits.any(axis=1).all() and open_bits.ravel()[: 64 * simhash._LONGS].sum() <= simhash._WIDE_DISTANCE
+
+
+def test_wide_links_join_what_all_pairs_join():
+    draw = np.random.default_rng(3)
+    centres = draw.integers(0, 1 << 64, (40, 3), np.uint64)
+    for n in (1, 2, 60, 500, 900):
+        marks = centres[draw.integers(0, max(1, n // 25), n)]
+        for _ in range(25):
+            marks = marks ^ (np.uint64(1) << draw.integers(0, 64, (n, 3), np.uint64)) * (draw.random((n, 3)) < 0.4)
+        near = np.bitwise_count(marks[:, None] ^ marks[None]).sum(axis=2) <= 20
+        i, j = simhash._wide_search(np.ascontiguousarray(marks.T), 20)
+        assert near[i, j].all() and len(i) <= 4 * n
+        names = []
+        for links in (zip(i.tolist(), j.tolist()), zip(*map(np.ndarray.tolist, np.nonzero(near)))):
+            name, before, links = np.arange(n), None, list(links)
+            while before is None or (before != name).any():
+                before = name.copy()
+                for a, b in links:
+                    name[a] = name[b] = min(name[a], name[b])
+            names.append(name.tolist())
+        assert names[0] == names[1]

@@ -2,14 +2,14 @@
 
 Markup decides where it can: text inside an article is the main text, text inside
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments is not. Pages without an article, or with more text in their main
-element beside it than in it, leave the blocks of the main element, or all where
-there is none, undecided, and there the host's other pages decide: runs of tokens
+reader comments is not. Blocks of a main element that lie in no article are undecided,
+on pages with articles too; so are all blocks of pages with neither. There the host's
+other pages decide, whatever the sizes of articles and main elements: runs of tokens
 repeated on a share of the host's pages are boilerplate. A block goes if such runs
 cover it; of other blocks only a long run at their beginning or end goes, and
 nothing is cut out of the middle of a sentence. What an article holds stays, and
-counts as other content as well; pages with an article are looked at where their
-host has undecided ones.
+counts as other content as well; pages without undecided blocks are looked at where
+their host has some with.
 
 A run of at least ``LEAST`` tokens is a chain of windows of that length, each of
 which is repeated too. So the suffix at every token is looked at by its first
@@ -194,12 +194,9 @@ def _spread(hit: np.ndarray) -> np.ndarray:
 
 
 def _least_zone(found: list[tuple[int, str]]) -> int:
-    """The zone from which on blocks are main text: the best one, but a main element with more text than its articles keeps it."""
-    best = max((zone for zone, _ in found), default=PLAIN)
-    if best == ARTICLE:
-        size = {z: sum(len(text) for zone, text in found if zone == z) for z in (MAIN, ARTICLE)}
-        return MAIN if size[MAIN] > size[ARTICLE] else ARTICLE
-    return best
+    """The zone from which on blocks are main text unless runs cover them: the best one, but articles do not hide their main element's blocks."""
+    zones = {zone for zone, _ in found}
+    return MAIN if MAIN in zones else max(zones, default=PLAIN)
 
 
 def _edges(gone: np.ndarray) -> slice:
@@ -236,7 +233,7 @@ def _chosen(found: list[tuple[int, str]], repeated: set[int], host: str | None =
 
 
 def _page_windows(pages: DataFrame, decided: bool) -> DataFrame:
-    """host, page (hash of its content) and the different windows of pages with undecided blocks, or of those with an article."""
+    """host, page (hash of its content) and the different windows of pages with undecided blocks, or of those without."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

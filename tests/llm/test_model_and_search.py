@@ -299,6 +299,14 @@ def test_a_teaser_is_not_the_whole_text():
     assert html_text._chosen(html_text.blocks(page), set()) == ["Short.", "The body of this page is longer than that."]
 
 
+def test_repeated_runs_decide_main_elements_beside_articles(spark):
+    notice = words_of("law", 20)
+    pages = [
+        f"<main><h1>Headline of {k}</h1><p>{notice}</p><article><p>{words_of(k, 60)}</p></article></main>" for k in "abc"
+    ]
+    assert main_texts(spark, pages) == [f"Headline of {k}\n{words_of(k, 60)}" for k in "abc"]
+
+
 def test_long_page_and_clashing_names(spark):
     long = "<p>" + words_of("w", 200_000) + "</p>"
     pages = spark.createDataFrame([(1, "http://l.org/1", long)], "page_id long, url string, html string").selectExpr("*", "1 AS repeated", "2 AS page")

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.base import Estimator
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.columns import col, is_present
 
@@ -53,6 +54,13 @@ def label_indexer(label: str) -> StringIndexer:
     return StringIndexer(inputCol=label, outputCol=LABEL_INDEX, handleInvalid="skip")
 
 
+def label_numbers(distinct: DataFrame, label: str, copies: str) -> StringIndexerModel:
+    """What ``label_indexer`` finds, of different rows with their number; there are few classes."""
+    counts = distinct.groupBy(col(label).cast("string").alias("v")).agg(F.sum(copies).alias("n"))
+    names = [r["v"] for r in counts.filter("v IS NOT NULL").orderBy(F.desc("n"), "v").collect()]
+    return StringIndexerModel.from_labels(names, inputCol=label, outputCol=LABEL_INDEX, handleInvalid="skip")
+
+
 def has_more_classes(df: DataFrame, label: str, most: int) -> bool:
     """Whether a label has more values than ``most``; an index of them would lie on the driver."""
     return df.select(col(label)).distinct().limit(most + 1).count() > most

@@ -9,15 +9,18 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import Snapshot, col, is_numeric, is_present, is_text, ratio
 from ..functions.draws import row_hash
-from ..sources.storage import materialise, store_for_training
+from ..sources.storage import (
+    COPIES, MARK, SINGLE_ROWS, WEIGHT, StoredTable, count_copies, materialise, store_distinct, training_runs,
+)
+from .bins import Bins, find_bins
 from .categories import CategoryIndex, category_index, with_ranks
 from .features import (
-    ENCODINGS, FEATURES, HASH_BUCKETS, LABEL_INDEX, complete_rows, has_more_classes, label_classes, label_indexer,
+    ENCODINGS, FEATURES, HASH_BUCKETS, LABEL_INDEX, complete_rows, has_more_classes, label_classes, label_numbers,
 )
 from .outliers import drifted_from_number
 from .schemas import cast_to
@@ -109,19 +112,65 @@ class TextNumbers:
             self.index.drop()
 
 
-def fit_forest(training: DataFrame, label: str, numbers: TextNumbers, depth: int | None) -> PipelineModel:
+@dataclass(frozen=True)
+class ForestRows:
+    """Stored training rows of a forest: the different ones with their number and fold.
+
+    Beyond ``SINGLE_ROWS`` rows the features are in bins before rows are counted, so
+    that the work of a forest follows the different rows of bins, not the rows.
+    """
+
+    stored: StoredTable
+    rows: int
+    label: str
+    inputs: tuple[str, ...]
+    bins: Bins | None
+
+    def features_of(self, df: DataFrame) -> DataFrame:
+        """Rows with numbers as the forest takes them."""
+        return df if self.bins is None else self.bins.add_to(df)
+
+    def runs(self, rows: DataFrame) -> DataFrame:
+        return training_runs(rows, self.rows)
+
+
+def store_forest_rows(df: DataFrame, label: str, inputs: Sequence[str], folds: int = 1) -> ForestRows:
+    """Store the rows, which fall into folds by a hash of their features and label, whatever bins these are in."""
+    kept = [*inputs, label]
+    stored = store_distinct(df.select(*map(col, kept)))
+    rows = count_copies(stored.df)
+    fold = F.pmod(row_hash(stored.df.select(*map(col, kept)), SEED), F.lit(folds))
+    distinct = stored.df.withColumn(_FOLD, fold)
+    if rows <= SINGLE_ROWS:
+        return ForestRows(StoredTable(stored.path, distinct), rows, label, tuple(inputs), None)
+    try:
+        bins = find_bins(stored.df, inputs, rows)
+        names = [*bins.names.values(), label, _FOLD]
+        counted = bins.add_to(distinct).groupBy(*map(col, names)).agg(F.sum(COPIES).alias(COPIES))
+        binned = materialise(counted.withColumn(MARK, row_hash(counted.drop(COPIES))), "binned")
+    finally:
+        stored.drop()
+    return ForestRows(binned, rows, label, tuple(bins.names.values()), bins)
+
+
+def fit_forest(training: ForestRows, depth: int | None, without: int | None = None) -> PipelineModel:
+    """A forest on all rows, or on those of all folds but one."""
     forest = RandomForestClassifier(
         featuresCol=FEATURES,
         labelCol=LABEL_INDEX,
         predictionCol=_PREDICTION,
         probabilityCol=_PROBABILITY,
         rawPredictionCol=_RAW,
+        weightCol=WEIGHT,
         numTrees=TREES,
         seed=SEED,
     )
     if depth is not None:
         forest.setMaxDepth(depth)
-    return Pipeline(stages=[label_indexer(label), VectorAssembler(inputCols=numbers.inputs, outputCol=FEATURES), forest]).fit(training)
+    rows = training.stored.df if without is None else training.stored.df.filter(F.col(_FOLD) != without)
+    indexer = label_numbers(rows, training.label, COPIES)
+    assembler = VectorAssembler(inputCols=list(training.inputs), outputCol=FEATURES)
+    return Pipeline(stages=[indexer, assembler, forest]).fit(training.runs(rows))
 
 
 def with_confidence(predictions: DataFrame) -> DataFrame:
@@ -168,25 +217,24 @@ def estimate_label_noise(
         return NoiseEstimate(rows, features=features, too_many_classes=True)
     numbers = TextNumbers(training, features, encoding)
     try:
-        stored = store_for_training(numbers.add_to(training).select(*map(col, [*numbers.inputs, label])))
+        forest_rows = store_forest_rows(numbers.add_to(training), label, numbers.inputs, folds)
     finally:
         numbers.drop()
     try:
-        counts = _disagreements(_scored(stored.df, label, numbers, folds), threshold)
+        counts = _disagreements(_scored(forest_rows, folds), threshold)
     finally:
-        stored.drop()
+        forest_rows.stored.drop()
     return NoiseEstimate(rows, counts["suspected"], counts["average"], counts["low"], features)
 
 
-def _scored(rows: DataFrame, label: str, numbers: TextNumbers, folds: int) -> list[DataFrame]:
+def _scored(training: ForestRows, folds: int) -> list[DataFrame]:
+    """The different rows of each fold with their number, scored."""
+    rows = training.stored.df
     if folds == 1:
-        return [with_confidence(fit_forest(rows, label, numbers, NOISE_DEPTH).transform(rows))]
-    dealt = rows.withColumn(_FOLD, F.pmod(row_hash(rows, SEED), F.lit(folds)))
-    scored = []
-    for fold in range(folds):
-        model = fit_forest(dealt.filter(F.col(_FOLD) != fold), label, numbers, NOISE_DEPTH)
-        scored.append(with_confidence(model.transform(dealt.filter(F.col(_FOLD) == fold))))
-    return scored
+        return [with_confidence(fit_forest(training, NOISE_DEPTH).transform(rows))]
+    return [
+        with_confidence(fit_forest(training, NOISE_DEPTH, fold).transform(rows.filter(F.col(_FOLD) == fold))) for fold in range(folds)
+    ]
 
 
 def _disagreements(scored: Sequence[DataFrame], threshold: float) -> dict:
@@ -194,21 +242,25 @@ def _disagreements(scored: Sequence[DataFrame], threshold: float) -> dict:
     wrong = F.col(LABEL_INDEX) != F.col(_PREDICTION)
     parts = [
         part.agg(
-            F.count_if(wrong & (F.col(_CONFIDENCE) >= threshold)).alias("suspected"),
-            F.sum(_CONFIDENCE).alias("sure"),
-            F.count(_CONFIDENCE).alias("n"),
-            F.count_if(F.col(_CONFIDENCE) < threshold).alias("low"),
+            _copies_where(wrong & (F.col(_CONFIDENCE) >= threshold)).alias("suspected"),
+            F.sum(F.col(_CONFIDENCE).cast("decimal(18,15)") * F.col(COPIES).cast("decimal(18,0)")).alias("sure"),  # in any order the same
+            _copies_where(F.col(_CONFIDENCE).isNotNull()).alias("n"),
+            _copies_where(F.col(_CONFIDENCE) < threshold).alias("low"),
         ).first()
         for part in scored
     ]
     n = sum(p["n"] for p in parts)
     return {
         "suspected": sum(p["suspected"] for p in parts),
-        "average": sum(p["sure"] or 0.0 for p in parts) / n if n else None,
+        "average": float(sum(p["sure"] or 0 for p in parts)) / n if n else None,
         "low": sum(p["low"] for p in parts),
     }
 
 
+def _copies_where(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col(COPIES))), F.lit(0))
+
+
 @dataclass(frozen=True)
 class LabelFill:
     """The repaired table, and the counts (or the reason for leaving it alone)."""
@@ -260,11 +312,11 @@ def impute_labels(
         return LabelFill(df, MANY_CLASSES, training_rows, candidates)
     numbers = TextNumbers(training, features, encoding)
     try:
-        stored = store_for_training(numbers.add_to(training).select(*map(col, [*numbers.inputs, label])))
+        forest_rows = store_forest_rows(numbers.add_to(training), label, numbers.inputs)
         try:
-            model = fit_forest(stored.df, label, numbers, None)
+            model = fit_forest(forest_rows, None)
         finally:
-            stored.drop()
+            forest_rows.stored.drop()
         classes = label_classes(model)
         if not classes:
             return LabelFill(df, NO_CLASSES, training_rows, candidates)
@@ -276,7 +328,7 @@ def impute_labels(
         ).cast(df.schema[label].dataType)
         # The indexer skips rows without a label, so candidates carry a stand-in.
         stand_in = numbers.add_to(df.filter(open_rows).withColumn(label, F.lit(classes[0])))
-        predicted = with_confidence(model.transform(stand_in)).withColumn(label, chosen)
+        predicted = with_confidence(model.transform(forest_rows.features_of(stand_in))).withColumn(label, chosen)
         predicted = materialise(predicted.select(*map(col, df.columns)), "imputed").df
     finally:
         numbers.drop()

@@ -20,6 +20,9 @@ _SETTING = "spark.checkpoint.dir"
 _ROWS_A_PARTITION, _SMALL_PARTITIONS, _MANY_ROWS_A_PARTITION = 10_000, 64, 1_000_000
 #: Copies of a training row stay together in runs of so many.
 _COPIES_TOGETHER = 256
+#: Up to so many rows a learner gets every copy by itself; of more rows, copies share a weight, so that about so many are left.
+SINGLE_ROWS = 1_000_000
+MARK, COPIES, WEIGHT = "__row_hash", "__copies", "__weight"
 
 
 @cache
@@ -73,31 +76,49 @@ def training_partitions(rows: int) -> int:
     return max(1, few, -(-rows // _MANY_ROWS_A_PARTITION))
 
 
-def store_for_training(df: DataFrame, partitions: int | None = None) -> StoredTable:
-    """Materialise rows that a model will read many times, in a layout that only the rows decide.
+def store_distinct(df: DataFrame) -> StoredTable:
+    """Materialise the different rows, each with its hash and the number of its copies."""
+    plain = df.select(*[
+        (col(f.name) if is_binary_text(f.dataType) else F.collate(col(f.name), "UTF8_BINARY")).alias(f.name) for f in df.schema.fields])
+    counted = plain.groupBy(*[col(c) for c in plain.columns]).agg(F.count(F.lit(1)).alias(COPIES))
+    return materialise(counted.withColumn(MARK, row_hash(plain)), "training")
+
+
+def count_copies(distinct: DataFrame) -> int:
+    """How many rows a table of different rows stands for."""
+    return distinct.agg(F.sum(COPIES)).first()[0] or 0
+
+
+def training_runs(distinct: DataFrame, rows: int, partitions: int | None = None) -> DataFrame:
+    """The rows that a table of different rows stands for, with weights, in a layout that only the rows decide.
 
     A forest depends on which rows share a partition and in what order. Rows go to
     partitions by their hash and are sorted by it there, so equal tables give equal
-    models whatever the session's settings and the input's layout. Equal rows are
-    stored once with their number; runs of copies after the first are placed by hash
-    and number of the run, so that few different rows fill all partitions alike. The
-    number of partitions follows the number of rows. Files are read back in no fixed
-    order, so this is done on reading; the learners keep what they read.
+    models whatever the session's settings and the input's layout. Runs of copies
+    after the first are placed by hash and number of the run, so that few different
+    rows fill all partitions alike. Copies are single up to ``SINGLE_ROWS`` rows in
+    all, and of more rows several are one row with their number as weight. Files are
+    read back in no fixed order, so this is done on reading; the learners keep what
+    they read.
     """
-    mark, copies, part = "__row_hash", "__copies", "__part"
-    plain = df.select(*[
-        (col(f.name) if is_binary_text(f.dataType) else F.collate(col(f.name), "UTF8_BINARY")).alias(f.name) for f in df.schema.fields])
-    names = [col(c) for c in plain.columns]
-    counted = plain.groupBy(*names).agg(F.count(F.lit(1)).alias(copies))
-    stored = materialise(counted.withColumn(mark, row_hash(plain)), "training")
-    partitions = partitions or training_partitions(stored.df.agg(F.sum(copies)).first()[0] or 0)
-    last = F.floor((F.col(copies) - 1) / _COPIES_TOGETHER)
-    runs = stored.df.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias(part))
-    place = F.when(F.col(part) == 0, F.col(mark)).otherwise(F.xxhash64(mark, part))
-    placed = runs.repartition(partitions, place).sortWithinPartitions(mark, part)
-    size = F.least(F.lit(_COPIES_TOGETHER), F.col(copies) - F.col(part) * _COPIES_TOGETHER).cast("int")
-    single = placed.select(*names, F.explode(F.array_repeat(F.lit(True), size)).alias("__copy")).drop("__copy")
-    return StoredTable(stored.path, single)
+    part, single = "__part", "__copy"
+    names = [col(c) for c in distinct.columns if c not in (MARK, COPIES)]
+    alike = max(1, -(-rows // SINGLE_ROWS))
+    together = _COPIES_TOGETHER * alike
+    last = F.floor((F.col(COPIES) - 1) / together)
+    runs = distinct.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias(part))
+    place = F.when(F.col(part) == 0, F.col(MARK)).otherwise(F.xxhash64(MARK, part))
+    placed = runs.repartition(partitions or training_partitions(rows), place).sortWithinPartitions(MARK, part)
+    size = F.least(F.lit(together), F.col(COPIES) - F.col(part) * together)
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((size - 1) / alike))).alias(single)
+    weight = F.least(F.lit(alike), F.col("__size") - F.col(single) * alike).cast("double")
+    return placed.select(*names, size.alias("__size"), copies).select(*names, weight.alias(WEIGHT))
+
+
+def store_for_training(df: DataFrame, partitions: int | None = None) -> StoredTable:
+    """Materialise rows that a model will read many times: the different rows with their number, read as ``training_runs``."""
+    stored = store_distinct(df)
+    return StoredTable(stored.path, training_runs(stored.df, count_copies(stored.df), partitions))
 
 
 def write_and_read(df: DataFrame, path: str) -> DataFrame:

@@ -27,6 +27,7 @@ _KEY_NOTE = (
     "Rows that share a key value need not be duplicates; nothing is removed for "
     "it unless key-based deduplication is switched on."
 )
+_NOT_FITTED = {"evaluated": False, "message": "The forest has been left out for now."}
 _QUARTILES = (0.25, 0.75)
 #: Aggregates that share a scan; wider tables are scanned in parts.
 _MEASURES = 300
@@ -101,11 +102,14 @@ class DataProfiler:
         reference_schema: T.StructType | Mapping | None = None,
         label_col: str | None = None,
         carried: Carried | None = None,
+        fit_labels: bool = True,
     ) -> Report:
         """The nested report: sizes, schema, and one section per dimension.
 
         With ``carried`` only columns that changed are scanned, and keys, labels and
         whole rows that hold one of them; the report is that of a profile without it.
+        Without ``fit_labels`` the forest of the label section is left to
+        ``complete_labels``.
         """
         reference = as_snapshot(reference_schema)
         keys = list(key_columns or [])
@@ -131,9 +135,18 @@ class DataProfiler:
             "schema_drift": drift_report(current, reference),
             "label_noise": deepcopy(earlier["label_noise"])
             if earlier and _is_whole(df, same, earlier) and earlier["label_noise"].get("label_col") == label_col
-            else self._labels(df, label_col, basics, census, reference),
+            else self._labels(df, label_col, basics, census, reference, fit_labels),
         }
 
+    def complete_labels(
+        self, df: DataFrame, report: Report, reference_schema: T.StructType | Mapping | None = None, **_: Any
+    ) -> None:
+        """Fit the forest that a profile of this table has left out, if it has."""
+        found = report["label_noise"]
+        if found.get("confidence_noise") == _NOT_FITTED:
+            labelled, classes = report["row_count"] - found["label_null_count"], found["distinct_label_count"]
+            found["confidence_noise"] = self._noise(df, found["label_col"], labelled, classes, as_snapshot(reference_schema))
+
     @staticmethod
     def _known_basics(df: DataFrame, same: set[str], earlier: Mapping[str, Any]) -> dict[str, Any]:
         """Row count and missing counts of the columns that are the same."""
@@ -311,7 +324,7 @@ class DataProfiler:
             }
         return report
 
-    def _labels(self, df: DataFrame, label: str | None, basics, census, reference: Snapshot | None) -> Report:
+    def _labels(self, df: DataFrame, label: str | None, basics, census, reference: Snapshot | None, fit: bool) -> Report:
         rows = basics["rows"]
         if label is None:
             return {"evaluated": False, "message": "No label was named."}
@@ -327,9 +340,11 @@ class DataProfiler:
             "label_null_count": nulls,
             "label_null_ratio": round(nulls / rows, 4) if rows else 0.0,
             "distinct_label_count": classes,
-            "confidence_noise": self._noise(df, label, rows - nulls, classes, reference)
-            if rows
-            else {"evaluated": False, "message": "The table is empty."},
+            "confidence_noise": {"evaluated": False, "message": "The table is empty."}
+            if not rows
+            else self._noise(df, label, rows - nulls, classes, reference)
+            if fit
+            else dict(_NOT_FITTED),
         }
 
     def _noise(self, df: DataFrame, label: str, labelled: int, classes: int, reference) -> Report:
@@ -380,7 +395,7 @@ class DataProfiler:
 
 
 def profile_after(
-    profiler: DataProfiler, report: Mapping[str, Any], table: DataFrame, changed: frozenset[str], **context: Any
+    profiler: DataProfiler, report: Mapping[str, Any], table: DataFrame, changed: frozenset[str], fit_labels: bool = True, **context: Any
 ) -> Report:
     """Profile a stored table that a repair has made of a profiled one.
 
@@ -389,8 +404,8 @@ def profile_after(
     scanned. Counting the rows of a stored table reads the footers of its files.
     """
     if report["row_count"] and table.count() == report["row_count"]:
-        return profiler.profile(table, **context, carried=Carried(report, changed))
-    return profiler.profile(table, **context)
+        return profiler.profile(table, **context, carried=Carried(report, changed), fit_labels=fit_labels)
+    return profiler.profile(table, **context, fit_labels=fit_labels)
 
 
 def _is_whole(df: DataFrame, same: set[str], earlier: Mapping[str, Any]) -> bool:

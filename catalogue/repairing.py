@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright import DataProfiler, RepairEngine, RepairPolicy
 from tablewright.functions.columns import snapshot
 from tablewright.operators import bounds, duplicates, fills, labels, layout, outliers, schemas
+from tablewright.sources.storage import materialise
 
 from .tables import beyond, capped, dirty_orders, drifted_orders, div, fence, n, stored_orders, table, with_dirty
 
@@ -283,7 +284,7 @@ def repair_with_domain_rules(spark, folder):
 def repair_drifted(spark, folder):
     """Schema drift and missing values and outliers in one column, repaired in one projection."""
     keep = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
-    df = drifted_orders(spark, folder).select(*keep, "source_system")
+    df = materialise(drifted_orders(spark, folder).select(*keep, "source_system"), "drifted").df
     reference = table(spark, folder, "orders").select(*keep).schema
     policy = RepairPolicy(drop_added_columns=True, drop_duplicates=False)
     profile = DataProfiler().profile(df, reference_schema=reference)

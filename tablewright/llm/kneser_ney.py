@@ -551,6 +551,30 @@ def _before(values: np.ndarray, kind: type = np.int64) -> np.ndarray:
     return found
 
 
+def _slice_sums(values: np.ndarray, low: np.ndarray, high: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the values and of their discounts over slices [low, high); only the slices are read, not all values."""
+    total, left = np.zeros(len(low), np.int64), np.zeros(len(low))
+    sizes = high - low
+    singles = np.flatnonzero(sizes == 1)  # most contexts have been seen with one word only
+    own = values[low[singles]]
+    total[singles], left[singles] = own, off[np.minimum(own, 3)]
+    several = np.flatnonzero(sizes > 1)
+    ends = np.cumsum(sizes[several])
+    a = 0
+    while a < len(several):  # so many values at once as memory is meant for, or one slice
+        gone = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, gone + _HELD, "right")))
+        chosen = several[a:b]
+        starts = ends[a:b] - sizes[chosen] - gone
+        places = np.repeat(low[chosen] - starts, sizes[chosen])
+        places += np.arange(len(places))
+        own = values[places]
+        total[chosen] = _sums(own, starts)
+        left[chosen] = np.add.reduceat(off[np.minimum(own, 3)], starts)
+        a = b
+    return total, left
+
+
 def _nested_counts(arrays: list[np.ndarray], keys: list[np.ndarray], off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of nested arrays the value under each key, and the sums of values and of discounts over keys that differ in the last part only.
 
@@ -572,8 +596,7 @@ def _nested_counts(arrays: list[np.ndarray], keys: list[np.ndarray], off: np.nda
             starts = finer
             low, there = _find(arrays[2 * k], low[run], end[run], key[starts])
     values, times = arrays[-1], _lengths(starts, len(keys[0]))
-    total, left = _before(values), _before(off[np.minimum(values, 3)], np.float64)
-    total, left = np.repeat(total[end] - total[low], times), np.repeat(left[end] - left[low], times)
+    total, left = (np.repeat(x, times) for x in _slice_sums(values, low, end, off))
     low, there = _find(arrays[-2], np.repeat(low, times), np.repeat(end, times), keys[-1])
     found = np.zeros(len(low), np.int64)
     found[there] = values[low[there]]

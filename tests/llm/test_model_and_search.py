@@ -335,3 +335,23 @@ def test_repeated_windows_against_all_pages(spark, one_in):
         stream = [t for _, text in html_text.blocks(pages[k]) for t in (*text.split(" "), "\n")]
         hit = {w for i, w in enumerate(windows) if tuple(stream[i : i + html_text.LEAST]) in expected}
         assert found.get(k, set()) == hit
+
+
+def test_sums_of_slices_read_the_slices_only(monkeypatch):
+    import numpy as np
+
+    from tablewright.llm import kneser_ney
+
+    draw = np.random.default_rng(1)
+    values = draw.integers(1, 9, 5_000).astype("u1")
+    low = np.sort(draw.integers(0, 4_900, 300))
+    high = low + draw.integers(0, 40, 300)
+    high[::7], low[5], high[5] = low[::7] + 1, 0, len(values)
+    off = np.array([0.0, 0.5, 0.75, 0.9])
+    for held in (10, 100_000):
+        monkeypatch.setattr(kneser_ney, "_HELD", held)
+        total, left = kneser_ney._slice_sums(values, low, high, off)
+        assert total.tolist() == [int(values[a:b].sum()) for a, b in zip(low, high)]
+        assert np.allclose(left, [off[np.minimum(values[a:b], 3)].sum() for a, b in zip(low, high)])
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in kneser_ney._slice_sums(values, none, none, off)] == [0, 0]

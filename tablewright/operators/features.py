@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, is_present
@@ -61,9 +61,28 @@ def label_numbers(distinct: DataFrame, label: str, copies: str) -> StringIndexer
     return StringIndexerModel.from_labels(names, inputCol=label, outputCol=LABEL_INDEX, handleInvalid="skip")
 
 
+def split_label_indexers(df: DataFrame, label: str, training: Sequence[Column]) -> tuple[dict, list[StringIndexerModel]]:
+    """What ``label_indexer`` finds in the training rows of each split, and the numbers of rows; one scan, there are few classes."""
+    text = col(label).cast("string")
+    found = df.groupBy(text).agg(F.count(F.lit(1)), *[F.count_if(t) for t in training]).collect()
+    models = []
+    for f in range(2, 2 + len(training)):
+        # equally frequent classes are ordered as the library orders them
+        names = sorted((r for r in found if r[f] and r[0] is not None), key=lambda r: (-r[f], r[0].encode()))
+        models.append(StringIndexerModel.from_labels(
+            [r[0] for r in names], inputCol=label, outputCol=LABEL_INDEX, handleInvalid="skip") if names else None)
+    counts = {"rows": sum(r[1] for r in found), "training": [sum(r[f] for r in found) for f in range(2, 2 + len(training))]}
+    return counts, models
+
+
+def class_count(df: DataFrame, label: str, most: int) -> int:
+    """How many values a label has, at most one more than ``most``."""
+    return df.select(col(label)).distinct().limit(most + 1).count()
+
+
 def has_more_classes(df: DataFrame, label: str, most: int) -> bool:
     """Whether a label has more values than ``most``; an index of them would lie on the driver."""
-    return df.select(col(label)).distinct().limit(most + 1).count() > most
+    return class_count(df, label, most) > most
 
 
 def label_classes(model: PipelineModel) -> list[str]:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from statistics import fmean, pstdev
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +22,9 @@ from ..functions.columns import col
 from ..functions.draws import row_identity, uniform
 from ..operators import moments, scores
 from ..operators.categories import category_index, sparse_vectors
-from ..operators.features import FEATURES, HASH_BUCKETS, LABEL_INDEX, feature_stages, has_more_classes, label_classes, label_indexer
+from ..operators.features import (
+    FEATURES, HASH_BUCKETS, LABEL_INDEX, class_count, feature_stages, label_classes, label_indexer, split_label_indexers,
+)
 from ..operators.labels import MAX_LABEL_CLASSES
 from ..sources.storage import StoredTable, materialise
 
@@ -27,6 +32,8 @@ Metrics = dict[str, Any]
 _PREDICTION, _WEIGHT = "prediction", "__weight"
 _MAX_ITERATIONS, _TOLERANCE = 50, 1e-6
 _SPLITS_AT_ONCE = 60
+#: Splits fitted side by side: a fit is many short jobs, which alone leave cores idle.
+_FITS_AT_ONCE = 3
 
 
 @dataclass
@@ -113,9 +120,10 @@ class _Comparison:
         rows = scores.modelling_rows(
             df, numeric, categorical, label, self.numeric_label, self.id_columns
         )
-        if rows.isEmpty():
+        classes = None if self.numeric_label else class_count(rows, label, self.max_label_classes)
+        if classes == 0 or self.numeric_label and rows.isEmpty():
             raise ValueError("The table has no complete row to train on.")
-        if not self.numeric_label and has_more_classes(rows, label, self.max_label_classes):
+        if classes is not None and classes > self.max_label_classes:
             raise ValueError(f"Label {label!r} has more than {self.max_label_classes} values (max_label_classes).")
         seeds = [self.seed]
         if self.validation_folds > 1:
@@ -124,7 +132,7 @@ class _Comparison:
         found = []
         for k in range(0, len(seeds), _SPLITS_AT_ONCE):
             training = [uniform(seed, *identity) < self.train_fraction for seed in seeds[k : k + _SPLITS_AT_ONCE]]
-            stored = materialise(rows.withColumn(moments.SPLITS, moments.split_mask(training)), "training")
+            stored = self._stored(rows.withColumn(moments.SPLITS, moments.split_mask(training)), label, numeric, categorical)
             try:
                 found += self._splits(stored.df, label, numeric, categorical, len(training))
             finally:
@@ -134,15 +142,24 @@ class _Comparison:
         metrics["fold_stability"] = summarize_folds(folds, self.stability_names) if folds else None
         return metrics
 
+    def _stored(self, rows: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str]) -> StoredTable:
+        """Rows with ``moments.SPLITS`` in the form that is fitted."""
+        return materialise(rows, "training")
+
     def _splits(self, rows: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], splits: int) -> list[Metrics]:
-        """Scores of each split of the stored rows, which have ``moments.SPLITS``."""
-        counts = self._counts(moments.split_sums(rows, label, [], splits) if self.numeric_label else _row_counts(rows, splits))
-        vectors = self._vectors(rows, label, numeric, categorical)
-        try:
-            return [counts[f] | self._fit_and_score(vectors.df if vectors else rows, label, numeric, categorical, f) for f in range(splits)]
-        finally:
-            if vectors:
-                vectors.drop()
+        """Scores of each split of stored rows, which are vectors where text is numbered."""
+        if self.numeric_label:
+            sums, indexers = moments.split_sums(rows, label, [], splits), [None] * splits
+        else:
+            sums, indexers = split_label_indexers(rows, label, [moments.trains(f) for f in range(splits)])
+        counts = self._counts(sums)
+
+        def scored(split: int) -> Metrics:
+            return self._fit_and_score(rows, label, numeric, categorical, split, indexers[split])
+
+        with ThreadPool(min(_FITS_AT_ONCE, splits)) as pool:
+            found = pool.map(inheritable_thread_target(rows.sparkSession)(scored), range(splits), chunksize=1)
+        return [c | m for c, m in zip(counts, found)]
 
     def _counts(self, sums: dict) -> list[Metrics]:
         counts = [{"ml_row_count": sums["rows"], "train_row_count": n, "test_row_count": sums["rows"] - n} for n in sums["training"]]
@@ -150,40 +167,23 @@ class _Comparison:
             raise ValueError("The split leaves training or test without rows; more rows or another train_fraction help.")
         return [c | {"encoding": self.encoding} for c in counts]
 
-    def _vectors(self, rows: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str]) -> StoredTable | None:
-        """Stored feature vectors where text is numbered; the values are those of all rows, so a value may be new to a split's fit."""
-        if self.encoding != "index":
-            return None
-        index = category_index(rows, categorical)
-        try:
-            return sparse_vectors(rows, numeric, index, [label, moments.SPLITS], FEATURES)
-        finally:
-            index.drop()
-
-    def _fit_and_score(self, rows, label, numeric, categorical, split: int) -> Metrics:
+    def _fit_and_score(self, rows, label, numeric, categorical, split: int, indexer: StringIndexerModel | None) -> Metrics:
         features = [] if self.encoding == "index" else feature_stages(numeric, categorical, self.encoding, self.hash_buckets)
         train, test = rows.filter(moments.trains(split)), rows.filter(~moments.trains(split))
-        predictions = materialise(self._fit(train, label, features, bool(numeric)).transform(test), "predictions")
-        try:
-            return self._score(predictions.df, label)
-        finally:
-            predictions.drop()
+        return self._score(self._fit(train, label, features, bool(numeric), indexer).transform(test), label)
 
-    def _fit(self, train: DataFrame, label: str, features: list, numbers: bool) -> PipelineModel:
-        return Pipeline(stages=self._stages(label, features)).fit(train)
+    def _fit(
+        self, train: DataFrame, label: str, features: list, numbers: bool, indexer: StringIndexerModel | None = None
+    ) -> PipelineModel:
+        return Pipeline(stages=self._stages(label, features, indexer)).fit(train)
 
-    def _stages(self, label: str, features: list) -> list:
+    def _stages(self, label: str, features: list, indexer: StringIndexerModel | None) -> list:
         raise NotImplementedError
 
     def _score(self, predictions: DataFrame, label: str) -> Metrics:
         raise NotImplementedError
 
 
-def _row_counts(rows: DataFrame, splits: int) -> dict:
-    found = rows.agg(F.count(F.lit(1)), *[F.count_if(moments.trains(f)) for f in range(splits)]).first()
-    return {"rows": found[0], "training": list(found[1:])}
-
-
 def metric_deltas(raw: Metrics, cleaned: Metrics, names: Iterable[str]) -> Metrics:
     """Cleaned minus raw per metric, None where either side has none."""
     deltas = {}
@@ -209,7 +209,17 @@ class SparkMLClassificationEvaluator(_Comparison):
     ) -> MLEvaluationResult:
         return self.compare(raw_df, cleaned_df, label_col, numeric_cols, categorical_cols)
 
-    def _stages(self, label: str, features: list) -> list:
+    def _stored(self, rows: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str]) -> StoredTable:
+        """Feature vectors where text is numbered; the values are those of all rows, so a value may be new to a split's fit."""
+        if self.encoding != "index":
+            return super()._stored(rows, label, numeric, categorical)
+        index = category_index(rows, categorical)
+        try:
+            return sparse_vectors(rows, numeric, index, [label, moments.SPLITS], FEATURES)
+        finally:
+            index.drop()
+
+    def _stages(self, label: str, features: list, indexer: StringIndexerModel | None) -> list:
         model = LogisticRegression(
             featuresCol=FEATURES,
             labelCol=LABEL_INDEX,
@@ -219,14 +229,16 @@ class SparkMLClassificationEvaluator(_Comparison):
             regParam=0.0,
             elasticNetParam=0.0,
         )
-        return [label_indexer(label), *features, model]
+        return [indexer or label_indexer(label), *features, model]
 
-    def _fit(self, train: DataFrame, label: str, features: list, numbers: bool) -> PipelineModel:
+    def _fit(
+        self, train: DataFrame, label: str, features: list, numbers: bool, indexer: StringIndexerModel | None = None
+    ) -> PipelineModel:
         """Where all features are numbered text, equal rows are one with their number as weight: the same likelihood, few rows a step."""
         if numbers or features:
-            return super()._fit(train, label, features, numbers)
-        indexer, model = self._stages(label, features)
-        named = indexer.fit(train)
+            return super()._fit(train, label, features, numbers, indexer)
+        stage, model = self._stages(label, features, indexer)
+        named = indexer or stage.fit(train)
         groups = named.transform(train).groupBy(LABEL_INDEX, FEATURES).agg(F.count(F.lit(1)).cast("double").alias(_WEIGHT))
         return PipelineModel([named, model.setWeightCol(_WEIGHT).fit(groups)])
 
@@ -249,11 +261,10 @@ class SparkMLClassificationEvaluator(_Comparison):
         return model.transform(vectors.df).select(*map(col, carried), F.inline(F.array(*each)))
 
     def _score(self, predictions: DataFrame, label: str) -> Metrics:
-        row = scores.classification_scores(predictions, LABEL_INDEX, _PREDICTION).first()
+        row = scores.classification_scores(predictions, LABEL_INDEX, _PREDICTION, label_classes=True).first()
         names = ("accuracy", "f1", "weighted_precision", "weighted_recall")
         metrics = {n: round(row[n], 4) for n in names}
-        classes = predictions.select(LABEL_INDEX).distinct().limit(3).count()
-        if classes != 2:
+        if row["label_classes"] != 2:
             return metrics | {"auc": None}
         area = BinaryClassificationEvaluator(
             labelCol=LABEL_INDEX, rawPredictionCol="rawPrediction", metricName="areaUnderROC"
@@ -278,7 +289,7 @@ class SparkMLRegressionEvaluator(_Comparison):
     ) -> MLEvaluationResult:
         return self.compare(raw_df, cleaned_df, label_col, numeric_cols, categorical_cols, raw_metrics)
 
-    def _stages(self, label: str, features: list) -> list:
+    def _stages(self, label: str, features: list, indexer: StringIndexerModel | None) -> list:
         model = LinearRegression(
             featuresCol=FEATURES,
             labelCol=label,
@@ -297,7 +308,11 @@ class SparkMLRegressionEvaluator(_Comparison):
         index = category_index(rows, categorical)
         try:
             if len(numeric) + sum(index.sizes.values()) > moments.MOST_FEATURES:
-                return super()._splits(rows, label, numeric, categorical, splits)
+                vectors = sparse_vectors(rows, numeric, index, [label, moments.SPLITS], FEATURES)
+                try:
+                    return super()._splits(vectors.df, label, numeric, categorical, splits)
+                finally:
+                    vectors.drop()
             _, found, sums = moments.fit_splits(rows, label, numeric, index, splits)
         finally:
             index.drop()
